@@ -43,12 +43,13 @@ def periods_and_gaps(opens: Column, closes: Column) -> Column:
     return F.concat(pieces("period", opens, closes), pieces("gap", head, tail))
 
 
-def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, hot_rows: int = 1_000_000) -> DataFrame:
+def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, hot_rows: int | None = 1_000_000) -> DataFrame:
     """Periods and gaps of each entity: ``keys``, kind (``period`` or ``gap``), pos_from, pos_to (int64).
 
     Entities of up to ``hot_rows`` rows are merged in one array each. Larger ones never reach one task: their bounds are
     counted per position (repeated bounds collapse before the shuffle), range-partitioned, and ranked by running sums
-    with an offset per partition. The list of larger entities has at most rows / ``hot_rows`` rows.
+    with an offset per partition. The list of larger entities has at most rows / ``hot_rows`` rows. With None, for
+    entities of known bounded size, none is looked for.
 
     Rows with a null key or bound, or whose end isn't greater than the start, are left out; an entity without a valid row
     gives no row, repeated rows and ties change nothing, extra columns aren't read.
@@ -58,8 +59,8 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, hot_ro
     k = [f"__k{i}" for i in range(len(keys))]
     base = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], F.col(start).cast("long").alias("__s"), F.col(end).cast("long").alias("__e"))
     base = base.where("__s < __e").dropna(subset=k)
-    hot = base.groupBy(*k).count().where(F.col("count") > hot_rows).select(*k)
-    if hot.isEmpty():
+    hot = None if hot_rows is None else base.groupBy(*k).count().where(F.col("count") > hot_rows).select(*k)
+    if hot is None or hot.isEmpty():
         merged = _merge_small(base, k)
     else:
         hot = materialize(hot, "hot-entities")
