@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from spliceforge.llm import mixing
 from spliceforge.llm.components import connected_groups
 from spliceforge.llm.quantiles import percentiles, summarize
+from spliceforge.llm.spans import WIDTH, shared_spans
 from spliceforge.llm.tokenize import count_tokens, encode_texts
 from spliceforge.llm.topn import top_per_group
 from spliceforge.operators.current import current_rows
@@ -122,8 +123,31 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(token_counts(spark, d), table(spark, d, "mix_target"))[1]
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return shared_spans(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_shares(spark: SparkSession, d: str) -> DataFrame:
+    """doc_id, n_points, shared_points, n_spans of every post; null texts have no points."""
+    docs = table(spark, d, "documents").select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_points"))
+    spans = p10_found(spark, d).groupBy("doc_id").agg(F.sum(F.col("span_to") - F.col("span_from")).alias("shared_points"), F.count(F.lit(1)).alias("n_spans"))
+    return docs.join(spans, "doc_id", "left").na.fill(0, ["shared_points", "n_spans"])
+
+
+P10_CTE = f"""with g as (select doc_id, i, substring(text, i + 1, {WIDTH}) as w from
+    (select doc_id, text, unnest(range(0, length(text) - {WIDTH - 1})) as i from documents where length(text) >= {WIDTH})),
+m as (select w from g group by w having min(doc_id) <> max(doc_id)),
+s as (select doc_id, i from g where w in (select w from m)),
+f as (select *, case when i <= lag(i) over (partition by doc_id order by i) + {WIDTH} then 0 else 1 end as fresh from s),
+r as (select *, sum(fresh) over (partition by doc_id order by i rows unbounded preceding) as no from f),
+spans as (select doc_id, min(i) as span_from, max(i) + {WIDTH} as span_to from r group by doc_id, no)"""
+P10_SQL = f"{P10_CTE} select doc_id, span_from, span_to from spans"
+P10_SHARES_SQL = f"""{P10_CTE}, t as (select doc_id, cast(sum(span_to - span_from) as bigint) as shared_points, count(*) as n_spans from spans group by 1)
+select doc_id, coalesce(length(text), 0) as n_points, coalesce(shared_points, 0) as shared_points, coalesce(n_spans, 0) as n_spans
+from documents left join t using (doc_id)"""
+
 QUERIES = {
     "p1_found": p1_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p6_found": p6_found, "p6_group_sizes": p6_group_sizes,
-    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found, "p10_shares": p10_shares,
 }
-SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_group_sizes": P6_SIZES_SQL}
+SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_group_sizes": P6_SIZES_SQL, "p10_found": P10_SQL, "p10_shares": P10_SHARES_SQL}
