@@ -329,7 +329,7 @@ def shared_spans(df: DataFrame, ident: str, text: str) -> DataFrame:
     ship_package(spark)
     texts = df.select(F.col(ident).cast("long").alias("__id"), F.col(text).alias("__text")).where("__id is not null and __text is not null")
     # compressed files have about as many bytes as code points; it only sets how many shards there are
-    chars = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    chars = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(1, -(-chars * 4 // SHARD_CHARS)) if chars < UNKNOWN_SIZE else 8 * wide
     hot = np.array(_hot_anchors(texts, chars), np.int64).view(np.uint64)
