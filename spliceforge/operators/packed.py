@@ -25,7 +25,7 @@ def packed_slots(text: Column) -> Column:
     spans = F.regexp_extract_all(bare, F.lit(QUOTED), F.lit(1))
     outside = F.transform(F.split(bare, QUOTED, -1), lambda s, i: F.when(i == 0, s).otherwise(F.concat(F.lit(OPEN), (i - 1).cast("string"), F.lit(CLOSE), s)))
     slots = F.split(F.array_join(outside, ""), SEPARATOR, -1)
-    open_end = (F.size(slots) > 1) & (F.element_at(slots, -1) == "")
+    open_end = (F.size(slots) > 1) & (F.try_element_at(slots, F.lit(-1)) == "")
     slots = F.slice(slots, F.lit(1), F.size(slots) - open_end.cast("int"))
 
     def restored(slot: Column) -> Column:

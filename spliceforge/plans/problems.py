@@ -39,10 +39,10 @@ cur as (select transcript_id, exons from transcript where transcript_id is not n
   qualify row_number() over (partition by transcript_id order by loaded_at desc nulls last) = 1),
 ex as (select 'transcript' as source_table, cast(transcript_id as varchar) as entity, cast(x.exon_start as bigint) as a, cast(x.exon_end as bigint) as b
   from (select transcript_id, unnest(exons) as x from cur) where x.exon_start < x.exon_end),
-iv as (select * from dom union all select * from ex),
+iv as (select source_table, entity, a, b, count(*) as c from (select * from dom union all select * from ex) group by all),
 mk as (select *, case when a <= max(b) over (partition by source_table, entity order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from iv),
 isl as (select *, sum(fresh) over (partition by source_table, entity order by a, b rows unbounded preceding) as no from mk),
-per as (select source_table, entity, no, min(a) as a, max(b) as b, count(*) as n from isl group by all),
+per as (select source_table, entity, no, min(a) as a, max(b) as b, sum(c) as n from isl group by all),
 keep as (select *, sum(n) over (partition by source_table, entity) - count(*) over (partition by source_table, entity) as joined,
   lead(a) over (partition by source_table, entity order by a) as nxt from per)
 select source_table, entity, 'period' as kind, a as pos_from, b as pos_to from keep where source_table = 'example_anno_domains' or joined > 0
