@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spliceforge.session import fresh, materialize
+from spliceforge.session import materialize
 
 
 def sorted_bounds(exons: Column, start: str, end: str) -> tuple[Column, Column]:
@@ -108,13 +108,17 @@ def overlap_join(left: DataFrame, right: DataFrame, on: list[str], l_span: tuple
     makes it unique without a distinct. The result has ``on`` once, then the other columns of both sides, whose names must
     differ. Null keys or bounds match nothing, empty spans match nothing, repeated rows give repeated pairs.
     """
-    both = [*left.columns, *right.columns]
-    lb, rb = fresh(both, "lbin", "rbin")
-    bins = lambda s, e: F.explode(F.sequence(F.floor(F.col(s) / bin_width), F.floor((F.col(e) - 1) / bin_width)))
-    l_side = left.where(F.col(l_span[0]) < F.col(l_span[1])).withColumn(lb, bins(*l_span))
-    r_side = right.where(F.col(r_span[0]) < F.col(r_span[1])).withColumn(rb, bins(*r_span))
-    cond = [l_side[c] == r_side[c] for c in on] + [l_side[lb] == r_side[rb]]
-    cond += [l_side[l_span[0]] < r_side[r_span[1]], r_side[r_span[0]] < l_side[l_span[1]]]
-    cond.append(l_side[lb] == F.greatest(F.floor(l_side[l_span[0]] / bin_width), F.floor(r_side[r_span[0]] / bin_width)))
-    joined = l_side.join(r_side, cond)
-    return joined.select(*[l_side[c] for c in left.columns], *[r_side[c] for c in right.columns if c not in on])
+    # names of their own on either side, so that both may come from one frame
+    left_names, right_names = {c: f"__l{i}" for i, c in enumerate(left.columns)}, {c: f"__r{i}" for i, c in enumerate(right.columns)}
+
+    def side(df: DataFrame, names: dict[str, str], span: tuple[str, str], b: str) -> DataFrame:
+        s, e = (F.col(names[c]) for c in span)
+        rows = df.select(*[F.col(c).alias(a) for c, a in names.items()]).where(s < e)
+        return rows.withColumn(b, F.explode(F.sequence(F.floor(s / bin_width), F.floor((e - 1) / bin_width))))
+
+    ls, le, rs, re = (F.col(n[c]) for n, span in ((left_names, l_span), (right_names, r_span)) for c in span)
+    cond = (F.col("__lbin") == F.col("__rbin")) & (ls < re) & (rs < le) & (F.col("__lbin") == F.greatest(F.floor(ls / bin_width), F.floor(rs / bin_width)))
+    for c in on:
+        cond = cond & (F.col(left_names[c]) == F.col(right_names[c]))
+    joined = side(left, left_names, l_span, "__lbin").join(side(right, right_names, r_span, "__rbin"), cond)
+    return joined.select(*[F.col(a).alias(c) for c, a in left_names.items()], *[F.col(a).alias(c) for c, a in right_names.items() if c not in on])
