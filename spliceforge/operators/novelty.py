@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceforge.session import ship_package
+
 Chain = list[tuple[int, int]]
 #: Category that a subcategory raises a transcript to at least.
 LEVEL = {
@@ -134,21 +136,29 @@ def classify_transcripts(transcripts: DataFrame, references: DataFrame, block: i
     go out in blocks of ``block``, each with the gene's distinct reference chains, so a large gene is spread over tasks. Genes without a
     reference give no row.
     """
-    exons = F.transform("exons", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end")))
-    rows = transcripts.select("transcript_id", "gene_id", exons.alias("exons"))
-    chains = rows.select("gene_id", "exons", F.pmod(F.xxhash64("exons"), F.lit(1 << 20)).alias("h")).distinct()
+    ship_package(transcripts.sparkSession)
+    text = F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
+    rows = transcripts.select("transcript_id", "gene_id", text.alias("exons"))
+    chains = rows.select("gene_id", "exons").distinct()
     sizes = chains.groupBy("gene_id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("n_blocks"))
-    asked = chains.join(sizes, "gene_id").withColumn("block", F.pmod("h", "n_blocks"))
-    refs = references.select("gene_id", "strand", exons.alias("exons")).distinct().join(sizes, "gene_id").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    out = "gene_id string, exons array<struct<start:bigint,end:bigint>>, novelty int, subcategories string"
+    asked = chains.join(sizes, "gene_id").select("gene_id", "exons", F.pmod(F.xxhash64("exons"), "n_blocks").alias("block"))
+    refs = references.select("gene_id", "strand", text.alias("exons")).distinct().join(sizes, "gene_id")
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
+    refs = refs.select(F.col("gene_id").alias("ref_gene"), blocks.alias("ref_block"), "strand", F.col("exons").alias("ref_exons"))
 
     def kernel(t: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
-        if not len(t) or not len(r):
-            return pd.DataFrame({"gene_id": [], "exons": [], "novelty": [], "subcategories": []})
-        pairs = lambda x: [(e["start"], e["end"]) for e in x]
-        ref = Reference([pairs(x) for x in r["ref_exons"]], r["strand"].iloc[0])
-        got = [ref.classify(pairs(x)) for x in t["exons"]]
-        return pd.DataFrame({"gene_id": t["gene_id"], "exons": t["exons"], "novelty": [g[0] for g in got], "subcategories": [",".join(sorted(g[1])) for g in got]})
-
-    done = asked.select("gene_id", "block", "exons").groupBy("gene_id", "block").cogroup(refs.select(F.col("gene_id").alias("ref_gene"), F.col("block").alias("ref_block"), "strand", F.col("exons").alias("ref_exons")).groupBy("ref_gene", "ref_block")).applyInPandas(kernel, out)
+        got = []
+        if len(t) and len(r):
+            ref = Reference([_pairs(x) for x in r["ref_exons"]], r["strand"].iloc[0])
+            for gene, exons in zip(t["gene_id"], t["exons"]):
+                novelty, subs = ref.classify(_pairs(exons))
+                got.append((gene, exons, novelty, ",".join(sorted(subs))))
+        return pd.DataFrame(got, columns=["gene_id", "exons", "novelty", "subcategories"])
+
+    out = "gene_id string, exons string, novelty int, subcategories string"
+    done = asked.groupBy("gene_id", "block").cogroup(refs.groupBy("ref_gene", "ref_block")).applyInPandas(kernel, out)
     return rows.join(done, ["gene_id", "exons"]).select("transcript_id", "novelty", "subcategories")
+
+
+def _pairs(text: str) -> Chain:
+    return [tuple(map(int, e.split("-"))) for e in text.split(",")]

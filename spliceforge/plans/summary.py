@@ -21,7 +21,7 @@ from spliceforge.operators.intervals import overlap_join
 from spliceforge.operators.novelty import classify_transcripts
 from spliceforge.plans import model as M
 from spliceforge.plans.structure import MIN_TOTAL, REF
-from spliceforge.session import materialize, table
+from spliceforge.session import materialize, ship_package, table
 
 GROUPS = ("base", "heat")
 LENGTH = X.exonic_length
@@ -280,6 +280,7 @@ def adjusted_p(spark: SparkSession, d: str) -> DataFrame:
 
 def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
     """Differential splicing: beta-binomial likelihood ratio of two groups of samples per event, with means, dispersions and padj."""
+    ship_package(spark)
     segs, path, strand = M.graph(M.isoforms(spark, d))
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
     reads = M.sample_reads(spark, d).join(s, "sample_name")
@@ -347,6 +348,7 @@ def coordination_table(spark: SparkSession, d: str, min_dist: int = 1) -> DataFr
 
 def coordination_test(spark: SparkSession, d: str) -> DataFrame:
     """Fisher's exact test of the coordination tables, adjusted."""
+    ship_package(spark)
 
     @F.pandas_udf("double")
     def p_value(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
@@ -367,6 +369,7 @@ def rarefaction(spark: SparkSession, d: str, parts: int = 20, min_cov: int = 2)
 
 def saturation(spark: SparkSession, d: str) -> DataFrame:
     """Abundance that each sample's reads show twice with a chance of 0.8, in reads per million."""
+    ship_package(spark)
 
     @F.pandas_udf("double")
     def threshold(n: pd.Series) -> pd.Series:
