@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASES = "ACGT"
 #: The standard genetic code, codons in the order TCAG, TCAG, TCAG.
@@ -61,7 +62,7 @@ def translate(seq: str) -> str:
     return "".join(CODONS.get(seq[i : i + 3], "X") for i in range(0, len(seq) - 2, 3))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def translate_udf(seq: pd.Series) -> pd.Series:
     return seq.map(translate, na_action="ignore")
 
@@ -110,7 +111,7 @@ def decays(stop: int, exon_lengths: list[int]) -> bool:
     return len(exon_lengths) > 1 and sum(exon_lengths[:-1]) - stop > NMD_DISTANCE
 
 
-@F.pandas_udf("struct<start:int,end:int,upstream:int>")
+@F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "upstream")]))
 def frame_udf(seq: pd.Series) -> pd.DataFrame:
     found = [best_frame(s, 30, 500) if isinstance(s, str) else None for s in seq]
     return pd.DataFrame([f or (None, None, None) for f in found], columns=["start", "end", "upstream"]).astype("Int32")
