@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from spliceforge.functions import sequence as S
 from spliceforge.operators import bubbles
+from spliceforge.operators.depth import depth_profile
 from spliceforge.operators.domains import contained, domain_blocks, label_sets
 from spliceforge.operators.ends import unify_ends
-from spliceforge.operators.intervals import overlap_join
+from spliceforge.operators.intervals import merge_intervals
 from spliceforge.operators.packed import packed_integers
 from spliceforge.plans import model as M
 from spliceforge.plans.problems import P4_SQL
@@ -34,31 +35,33 @@ def domain_block_table(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("domain_id", "chr", F.size("blocks").alias("n_blocks"), F.get("blocks", F.lit(0))["start"].alias("d_start"), F.try_element_at("blocks", F.lit(-1))["end"].alias("d_end"))
 
 
-def domain_containment(spark: SparkSession, d: str) -> DataFrame:
-    """Domains whose blocks run along the exons of a transcript."""
-    rows = materialize(M.transcripts(spark, d).select("transcript_id", "chr", "exons"), "domain-transcripts")
-    return contained(rows, materialize(parsed_domains(spark, d).select("domain_id", "chr", "blocks"), "domains"))
+def protein_chains(spark: SparkSession, d: str, domains: DataFrame) -> DataFrame:
+    """transcript_id (chrom and protein), chr, exons: the united blocks of each protein's domains, standing in for its transcript."""
+    protein = table(spark, d, "example_anno_domains").where("uniprotid is not null").groupBy("domain_id").agg(F.min("uniprotid").alias("protein"))
+    blocks = domains.join(protein, "domain_id").select(F.concat_ws("|", "chr", "protein").alias("transcript_id"), "chr", F.inline("blocks"))
+    united = merge_intervals(blocks, ["transcript_id", "chr"], "start", "end").where("kind = 'period'")
+    return united.groupBy("transcript_id", "chr").agg(F.array_sort(F.collect_list(F.struct(F.col("pos_from").alias("start"), F.col("pos_to").alias("end")))).alias("exons"))
 
 
-def _domain_hits(spark: SparkSession, d: str) -> DataFrame:
-    dom = table(spark, d, "example_anno_domains").where("chromstart < chromend and chrom is not null").select(F.col("chrom").alias("chr"), "domain_name", "chromstart", "chromend").distinct()
-    spans = M.in_genes(spark, d).select("transcript_id", "gene_id", "chr", "category", F.col("tr_start").alias("start"), F.col("tr_end").alias("end"))
-    return overlap_join(spans, dom, ["chr"], ("start", "end"), ("chromstart", "chromend"))
+def domain_containment(spark: SparkSession, d: str) -> DataFrame:
+    """Domains whose blocks run along the united blocks of a protein, with their place on them."""
+    domains = materialize(parsed_domains(spark, d).select("domain_id", "chr", "blocks"), "domains")
+    return contained(materialize(protein_chains(spark, d, domains), "protein-chains"), domains)
 
 
-def domain_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Domain spans over the span of each transcript: names and bases."""
-    hit = _domain_hits(spark, d)
-    return hit.groupBy("transcript_id").agg(F.count_distinct("domain_name").alias("n_names"), F.sum(F.least("end", "chromend") - F.greatest("start", "chromstart")).alias("n_bases"))
+def domain_depth(spark: SparkSession, d: str) -> DataFrame:
+    """How many distinct domains lie over each stretch of a chromosome."""
+    rows = table(spark, d, "example_anno_domains").where("chrom is not null").select(F.col("chrom").alias("chr"), "domain_id", "chromstart", "chromend").distinct()
+    return depth_profile(rows.withColumn("one", F.lit(1)), ["chr"], "chromstart", "chromend", "one")
 
 
 def domain_label_sets(spark: SparkSession, d: str) -> DataFrame:
-    """Per gene, names of domains over reference transcripts (A) against those over others (B)."""
-    labels = materialize(_domain_hits(spark, d).select("transcript_id", "gene_id", "category", F.col("domain_name").alias("label")).where("label is not null").distinct(), "domain-labels")
-    side = lambda c: F.collect_set(F.when(c, F.col("transcript_id")))
-    genes = labels.groupBy("gene_id").agg(side(F.col("category") == 0).alias("a"), side(F.col("category") > 0).alias("b"))
-    out = label_sets(genes, "gene_id", "a", "b", labels.select("transcript_id", "label"), ("A-B", "B-A", "A|B", "A&B"))
-    return out.toDF("gene_id", "only_a", "only_b", "either", "both")
+    """Per protein, names of its curated domains (A) against those of its predicted ones (B)."""
+    rows = table(spark, d, "example_anno_domains").where("uniprotid is not null and domain_name is not null")
+    side = lambda t: F.collect_set(F.when(F.col("anno_type") == t, F.col("domain_id")))
+    proteins = rows.groupBy("uniprotid").agg(side("curated").alias("a"), side("predicted").alias("b"))
+    labels = rows.select(F.col("domain_id").alias("transcript_id"), F.col("domain_name").alias("label")).distinct()
+    return label_sets(proteins, "uniprotid", "a", "b", labels, ("A-B", "B-A", "A|B", "A&B")).toDF("uniprotid", "only_a", "only_b", "either", "both")
 
 
 def gtf_export(spark: SparkSession, d: str) -> DataFrame:
@@ -116,24 +119,37 @@ def reading_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    domain_block_table, domain_containment, domain_overlaps, domain_label_sets, gtf_export, event_export, unified_ends,
+    domain_block_table, domain_containment, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends,
     reverse_complements, a_content, window_content, splice_motifs, reading_frames,
 )}
 
 _SEQ = "sq as (select doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents where text is not null)"
-_HIT = f"""with {M.BASE}, dm as (select distinct chrom, domain_name, chromstart, chromend from example_anno_domains where chromstart < chromend and chrom is not null),
-  hit as (select t.transcript_id, gene_id, category, domain_name, least(tr_end, chromend) - greatest(tr_start, chromstart) as n from tr t join dm on dm.chrom = t.chr and tr_start < chromend and chromstart < tr_end where gene_id is not null)"""
+_BLOCKS = f"""with it as ({P4_SQL}), l as (select domain_id, list(slot_no order by slot_no) filter (where field_name = 'blocksizes') as k1, list(slot_no order by slot_no) filter (where field_name = 'chromstarts') as k2,
+    list(item order by slot_no) filter (where field_name = 'blocksizes') as sz, list(item order by slot_no) filter (where field_name = 'chromstarts') as st from it group by 1),
+  h as (select domain_id, min(chrom) as chr, min(chromstart) as pos0 from example_anno_domains where chrom is not null and chromstart is not null group by 1),
+  b as (select domain_id, chr, unnest(sz) as n, pos0 + unnest(st) as a from l join h using (domain_id) where k1 = k2),
+  f as (select *, case when a = lag(a + n) over (partition by domain_id order by a, a + n) then 0 else 1 end as fresh from b)"""
 SQL = {
-    "domain_block_table": f"""with it as ({P4_SQL}), l as (select domain_id, list(slot_no order by slot_no) filter (where field_name = 'blocksizes') as k1, list(slot_no order by slot_no) filter (where field_name = 'chromstarts') as k2,
-          list(item order by slot_no) filter (where field_name = 'blocksizes') as sz, list(item order by slot_no) filter (where field_name = 'chromstarts') as st from it group by 1),
-        h as (select domain_id, min(chrom) as chr, min(chromstart) as pos0 from example_anno_domains where chrom is not null and chromstart is not null group by 1),
-        b as (select domain_id, chr, unnest(sz) as n, pos0 + unnest(st) as a from l join h using (domain_id) where k1 = k2),
-        f as (select *, case when a = lag(a + n) over (partition by domain_id order by a, a + n) then 0 else 1 end as fresh from b)
-        select domain_id, any_value(chr) as chr, cast(sum(fresh) as int) as n_blocks, min(a) as d_start, arg_max(a + n, (a, a + n)) as d_end from f group by 1""",
-    "domain_overlaps": f"{_HIT} select transcript_id, count(distinct domain_name) as n_names, cast(sum(n) as bigint) as n_bases from hit group by 1",
-    "domain_label_sets": f"""{_HIT}, x as (select gene_id, list_distinct(list(domain_name) filter (where category = 0)) as a, list_distinct(list(domain_name) filter (where category > 0)) as b from hit where domain_name is not null group by 1),
-        y as (select gene_id, coalesce(a, []) as a, coalesce(b, []) as b from x)
-        select gene_id, array_to_string(list_sort(list_filter(a, lambda v: not list_contains(b, v))), ',') as only_a, array_to_string(list_sort(list_filter(b, lambda v: not list_contains(a, v))), ',') as only_b,
+    "domain_block_table": f"{_BLOCKS} select domain_id, any_value(chr) as chr, cast(sum(fresh) as int) as n_blocks, min(a) as d_start, arg_max(a + n, (a, a + n)) as d_end from f group by 1",
+    "domain_containment": f"""{_BLOCKS}, g as (select *, sum(fresh) over (partition by domain_id order by a, a + n rows unbounded preceding) as no from f), bl as (select domain_id, chr, no, min(a) as a, arg_max(a + n, (a, a + n)) as b from g group by all),
+        pr as (select domain_id, min(uniprotid) as p from example_anno_domains where uniprotid is not null group by 1),
+        u as (select distinct chr || '|' || p as tid, chr, a, b from bl join pr using (domain_id) where a < b), u1 as (select *, case when a <= max(b) over (partition by tid order by a, b rows between unbounded preceding and 1 preceding) then 0 else 1 end as fresh from u),
+        u2 as (select *, sum(fresh) over (partition by tid order by a, b rows unbounded preceding) as no from u1), ex as (select tid, chr, min(a) as s, max(b) as e from u2 group by tid, chr, no),
+        bn as (select *, lead(a) over (partition by domain_id order by no) as nxt from bl), dm as (select domain_id, chr, min(a) as ds, min(b) filter (where true) as b0, arg_min(b, no) as fe, arg_max(b, no) as de, arg_min(a, no) as fs,
+          coalesce(string_agg(b || '-' || nxt, ',' order by no), '') as introns from bn group by all),
+        ct as (select tid, domain_id, fs, de, introns from dm join ex on ex.chr = dm.chr and s <= fs and fe <= e and fs < fe),
+        inn as (select ct.tid, domain_id, any_value(fs) as fs, any_value(de) as de, any_value(introns) as introns, list({{'s': s, 'e': e}} order by s) as x from ct join ex on ex.tid = ct.tid and e > fs and s < de group by all),
+        ok as (select *, coalesce(array_to_string(list_transform(range(1, len(x)), lambda i: x[i].e || '-' || x[i + 1].s), ','), '') as mine from inn)
+        select ok.tid as transcript_id, domain_id, cast(sum(greatest(least(e, fs) - s, 0)) as bigint) as tr_start, cast(sum(greatest(least(e, de) - s, 0)) as bigint) as tr_end
+        from ok join ex on ex.tid = ok.tid where mine = introns and de <= x[-1].e group by ok.tid, domain_id, fs, de""",
+    "domain_depth": """with p as (select distinct chrom as chr, domain_id, chromstart as a, chromend as b from example_anno_domains where chrom is not null and chromstart < chromend),
+        c as (select chr, pos, sum(d) as d from (select chr, a as pos, 1 as d from p union all select chr, b, -1 from p) group by all)
+        select chr, pos as pos_from, nxt as pos_to, cast(depth as bigint) as depth from (select chr, pos, lead(pos) over w as nxt, sum(d) over w as depth from c window w as (partition by chr order by pos)) where depth > 0 and nxt is not null""",
+    "domain_label_sets": """with x as (select uniprotid, coalesce(list_distinct(list(domain_id) filter (where anno_type = 'curated')), []) as ia, coalesce(list_distinct(list(domain_id) filter (where anno_type = 'predicted')), []) as ib from example_anno_domains where uniprotid is not null and domain_name is not null group by 1),
+        n as (select distinct domain_id, domain_name from example_anno_domains where uniprotid is not null and domain_name is not null),
+        aa as (select uniprotid, list(distinct domain_name) as a from (select uniprotid, unnest(ia) as domain_id from x) join n using (domain_id) group by 1), bb as (select uniprotid, list(distinct domain_name) as b from (select uniprotid, unnest(ib) as domain_id from x) join n using (domain_id) group by 1),
+        y as (select uniprotid, coalesce(a, []) as a, coalesce(b, []) as b from x left join aa using (uniprotid) left join bb using (uniprotid))
+        select uniprotid, array_to_string(list_sort(list_filter(a, lambda v: not list_contains(b, v))), ',') as only_a, array_to_string(list_sort(list_filter(b, lambda v: not list_contains(a, v))), ',') as only_b,
         array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') as either, array_to_string(list_sort(list_filter(a, lambda v: list_contains(b, v))), ',') as both from y""",
     "gtf_export": f"""with {M.BASE}, {M.sql_iso()}, l as (select i.chr, i.gene, i.strand, isoform, reads, x.exon_no, x.s, x.e, min(x.s) over (partition by isoform) as lo, max(x.e) over (partition by isoform) as hi from iso i join iex x using (isoform)),
         r as (select chr, gene, strand, min(lo) as a, max(hi) as b, 'gene' as k, 'gene_id "' || gene || '";' as txt from l group by all
