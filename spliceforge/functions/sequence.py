@@ -118,22 +118,18 @@ def frame_udf(seq: pd.Series) -> pd.DataFrame:
 
 
 def repeat_length(a: str, b: str, delta: int = 15, max_mm: int = 2, wobble: int = 2) -> int:
-    """Longest stretch that reads alike around two sites with up to ``max_mm`` mismatches, over all shifts up to ``wobble``.
+    """Most bases that agree around two sites with up to ``max_mm`` mismatches between them, over all shifts up to ``wobble``.
 
-    ``a`` and ``b`` hold delta + wobble bases on either side of the sites, padded with N, which match nothing; the stretch
-    covers the sites and is at most ``delta`` long.
+    ``a`` and ``b`` hold delta + wobble bases on either side of the sites, padded with N (which agrees with nothing); ``b`` stays and
+    ``a`` is shifted. The stretch has no other mismatch from its left to its right end, and the sites lie in it or at its ends.
     """
+    fixed = np.frombuffer(b[wobble : wobble + 2 * delta].encode(), np.uint8)
     best = 0
-    for shift in range(-wobble, wobble + 1):
-        left, right = (a[wobble + min(shift, 0) :], b[wobble - max(shift, 0) :])
-        n = min(len(left), len(right), 2 * delta)
-        same = np.array([x == y and x != "N" for x, y in zip(left[:n], right[:n])], bool)
-        wrong = np.flatnonzero(~same)
-        bounds = np.concatenate([[-1], wrong, [n]])
-        for i in range(len(bounds) - max_mm - 1):
-            lo, hi = bounds[i] + 1, bounds[min(i + max_mm + 1, len(bounds) - 1)]
-            if lo <= n // 2 <= hi:
-                best = max(best, hi - lo)
-        if len(wrong) <= max_mm:
-            best = max(best, n)
-    return int(min(best, delta))
+    for shift in range(2 * wobble + 1):
+        moved = np.frombuffer(a[shift : shift + 2 * delta].encode(), np.uint8)
+        wrong = (moved != fixed) | (moved == ord("N"))
+        sides = [np.append(np.flatnonzero(side), [delta] * (max_mm + 1)) for side in (wrong[:delta][::-1], wrong[delta:])]
+        # agreeing bases before the (k+1)-th mismatch: its distance less the k before it, or all of them if there are fewer
+        reach = [[int(d[k] - min(k, np.count_nonzero(d[:k] < delta))) for k in range(max_mm + 1)] for d in sides]
+        best = max(best, max(reach[0][k] + reach[1][max_mm - k] for k in range(max_mm + 1)))
+    return best

@@ -40,17 +40,21 @@ def weighted_median(pos: np.ndarray, n: np.ndarray, share: float = 0.5) -> int:
     return int(pos[order][np.searchsorted(run, share * run[-1])])
 
 
-def unified(pos: np.ndarray, n: np.ndarray, peaks: np.ndarray, search: tuple[float, float] = (0.1, 0.9)) -> np.ndarray:
-    """Each position's nearest peak within the given quantiles, or the median where there is none."""
+def unified(pos: np.ndarray, n: np.ndarray, peaks: np.ndarray, junction: float, is_start: bool, search: tuple[float, float] = (0.1, 0.9), margin: int = 3) -> np.ndarray:
+    """Each position's nearest peak among those within the given quantiles (the median where there is none) that lie at least ``margin``
+    from the junction on the transcript's outer side; a position without such a peak stays."""
     low, high = weighted_median(pos, n, search[0]), weighted_median(pos, n, search[1])
     own = peaks[(peaks > low) & (peaks <= high)]
     if not len(own):
         own = np.array([weighted_median(pos, n)])
-    return own[np.abs(pos[:, None] - own[None, :]).argmin(1)]
+    if junction == junction:
+        own = own[(junction - own if is_start else own - junction) >= margin]
+    return own[np.abs(pos[:, None] - own[None, :]).argmin(1)] if len(own) else pos
 
 
 def unify_ends(ends: DataFrame, window: int = 31, prominence: float = 1.0) -> DataFrame:
-    """gene_id, kind, junction, pos, n, unified_pos. ``ends``: gene_id, kind, junction (the splice site next to the end), pos, n (reads).
+    """gene_id, kind, junction, pos, n, unified_pos. ``ends``: gene_id, kind (``start`` or ``end``, in genomic order), junction (the splice site next
+    to the end, null for single exons), pos, n (reads).
 
     Input is counted per position before it comes here, so a gene's task holds its positions, not its reads.
     """
@@ -61,8 +65,8 @@ def unify_ends(ends: DataFrame, window: int = 31, prominence: float = 1.0) -> Da
         profile = np.bincount(rows["pos"] - lo, weights=rows["n"])
         peaks = prominent_peaks(np.log2(smooth(np.pad(profile, window), window) + 1), prominence) - window + lo
         out = rows.copy()
-        for _, part in rows.groupby("junction", dropna=False):
-            out.loc[part.index, "unified_pos"] = unified(part["pos"].to_numpy(), part["n"].to_numpy(), peaks)
+        for junction, part in rows.groupby("junction", dropna=False):
+            out.loc[part.index, "unified_pos"] = unified(part["pos"].to_numpy(), part["n"].to_numpy(), peaks, junction, part["kind"].iloc[0] == "start")
         return out.astype({"unified_pos": "int64"})
 
     return ends.select("gene_id", "kind", "junction", "pos", "n").groupBy("gene_id", "kind").applyInPandas(gene, "gene_id string, kind string, junction long, pos long, n long, unified_pos long")
