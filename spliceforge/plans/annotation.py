@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -118,9 +119,22 @@ def reading_frames(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "f.start", "f.end", "f.upstream", S.translate_udf(inner).alias("protein"))
 
 
+def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2) -> DataFrame:
+    """Posts by the length of the direct repeat around the ends of the intron from base 40 to base 90, at most ``delta``."""
+    ship_package(spark)
+
+    @F.pandas_udf("int")
+    def length(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([min(delta, S.repeat_length(x, y, delta, 2, wobble)) for x, y in zip(a, b)])
+
+    around = lambda p: F.substring("seq", p - delta - wobble + 1, 2 * (delta + wobble))
+    rows = _sequences(spark, d).where(F.length("seq") >= 110).select(length(around(40), around(90)).alias("repeat_length"))
+    return rows.groupBy("repeat_length").agg(F.count(F.lit(1)).alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
     domain_block_table, domain_containment, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends,
-    reverse_complements, a_content, window_content, splice_motifs, reading_frames,
+    reverse_complements, a_content, window_content, splice_motifs, reading_frames, direct_repeats,
 )}
 
 _SEQ = "sq as (select doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents where text is not null)"

@@ -20,7 +20,7 @@ def read_sam(spark: SparkSession, path: str) -> DataFrame:
     tags = F.transform(F.slice("c", F.lit(12), F.greatest(F.size("c") - 11, F.lit(0))), lambda t: F.struct(F.substring(t, 1, 2).alias("key"), F.substring(t, F.lit(6), F.length(t)).alias("value")))
     g = lambda i: F.get("c", F.lit(i))
     seq = F.when(g(9) != "*", F.length(g(9)))
-    return rows.select(g(0).alias("qname"), g(1).cast("int").alias("flag"), g(2).alias("chr"), (g(3).cast("long") - 1).alias("pos"), g(4).cast("int").alias("mapq"), g(5).alias("cigar"), seq.alias("query_length"), F.map_from_entries(F.array_distinct(tags)).alias("tags"))
+    return rows.select(g(0).alias("qname"), g(1).try_cast("int").alias("flag"), g(2).alias("chr"), (g(3).try_cast("long") - 1).alias("pos"), g(4).try_cast("int").alias("mapq"), g(5).alias("cigar"), seq.alias("query_length"), F.map_from_entries(F.array_distinct(tags)).alias("tags"))
 
 
 def barcode_samples(spark: SparkSession, rows: list[tuple[str, str]], prefix: str = "") -> DataFrame:
@@ -45,12 +45,12 @@ def aligned_reads(sam: DataFrame, sample_name: str | None = None, barcodes: Data
     ops = C.cigar_ops(F.col("cigar"))
     part = ((F.col("flag").bitwiseAND(SUPPLEMENTARY)) != 0) | F.col("tags")["SA"].isNotNull()
     rows = rows.withColumns({"ops": ops, "is_part": part, "strand": F.when((F.col("flag").bitwiseAND(REVERSE)) != 0, "-").otherwise("+")})
-    nm = F.coalesce(F.col("tags")["NM"].cast("double"), F.lit(0.0))
+    nm = F.coalesce(F.col("tags")["NM"].try_cast("double"), F.lit(0.0))
     rows = rows.where(F.col("is_part") | F.col("query_length").isNull() | (1 - nm / F.col("query_length") >= F.lit(min_align_fraction)))
     rows = rows.withColumn("exons", C.exons_of(F.col("ops"), F.col("pos"))).where(F.size("exons") > 0)
     clip = C.clipping(F.col("ops"), F.col("pos"), F.try_element_at("exons", F.lit(-1))["end"])
     aligned = C.aligned_part(F.col("ops"), F.col("strand") == "-")
-    return rows.select("qname", "sample_name", "chr", "strand", "exons", F.coalesce(F.col("tags")["is"].cast("long"), F.lit(1).cast("long")).alias("weight"), clip.alias("clip"), aligned.alias("aligned"), "is_part")
+    return rows.select("qname", "sample_name", "chr", "strand", "exons", F.coalesce(F.col("tags")["is"].try_cast("long"), F.lit(1).cast("long")).alias("weight"), clip.alias("clip"), aligned.alias("aligned"), "is_part")
 
 
 def split_reads(reads: DataFrame, max_intron: int = 1_000_000, min_cov: int = 2) -> tuple[DataFrame, DataFrame]:

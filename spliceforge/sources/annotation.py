@@ -15,7 +15,7 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t", -1)
     rows = spark.read.text(path).where("value not like '#%'").select(parts.alias("c")).where(F.size("c") == len(COLUMNS))
     cols = {n: F.get("c", F.lit(i)) for i, n in enumerate(COLUMNS)}
-    return rows.select(*[v.alias(n) for n, v in cols.items() if n not in ("start", "end")], (cols["start"].cast("long") - 1).alias("start"), cols["end"].cast("long").alias("end"))
+    return rows.select(*[v.alias(n) for n, v in cols.items() if n not in ("start", "end")], (cols["start"].try_cast("long") - 1).alias("start"), cols["end"].try_cast("long").alias("end"))
 
 
 def gtf_attributes(text: Column) -> Column:

@@ -32,7 +32,7 @@ def read_coverage(spark: SparkSession, path: str, sep: str = ",", sample_columns
     rows = spark.read.csv(path, sep=sep, header=True)
     columns = sample_columns or {c: c.removesuffix("_coverage") for c in rows.columns if c.endswith("_coverage") and not c.endswith("_sum_coverage")}
     ident = F.col("transcript_id") if "transcript_id" in rows.columns else F.concat_ws("_", "gene_id", "transcript_nr")
-    each = F.inline(F.array(*[F.struct(F.lit(s).alias("sample_name"), F.col(f"`{c}`").cast("long").alias("coverage")) for c, s in columns.items()]))
+    each = F.inline(F.array(*[F.struct(F.lit(s).alias("sample_name"), F.col(f"`{c}`").try_cast("long").alias("coverage")) for c, s in columns.items()]))
     return rows.select(ident.alias("transcript_id"), each).where("coverage > 0").groupBy("transcript_id", "sample_name").agg(F.max("coverage").alias("coverage"))
 
 
