@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceforge.session import materialize
+
 EVENT = ["gene_id", "event_type", "node_a", "node_b"]
 #: By (alternative leaves A without a gap, alternative reaches B without a gap), on the + strand.
 PLUS_TYPES = {(0, 0): "ES", (0, 1): "3AS", (1, 0): "5AS", (1, 1): "IR"}
@@ -44,6 +46,7 @@ def simple_events(path: DataFrame, segs: DataFrame, strand: DataFrame) -> DataFr
     for (a, b), name in PLUS_TYPES.items():
         kind = F.when((F.col("out_joined") == a) & (F.col("in_joined") == b), name).otherwise(kind)
     alt = alt.select("gene_id", _by_strand(kind).alias("event_type"), "node_a", "node_b", F.lit("alternative").alias("side"), "isoform")
+    alt = materialize(alt, "event-alternatives")  # the primary side is found from it
     primary = alt.select(*EVENT).distinct().join(direct, ["gene_id", "node_a", "node_b"])
     return alt.unionByName(primary.select(*EVENT, F.lit("primary").alias("side"), "isoform"))
 

@@ -46,9 +46,16 @@ GENE_KEY = "concat_ws('|', gene_id, chr, strand)"
 
 def isoforms(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """Isoforms with gene_id replaced by the gene's key (see GENE_KEY), so that a graph has one strand."""
+    return isoforms_and_reads(spark, d, only)[0]
+
+
+def isoforms_and_reads(spark: SparkSession, d: str, only: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Isoforms, and gene_id (key), isoform, sample_name, reads, both from chained transcripts that are written once."""
     rows = materialize(chained(spark, d, only).drop("subs", "gene_name", "a_content", "category"), "chained")
-    iso = collapse.isoforms(rows)
-    return materialize(iso.withColumn("gene_id", F.expr(GENE_KEY)), "isoforms")
+    iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(GENE_KEY)), "isoforms")
+    key = [F.expr(GENE_KEY).alias("gene_id"), "chain"]
+    reads = rows.groupBy(*key, "sample_name").agg(F.sum(F.coalesce("coverage", F.lit(0))).alias("reads"))
+    return iso, reads.join(iso.select("gene_id", "chain", "isoform"), ["gene_id", "chain"]).select("gene_id", "isoform", "sample_name", "reads")
 
 
 def graph(iso: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -58,14 +65,6 @@ def graph(iso: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return segs, materialize(segments.paths(rows, segs), "paths"), iso.groupBy("gene_id").agg(F.first("strand").alias("strand"))
 
 
-def sample_reads(spark: SparkSession, d: str) -> DataFrame:
-    """gene_id (key), isoform, sample_name, reads."""
-    rows = materialize(chained(spark, d).select(*collapse.PLACE, "chain", "transcript_id", "sample_name", "coverage"), "sample-reads")
-    ids = rows.groupBy(*collapse.PLACE, "chain").agg(F.min("transcript_id").alias("isoform"))
-    reads = rows.groupBy(*collapse.PLACE, "chain", "sample_name").agg(F.sum(F.coalesce("coverage", F.lit(0))).alias("reads"))
-    return reads.join(ids, [*collapse.PLACE, "chain"]).select(F.expr(GENE_KEY).alias("gene_id"), "isoform", "sample_name", "reads")
-
-
 def all_events(path: DataFrame, segs: DataFrame, strand: DataFrame) -> DataFrame:
     """The simple and mutually exclusive events, isoform by isoform; via is null but for ME."""
     simple = bubbles.simple_events(path, segs, strand).withColumn("via", F.lit(None).cast("int"))

@@ -105,8 +105,8 @@ def frequent_events(spark: SparkSession, d: str) -> DataFrame:
 
 def event_psi(spark: SparkSession, d: str) -> DataFrame:
     """Per simple event and sample: reads of the alternative side, of both, and their ratio."""
-    segs, path, strand = M.graph(M.isoforms(spark, d))
-    reads = M.sample_reads(spark, d)
+    iso, reads = M.isoforms_and_reads(spark, d)
+    segs, path, strand = M.graph(iso)
     totals = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_name",))
     total = F.col("primary_reads") + F.col("alternative_reads")
     rows = totals.select(*bubbles.EVENT, "sample_name", F.col("alternative_reads").alias("alt_reads"), total.alias("total_reads"))

@@ -237,9 +237,10 @@ def novelty_class(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------------------ tests
 def _two_groups(spark: SparkSession, d: str) -> DataFrame:
     """Simple events with alternative reads (x) and all reads (n) of two groups of samples."""
-    segs, path, strand = M.graph(M.isoforms(spark, d))
+    iso, reads = M.isoforms_and_reads(spark, d)
+    segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
-    reads = M.sample_reads(spark, d).join(s, "sample_name").groupBy("gene_id", "isoform", "sample_group").agg(F.sum("reads").alias("reads"))
+    reads = reads.join(s, "sample_name").groupBy("gene_id", "isoform", "sample_group").agg(F.sum("reads").alias("reads"))
     t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_group",))
     pick = lambda g, v: F.sum(F.when(F.col("sample_group") == g, v).otherwise(0))
     both = F.col("primary_reads") + F.col("alternative_reads")
@@ -281,14 +282,17 @@ def adjusted_p(spark: SparkSession, d: str) -> DataFrame:
 def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
     """Differential splicing: beta-binomial likelihood ratio of two groups of samples per event, with means, dispersions and padj."""
     ship_package(spark)
-    segs, path, strand = M.graph(M.isoforms(spark, d))
+    iso, reads = M.isoforms_and_reads(spark, d)
+    segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
-    reads = M.sample_reads(spark, d).join(s, "sample_name")
+    reads = reads.join(s, "sample_name")
     t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_name", "sample_group"))
     rows = t.select(*bubbles.EVENT, F.struct(F.col("sample_group").alias("g"), F.col("sample_name").alias("s"), F.col("alternative_reads").alias("x"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")).alias("c"))
     rows = rows.groupBy(*bubbles.EVENT).agg(F.array_sort(F.collect_list("c")).alias("c"))
     total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c[f])
     rows = rows.withColumns({"x": total("x"), "n": total("n")}).where((F.col("n") >= MIN_TOTAL) & (F.col("x") >= F.col("n") * F.lit(0.1)) & (F.col("x") <= F.col("n") * F.lit(0.9)))
+    # few rows, each of which costs a fit: all cores, however few bytes they are
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, *bubbles.EVENT)
     fields = ["p", "mean_a", "disp_a", "mean_b", "disp_b", "mean_all", "disp_all"]
 
     @F.pandas_udf(", ".join(f"{f} double" for f in fields))
@@ -306,7 +310,7 @@ def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
 def isoform_usage(spark: SparkSession, d: str, top: int = 10, min_cov: int = 25) -> DataFrame:
     """Isoform by group table of each gene with the ``top`` isoforms, the rest folded into the last: chi square and the greatest change of share."""
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
-    reads = M.sample_reads(spark, d).join(s, "sample_name").groupBy("gene_id", "isoform").agg(*[F.sum(F.when(F.col("sample_group") == g, F.col("reads")).otherwise(0)).alias(f"r{i}") for i, g in enumerate(GROUPS)])
+    reads = M.isoforms_and_reads(spark, d)[1].join(s, "sample_name").groupBy("gene_id", "isoform").agg(*[F.sum(F.when(F.col("sample_group") == g, F.col("reads")).otherwise(0)).alias(f"r{i}") for i, g in enumerate(GROUPS)])
     w = Window.partitionBy("gene_id").orderBy((F.col("r0") + F.col("r1")).desc(), "isoform")
     cells = reads.where("r0 + r1 > 0").withColumn("k", F.least(F.row_number().over(w), F.lit(top))).groupBy("gene_id", "k").agg(F.sum("r0").alias("r0"), F.sum("r1").alias("r1"))
     total = cells.groupBy("gene_id").agg(F.sum("r0").alias("t0"), F.sum("r1").alias("t1"), F.count(F.lit(1)).alias("n_isoforms")).where((F.col("t0") >= min_cov) & (F.col("t1") >= min_cov) & (F.col("n_isoforms") > 1))
@@ -383,8 +387,9 @@ def event_embedding(spark: SparkSession, d: str, top: int = 500, prior: int = 2)
 
     The matrix that the driver decomposes has a row a sample and at most ``top`` columns.
     """
-    segs, path, strand = M.graph(M.isoforms(spark, d))
-    t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), M.sample_reads(spark, d), ("sample_name",))
+    iso, reads = M.isoforms_and_reads(spark, d)
+    segs, path, strand = M.graph(iso)
+    t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_name",))
     rows = materialize(t.select(F.concat_ws("/", *bubbles.EVENT).alias("event"), "sample_name", F.col("alternative_reads").alias("k"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")), "embedding-cells")
     mean = rows.groupBy("event").agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.sum("n").alias("total")).where(F.col("total") >= MIN_TOTAL)
     psi = rows.join(mean, "event").withColumn("psi", (F.col("k") + F.col("mean") * prior) / (F.col("n") + prior))

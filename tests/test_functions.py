@@ -74,6 +74,7 @@ def test_distributions():
     assert math.isnan(stats.chi2_table([[1, 2], [0, 0]])[0])
     x = np.array([0.3, 1.0, 7.5])
     assert np.allclose(stats.digamma(x), [(math.lgamma(v + 1e-5) - math.lgamma(v - 1e-5)) / 2e-5 for v in x], atol=1e-5)
+    assert np.allclose(stats.log_gamma(np.array([1e-6, 0.5, 3.3, 1e6])), [math.lgamma(v) for v in (1e-6, 0.5, 3.3, 1e6)], rtol=1e-10)
     n, q = 20, 0.1
     direct = sum(math.comb(k + 1, 1) * q**2 * (1 - q) ** k for k in range(n + 1))
     assert stats.negative_binomial_cdf(n, 2, q) == pytest.approx(direct)
