@@ -106,11 +106,64 @@ def best_frame(seq: str, min_len: int = 300, max_5utr: int = 500, annotated: fro
     return None
 
 
+def hexamer_score(seq: str, table: dict[str, tuple[float, float]]) -> float | None:
+    """Mean log ratio of the coding to the noncoding frequency of the in-frame hexamers; None without a hexamer of the table.
+
+    Of a hexamer with only one frequency above 0 the ratio counts as 1 or -1 (in logs).
+    """
+    logs = []
+    for i in range(0, len(seq) - 5, 3):
+        coding, other = table.get(seq[i : i + 6], (0.0, 0.0))
+        if coding > 0 and other > 0:
+            logs.append(float(np.log(coding / other)))
+        elif coding > 0 or other > 0:
+            logs.append(1.0 if coding > 0 else -1.0)
+    return sum(logs) / len(logs) if logs else None
+
+
+# The published TESTCODE statistic (Fickett 1982). Each base has a probability for its position score and for its share, by the first limit that
+# the value reaches, and a weight for each.
+POSITION_LIMITS = (1.9, 1.8, 1.7, 1.6, 1.5, 1.4, 1.3, 1.2, 1.1, 0.0)
+POSITION_PROBABILITY = {
+    "A": (0.94, 0.68, 0.84, 0.93, 0.58, 0.68, 0.45, 0.34, 0.20, 0.22),
+    "C": (0.80, 0.70, 0.70, 0.81, 0.66, 0.48, 0.51, 0.33, 0.30, 0.23),
+    "G": (0.90, 0.88, 0.74, 0.64, 0.53, 0.48, 0.27, 0.16, 0.08, 0.08),
+    "T": (0.97, 0.97, 0.91, 0.68, 0.69, 0.44, 0.54, 0.20, 0.09, 0.09),
+}
+POSITION_WEIGHT = {"A": 0.26, "C": 0.18, "G": 0.31, "T": 0.33}
+CONTENT_LIMITS = (0.33, 0.31, 0.29, 0.27, 0.25, 0.23, 0.21, 0.19, 0.17, 0.0)
+CONTENT_PROBABILITY = {
+    "A": (0.28, 0.49, 0.44, 0.55, 0.62, 0.49, 0.67, 0.65, 0.81, 0.21),
+    "C": (0.82, 0.64, 0.51, 0.64, 0.59, 0.59, 0.43, 0.44, 0.39, 0.31),
+    "G": (0.40, 0.54, 0.47, 0.64, 0.64, 0.73, 0.41, 0.41, 0.33, 0.29),
+    "T": (0.28, 0.24, 0.39, 0.40, 0.55, 0.75, 0.56, 0.69, 0.51, 0.58),
+}
+CONTENT_WEIGHT = {"A": 0.11, "C": 0.12, "G": 0.15, "T": 0.14}
+
+
+def testcode(seq: str) -> float | None:
+    """Coding potential of a sequence by the uneven use of bases over the three codon places; None without a base."""
+    if not seq:
+        return None
+    total = 0.0
+    for base in BASES:
+        by_place = [seq[k::3].count(base) for k in range(3)]
+        place, share = max(by_place) / (min(by_place) + 1), sum(by_place) / len(seq)
+        total += POSITION_WEIGHT[base] * POSITION_PROBABILITY[base][next(i for i, x in enumerate(POSITION_LIMITS) if place >= x)]
+        total += CONTENT_WEIGHT[base] * CONTENT_PROBABILITY[base][next(i for i, x in enumerate(CONTENT_LIMITS) if share >= x)]
+    return total
+
+
 def decays(stop: int, exon_lengths: list[int]) -> bool:
     """Whether a stop codon lies more than NMD_DISTANCE bases upstream of the last junction."""
     return len(exon_lengths) > 1 and sum(exon_lengths[:-1]) - stop > NMD_DISTANCE
 
 
+@F.pandas_udf(T.DoubleType())
+def testcode_udf(seq: pd.Series) -> pd.Series:
+    return seq.map(testcode, na_action="ignore").astype(float)
+
+
 @F.pandas_udf(T.StructType([T.StructField(c, T.IntegerType()) for c in ("start", "end", "upstream")]))
 def frame_udf(seq: pd.Series) -> pd.DataFrame:
     found = [best_frame(s, 30, 500) if isinstance(s, str) else None for s in seq]

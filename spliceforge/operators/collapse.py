@@ -66,3 +66,20 @@ def isoforms(chained: DataFrame) -> DataFrame:
         return F.struct(F.when(i == 0, start).otherwise(x["start"]).alias("start"), F.when(i == n - 1, end).otherwise(x["end"]).alias("end"))
 
     return agg.select(*keys, "isoform", F.transform("__exons", bound).alias("exons"), "n_transcripts", "reads")
+
+
+def shift_junctions(rows: DataFrame, shifts: DataFrame) -> DataFrame:
+    """``rows`` (transcript_id, exons, ...) with introns moved by ``shifts`` (transcript_id, intron_no from 0, shift).
+
+    Donor and acceptor move alike; exons that lose their length are left out.
+    """
+    by_intron = shifts.groupBy("transcript_id").agg(F.map_from_entries(F.collect_list(F.struct("intron_no", "shift"))).alias("__m"))
+    joined = rows.join(by_intron, "transcript_id", "left")
+    move = lambda i: F.coalesce(F.col("__m")[i], F.lit(0))
+    moved = F.transform("exons", lambda x, i: F.struct((x["start"] + move(i - 1)).alias("start"), (x["end"] + move(i)).alias("end")))
+    return joined.withColumn("exons", F.filter(moved, lambda x: x["start"] < x["end"])).drop("__m")
+
+
+def without_samples(rows: DataFrame, samples: list[str]) -> DataFrame:
+    """Transcripts less the given samples; isoforms that only those had go with them."""
+    return rows.where(~F.col("sample_name").isin(samples))

@@ -116,7 +116,7 @@ def reading_frames(spark: SparkSession, d: str) -> DataFrame:
     ship_package(spark)
     rows = _sequences(spark, d).withColumn("f", S.frame_udf("seq")).where("f.start is not null")
     inner = F.substring(F.col("seq"), F.col("f.start") + 1, F.col("f.end") - F.col("f.start"))
-    return rows.select("doc_id", "f.start", "f.end", "f.upstream", S.translate_udf(inner).alias("protein"))
+    return rows.select("doc_id", "f.start", "f.end", "f.upstream", S.translate_udf(inner).alias("protein"), F.round(S.testcode_udf(inner), 6).alias("testcode"))
 
 
 def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2) -> DataFrame:

@@ -91,3 +91,20 @@ def transcripts_of(reads: DataFrame) -> DataFrame:
     """
     same = reads.where("not is_part").groupBy("sample_name", "chr", "strand", "exons").agg(F.sum("weight").alias("coverage"), F.min("qname").alias("transcript_id"))
     return same.withColumn("gene_id", F.lit("reads"))
+
+
+def quality_histogram(reads: DataFrame, qualities: str, error_bins: list[float], length_bins: list[int]) -> DataFrame:
+    """error_bin, length_bin, n of reads by expected error rate (in per cent) and length; a bin is the first limit above the value.
+
+    Values at or beyond the last limit are in a bin after it; reads without qualities aren't counted.
+    """
+
+    def first_above(value, limits):
+        out = F.lit(len(limits))
+        for i in reversed(range(len(limits))):
+            out = F.when(value < limits[i], i).otherwise(out)
+        return out
+
+    rate = C.error_rate(F.col(qualities)) * 100
+    rows = reads.where(F.size(qualities) > 0).select(first_above(rate, error_bins).alias("error_bin"), first_above(F.size(qualities), length_bins).alias("length_bin"))
+    return rows.groupBy("error_bin", "length_bin").agg(F.count(F.lit(1)).alias("n"))

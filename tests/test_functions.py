@@ -10,8 +10,10 @@ from spliceforge.functions import cigar as C
 from spliceforge.functions import sequence as S
 from spliceforge.functions import stats
 from spliceforge.functions.filters import FilterError, Filters, default_filters, tag_name
+from spliceforge.operators import collapse
 from spliceforge.operators.domains import contained, domain_blocks, hits_on_genome, label_sets
 from spliceforge.operators.ends import prominent_peaks, smooth, unify_ends
+from spliceforge.sources.alignments import quality_histogram
 
 EXONS = "array<struct<start:long,end:long>>"
 
@@ -49,6 +51,26 @@ def test_open_frames_against_a_plain_scan():
     assert S.kozak_score("AAGATGG", 3, {-1: {"G": 1.5}, 3: {"G": 2.0}, -9: {"A": 7.0}}) == 3.5
 
 
+def test_coding_scores(spark):
+    assert S.testcode("") is None and 0 < S.testcode("ATGGCA" * 40) < 2
+    assert S.testcode("ACGT" * 60) < S.testcode("ATGGCTGAAGCTGAC" * 16)
+    table = {"ATGGCA": (0.4, 0.1), "GCAATG": (0.0, 0.2)}
+    assert S.hexamer_score("ATGGCAATG", table) == pytest.approx((math.log(4) - 1) / 2) and S.hexamer_score("CCC", table) is None
+
+
+def test_shifted_junctions(spark):
+    rows = spark.createDataFrame([(1, [(0, 10), (20, 30), (40, 50)]), (2, [(0, 5), (9, 12)])], f"transcript_id long, exons {EXONS}")
+    shifts = spark.createDataFrame([(1, 0, 2), (1, 1, -10)], "transcript_id long, intron_no int, shift long")
+    got = {r["transcript_id"]: [tuple(e) for e in r["exons"]] for r in collapse.shift_junctions(rows, shifts).collect()}
+    assert got == {1: [(0, 12), (30, 50)], 2: [(0, 5), (9, 12)]}
+    assert collapse.without_samples(spark.createDataFrame([(1, "a"), (2, "b")], "i int, sample_name string"), ["a"]).count() == 1
+
+
+def test_quality_histogram(spark):
+    df = spark.createDataFrame([([10] * 5,), ([30] * 50,), ([],)], "q array<int>")
+    assert sorted(map(tuple, quality_histogram(df, "q", [1.0, 5.0], [10, 100]).collect())) == [(0, 1, 1), (2, 0, 1)]
+
+
 def test_repeat_length():
     assert S.repeat_length("A" * 34, "A" * 34) == 30
     assert S.repeat_length("N" * 34, "N" * 34) == 0
