@@ -9,6 +9,10 @@ from __future__ import annotations
 import numpy as np
 
 
+#: The bits below each place of a word.
+MASKS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
+
+
 class BitRank:
     """Bits in words of 64, with the number of set bits before each word."""
 
@@ -23,8 +27,7 @@ class BitRank:
     def ones(self, i: np.ndarray) -> np.ndarray:
         """Set bits before position i."""
         word = i >> 6
-        mask = (np.uint64(1) << (i & 63).astype(np.uint64)) - np.uint64(1)
-        return self.before[word] + np.bitwise_count(self.words[word] & mask).astype(np.int32)
+        return self.before[word] + np.bitwise_count(self.words[word] & MASKS[i & 63])
 
 
 class WaveletMatrix:
@@ -44,13 +47,12 @@ class WaveletMatrix:
 
     def counts(self, symbol: np.ndarray, *positions: np.ndarray) -> list[np.ndarray]:
         """How often ``symbol`` occurs before each of ``positions`` (arrays of one length)."""
-        at = list(positions)
+        n = len(positions)
+        at, symbols = np.concatenate(positions), np.concatenate([symbol] * n)
         for shift, rank in self.levels:
-            one = ((symbol >> shift) & 1).astype(bool)
-            for k, i in enumerate(at):
-                ones = rank.ones(i)
-                at[k] = np.where(one, rank.zeros + ones, i - ones)
-        return [i - self.begin[symbol] for i in at]
+            ones = rank.ones(at)
+            at = np.where((symbols >> shift) & 1, ones + rank.zeros, at - ones)
+        return np.split(at - self.begin[symbols], n)
 
 
 def suffix_rows(text: np.ndarray, n_symbols: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

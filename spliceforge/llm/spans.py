@@ -31,6 +31,7 @@ FLUSH = 1 << 21
 #: Code points of contexts a shard is meant to hold, and contexts of one anchor that are too many for a shard.
 SHARD_CHARS = 4_000_000
 HOT_CONTEXTS = 150_000
+MOST_TASKS = 50_000
 #: What Spark gives as the size of a plan that it can't estimate is beyond this.
 UNKNOWN_SIZE = 10**17
 #: Kinds of packed contexts: of one record; of several (its own record doesn't matter); known to be shared (without text).
@@ -227,14 +228,7 @@ def _compare(record, start, count, offset, kind, points) -> list[tuple]:
     several[codes[kind == SEVERAL]] = True
     mine = (kind == ONE) & several[codes]
     out = [(record[mine], start[mine], start[mine] + lengths[mine])]
-    # contexts that differ but have the same anchor
-    whole = offset[first] == WINDOW_ANCHOR
-    size = np.where(whole, WIDTH, PIECE)
-    piece = points[ranges(begins[first] + np.where(whole, 0, offset[first]), size)]
-    anchor, _ = distinct(piece, size)
-    open_ = np.bincount(anchor)[anchor] > 1
-    some_single = np.bincount(anchor, weights=~several) > 0
-    use = np.flatnonzero(open_ & some_single[anchor])
+    use = _searchable(points, begins[first], lengths[first], offset[first], several)
     if not len(use):
         return out
     # symbols by what occurs, 0 between the texts
@@ -277,6 +271,29 @@ def _compare(record, start, count, offset, kind, points) -> list[tuple]:
     return out
 
 
+def _searchable(points: np.ndarray, begin: np.ndarray, length: np.ndarray, offset: np.ndarray, several: np.ndarray) -> np.ndarray:
+    """Which of the distinct contexts may have a window in common with another one.
+
+    A window has its anchor and WIDTH - PIECE more code points, at least half of them on one side of it. Contexts that share a window
+    so agree in the anchor and that half; a whole window that is its own anchor is in one distinct context only. Groups of which
+    every context is known to be shared need no search.
+    """
+    half = (WIDTH - PIECE) // 2
+    own, key = [], []
+    for side, at, fits in ((0, offset - half, offset >= half), (1, offset, offset + PIECE + half <= length)):
+        rows = np.flatnonzero(fits & (offset != WINDOW_ANCHOR))
+        hashes = np.full(len(rows), side, np.uint64)
+        place = begin[rows] + at[rows]
+        for k in range(PIECE + half):
+            hashes = hashes * np.uint64(_MULTIPLIER) + _mixed(points[place + k].astype(np.uint64) + np.uint64(1))
+        own.append(rows)
+        key.append(hashes)
+    own, key = np.concatenate(own), np.concatenate(key)
+    _, group = np.unique(key, return_inverse=True)
+    open_ = (np.bincount(group) > 1) & (np.bincount(group, weights=~several[own]) > 0)
+    return np.unique(own[open_[group]])
+
+
 def _hot_anchors(texts: DataFrame, chars: int) -> list[int]:
     """Hashes of anchors that more than about HOT_CONTEXTS contexts have, by a sample; fewer than chars / HOT_CONTEXTS.
 
@@ -353,6 +370,8 @@ def shared_spans(df: DataFrame, ident: str, text: str) -> DataFrame:
         return pa.table([pa.array(x, pa.int64()) for x in found], names=[ident, "span_from", "span_to"])
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in (ident, "span_from", "span_to")])
-    stretches = texts.mapInArrow(pack_contexts, "shard long, blob binary").groupBy("shard").applyInArrow(compare, schema)
+    # as many tasks as shards, as long as a driver can hold them, so that what a task reads doesn't grow
+    packed = texts.mapInArrow(pack_contexts, "shard long, blob binary").repartition(min(n_shards, max(wide, MOST_TASKS)), "shard")
+    stretches = packed.groupBy("shard").applyInArrow(compare, schema)
     runs = merge_intervals(stretches, [ident], "span_from", "span_to", hot_rows=None)  # a record has no more stretches than code points
     return runs.where("kind = 'period'").select(ident, F.col("pos_from").alias("span_from"), F.col("pos_to").alias("span_to"))
