@@ -143,6 +143,11 @@ def _merged(keys: list[str], part: str, schema: pa.Schema):
     return one
 
 
+def _check_keys(keys: list[str]) -> None:
+    if clash := {k.lower() for k in keys} & {f.name for f in FIELDS}:
+        raise ValueError(f"keys can't be named {', '.join(sorted(clash))}")
+
+
 def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Summary of ``value`` for each group: ``keys``, n, rank_error, quantile_values, rank_min, rank_max.
 
@@ -153,6 +158,7 @@ def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     Null and NaN values are left out and so are groups without others; null keys are a group of their own; infinities and
     repeated rows count like any value; an empty table gives no row.
     """
+    _check_keys(keys)
     spark = df.sparkSession
     ship_package(spark)
     h, v, p = fresh(keys, "hash", "value", "part")
@@ -170,6 +176,7 @@ def summarize(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def combine(summaries: DataFrame, keys: list[str]) -> DataFrame:
     """One summary a group from those of several loads, e.g. of the days so far (a union of stored results)."""
+    _check_keys(keys)
     ship_package(summaries.sparkSession)
     (p,) = fresh(summaries.columns, "part")
     rows = summaries.select(*keys, F.lit(0).cast("long").alias(p), *[f.name for f in FIELDS])

@@ -342,6 +342,8 @@ def shared_spans(df: DataFrame, ident: str, text: str) -> DataFrame:
     repeated under its own ident isn't shared by that); null idents and null texts give nothing, nor do texts under
     ``WIDTH``. Texts of any length are looked at whole. An empty table gives no row; extra columns aren't read.
     """
+    if ident.lower() in ("span_from", "span_to"):
+        raise ValueError(f"the identifier can't be named {ident}")
     spark = df.sparkSession
     ship_package(spark)
     texts = df.select(F.col(ident).cast("long").alias("__id"), F.col(text).alias("__text")).where("__id is not null and __text is not null")

@@ -95,6 +95,8 @@ def test_percentiles_of_groups(spark, wide):
         twice = quantiles.combine(sums.unionByName(sums), ["quantile_g"])
         both = {x["quantile_g"]: x for x in quantiles.percentiles(twice, {"mid": 0.5}).collect()}
         assert both["big"]["n"] == 60_000 and abs(both["big"]["mid"] - rows["big"]["mid"]) < 0.05
+        with pytest.raises(ValueError):
+            quantiles.summarize(df.withColumnRenamed("quantile_g", "n"), ["n"], "v")
         assert quantiles.summarize(df.limit(0), ["quantile_g"], "v").count() == 0
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", old)
