@@ -134,8 +134,23 @@ def p7_domains(spark: SparkSession, d: str) -> DataFrame:
                        "domain_name", F.col("blockcount").cast("long").alias("blockcount"), F.aggregate(starts, F.lit(0).cast("long"), lambda a, x: a + x).alias("sum_starts"), "uniprotid")
 
 
+_P7_FIELD = r'''("[^"]*(?:""[^"]*)*"|[^"\t][^\t]*|)'''
+_P7_CTE = rf"""with r as (select record_id, any_value(feed) as feed, any_value(chr(9) || regexp_replace(line, '\r$', '')) as body from raw_records
+    where line is not null and not regexp_full_match(line, '\s*') and not starts_with(line, '#') and feed in ('sample_table', 'example_anno_domains') group by record_id),
+f as (select *, regexp_full_match(body, '(?:\t{_P7_FIELD})*') as quoted_well, regexp_extract_all(body, '\t{_P7_FIELD}', 1) as raw from r),
+v as (select *, list_transform(raw, lambda x: case when starts_with(x, '"') then replace(x[2:-2], '""', '"') else x end) as v from f),
+d as (select *, case when regexp_replace(v[13], ',$', '') = '' then [] else string_split(regexp_replace(v[13], ',$', ''), ',') end as items from v),
+g as (select *, case when feed = 'sample_table' then regexp_full_match(v[2], '(?s).+\.bam') and not regexp_matches(v[2], '[\s\x00-\x1f\x7f-\x{{a0}}\x{{2000}}-\x{{200a}}\x{{3000}}]')
+    else regexp_full_match(v[3], '[0-9]+') and regexp_full_match(v[4], '[0-9]+') and regexp_full_match(v[11], '[0-9]+') and try_cast(v[3] as hugeint) < try_cast(v[4] as hugeint)
+      and try_cast(v[4] as hugeint) < 2147483648 and try_cast(v[11] as hugeint) = len(items) and len(list_filter(items, lambda x: not regexp_full_match(x, '[0-9]+') or coalesce(try_cast(x as hugeint) >= 2147483648, true))) = 0 end as fine from d),
+w as (select *, case when not quoted_well then 'quoting' when len(v) <> case when feed = 'sample_table' then 3 else 30 end then 'column_count' when not coalesce(fine, false) then 'invalid_value' end as reason from g)"""
+P7_SQL = f"{_P7_CTE} select record_id, reason from w where reason is not null"
+P7_SAMPLES_SQL = f"{_P7_CTE} select record_id, v[1] as sample_name, v[2] as file_name, v[3] as sample_group from w where reason is null and feed = 'sample_table'"
+P7_DOMAINS_SQL = f"""{_P7_CTE} select record_id, v[1] as domain_id, v[2] as chrom, cast(v[3] as bigint) as chromstart, cast(v[4] as bigint) as chromend, v[5] as domain_name, cast(v[11] as bigint) as blockcount,
+  cast(coalesce(list_sum(list_transform(items, lambda x: cast(x as bigint))), 0) as bigint) as sum_starts, v[29] as uniprotid from w where reason is null and feed <> 'sample_table'"""
+
 QUERIES = {
     "p2_found": p2_found, "p3_found": p3_found, "p3_gene_totals": p3_gene_totals, "p4_found": p4_found,
     "p7_found": p7_found, "p7_samples": p7_samples, "p7_domains": p7_domains,
 }
-SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_gene_totals": P3_TOTALS_SQL, "p4_found": P4_SQL}
+SQL = {"p2_found": P2_SQL, "p3_found": P3_SQL, "p3_gene_totals": P3_TOTALS_SQL, "p4_found": P4_SQL, "p7_found": P7_SQL, "p7_samples": P7_SAMPLES_SQL, "p7_domains": P7_DOMAINS_SQL}

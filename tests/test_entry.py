@@ -12,7 +12,7 @@ from spliceforge.plans import annotation, problems, structure, summary
 DIR = "/root/testdata/sf0.001"
 CORE = {n for m in (problems, structure, summary, annotation) for n in m.SQL}
 QUICK = sorted(CORE & {
-    "p2_found", "p3_found", "p3_gene_totals", "p4_found", "isoform_table", "gene_segments", "splice_events", "exclusive_events", "end_events", "isoform_fragments", "fsm_match", "transcript_positions",
+    "p2_found", "p3_found", "p3_gene_totals", "p4_found", "p7_found", "p7_domains", "isoform_table", "gene_segments", "splice_events", "exclusive_events", "end_events", "isoform_fragments", "fsm_match", "transcript_positions",
     "transcript_table", "filter_query", "filter_stats", "hist_exons", "exon_depth", "novel_type", "gene_loci", "isoform_usage", "coordination_table", "domain_containment", "domain_label_sets", "gtf_export", "window_content",
 })
 
