@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from spliceforge.session import materialize
 
 EVENT = ["gene_id", "event_type", "node_a", "node_b"]
+#: The key where ME events are among them: several may have one A and B.
+KEY = [*EVENT, "via"]
 #: By (alternative leaves A without a gap, alternative reaches B without a gap), on the + strand.
 PLUS_TYPES = {(0, 0): "ES", (0, 1): "3AS", (1, 0): "5AS", (1, 1): "IR"}
 SWAPPED = {"3AS": "5AS", "5AS": "3AS", "TSS": "PAS", "PAS": "TSS"}
@@ -91,33 +93,43 @@ def _ends(path: DataFrame) -> DataFrame:
     return path.groupBy("gene_id", "isoform").agg(F.min("tss").alias("tss"), F.max("pas").alias("pas"), F.min_by("exon_last", "node").alias("first_last"), F.max_by("exon_first", "node").alias("last_first"))
 
 
-def end_event_totals(path: DataFrame, strand: DataFrame, reads: DataFrame) -> DataFrame:
-    """Per TSS and PAS event: alternative_reads and primary_reads. ``reads``: gene_id, isoform, reads.
+def end_event_totals(path: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Per TSS and PAS event (and ``by``, e.g. the sample): alternative_reads and primary_reads. ``reads``: gene_id, isoform, ``by``, reads.
 
     The primary side needs the reads of all isoforms whose far end lies beyond a node; those come from sums per end node and
-    a running total over the gene's nodes.
+    a running total over the gene's nodes. An event needs a primary isoform, in whatever sample.
     """
-    ends = _ends(path).join(reads, ["gene_id", "isoform"])
+    shape = _ends(path)
+    ends = shape.join(reads, ["gene_id", "isoform"])
     out = None
     for plus, group, far, sign in (("TSS", "first_last", "pas", 1), ("PAS", "last_first", "tss", -1)):
-        many = ends.where("first_last != pas")
-        own = many.groupBy("gene_id", F.col(group).alias("n")).agg(
-            F.sum("reads").alias("alternative_reads"), F.count(F.lit(1)).alias("n_alternative"),
-            (F.min("tss") if plus == "TSS" else F.max("pas")).alias("outer"))
-        # by the far end, all isoforms: what lies strictly beyond n, less the event's own isoforms (they do lie beyond)
-        beyond = ends.groupBy("gene_id", F.col(far).alias("at")).agg(F.sum("reads").alias("r"), F.count(F.lit(1)).alias("k"))
-        both = own.select("gene_id", F.col("n").alias("at"), F.lit(0).alias("r"), F.lit(0).alias("k"), F.lit(True).alias("ask")).unionByName(beyond.withColumn("ask", F.lit(False)))
-        from pyspark.sql import Window
-
-        order = F.col("at").desc() if sign > 0 else F.col("at").asc()
-        w = Window.partitionBy("gene_id").orderBy(order, F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, -1)
-        asked = both.select("gene_id", "at", "ask", F.sum("r").over(w).alias("r"), F.sum("k").over(w).alias("k")).where("ask")
-        got = own.join(asked.select("gene_id", F.col("at").alias("n"), "r", "k"), ["gene_id", "n"])
-        got = got.withColumns({"primary_reads": F.coalesce("r", F.lit(0)) - F.col("alternative_reads"), "n_primary": F.coalesce("k", F.lit(0)) - F.col("n_alternative")}).where("n_primary > 0")
+        outer = F.min("tss") if plus == "TSS" else F.max("pas")
+        own = shape.where("first_last != pas").groupBy("gene_id", F.col(group).alias("n")).agg(outer.alias("outer"), F.count(F.lit(1)).alias("n_own"))
+        own = own.join(_beyond(own, shape.withColumn("reads", F.lit(0)), far, sign).select("gene_id", "n", "k"), ["gene_id", "n"]).where("k > n_own").drop("n_own", "k")
+        asked = own.join(reads.select("gene_id", *by).distinct(), "gene_id") if by else own
+        # what lies strictly beyond n, less the event's own isoforms (they do lie beyond)
+        mine = ends.where("first_last != pas").groupBy("gene_id", F.col(group).alias("n"), *by).agg(F.sum("reads").alias("alt"), F.count(F.lit(1)).alias("n_alt"))
+        none = F.lit(0).cast("long")
+        parts = _beyond(asked, ends, far, sign, by).withColumns({"alt": none, "n_alt": none}).unionByName(mine.withColumns({"r": none, "k": none}))
+        got = parts.groupBy("gene_id", "n", *by).agg(F.sum("r").alias("r"), F.sum("k").alias("k"), F.sum("alt").alias("alternative_reads"), F.sum("n_alt").alias("n_alternative")).where("k > 0").join(own, ["gene_id", "n"])
+        got = got.withColumns({"primary_reads": F.col("r") - F.col("alternative_reads"), "n_primary": F.col("k") - F.col("n_alternative")})
         a, b = ("outer", "n") if plus == "TSS" else ("n", "outer")
-        got = got.select("gene_id", F.lit(plus).alias("t"), F.col(a).alias("node_a"), F.col(b).alias("node_b"), "primary_reads", "alternative_reads", "n_primary", "n_alternative")
+        got = got.select("gene_id", F.lit(plus).alias("t"), F.col(a).alias("node_a"), F.col(b).alias("node_b"), *by, "primary_reads", "alternative_reads", "n_primary", "n_alternative")
         out = got if out is None else out.unionByName(got)
-    return out.join(strand, "gene_id").select("gene_id", _by_strand(F.col("t")).alias("event_type"), "node_a", "node_b", "primary_reads", "alternative_reads", "n_primary", "n_alternative")
+    return out.join(strand, "gene_id").select("gene_id", _by_strand(F.col("t")).alias("event_type"), "node_a", "node_b", *by, "primary_reads", "alternative_reads", "n_primary", "n_alternative")
+
+
+def _beyond(asked: DataFrame, ends: DataFrame, far: str, sign: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """gene_id, n, ``by``, r and k: reads and number of the isoforms whose ``far`` end lies strictly beyond each asked node n."""
+    from pyspark.sql import Window
+
+    beyond = ends.groupBy("gene_id", F.col(far).alias("at"), *by).agg(F.sum("reads").alias("r"), F.count(F.lit(1)).alias("k"))
+    none = F.lit(0).cast("long")
+    both = asked.select("gene_id", F.col("n").alias("at"), *by, none.alias("r"), none.alias("k"), F.lit(True).alias("ask")).unionByName(beyond.withColumn("ask", F.lit(False)))
+    order = F.col("at").desc() if sign > 0 else F.col("at").asc()
+    w = Window.partitionBy("gene_id", *by).orderBy(order, F.col("ask").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    total = lambda c: F.coalesce(F.sum(c).over(w), none).alias(c)
+    return both.select("gene_id", F.col("at").alias("n"), *by, "ask", total("r"), total("k")).where("ask").drop("ask")
 
 
 def with_coordinates(events: DataFrame, segs: DataFrame) -> DataFrame:

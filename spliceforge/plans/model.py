@@ -71,6 +71,13 @@ def all_events(path: DataFrame, segs: DataFrame, strand: DataFrame) -> DataFrame
     return simple.unionByName(bubbles.exclusive_events(path, segs).withColumn("via", F.col("via").cast("int")))
 
 
+
+def all_totals(path: DataFrame, segs: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Totals of the events of all types, TSS and PAS included; via is part of the key."""
+    ends = bubbles.end_event_totals(path, strand, reads, by).withColumn("via", F.lit(None).cast("int"))
+    return bubbles.event_totals(all_events(path, segs, strand), reads, by).unionByName(ends)
+
+
 # ------------------------------------------------------------------ the same for DuckDB
 BASE = """
 cur as (select * from transcript where transcript_id is not null
@@ -141,3 +148,12 @@ ME_SQL = """
 {p}frs as (select distinct gene, a, c, b from (select gene, a, c, isoform, min(b) as b from {p}met group by all)),
 {p}me as (select m.gene, m.a, m.c, m.b, 'alternative' as side, m.isoform from {p}met m join {p}frs f on f.gene = m.gene and f.a = m.a and f.c = m.c and f.b = m.b
   union all select f.gene, f.a, f.c, f.b, 'primary', h.isoform from {p}frs f join {p}hop h on h.gene = f.gene and h.a = f.a and h.c = f.c and h.bf >= f.b)"""
+#: The isoforms on either side of the events of all types; after SIMPLE_SQL and ME_SQL.
+ALL_SQL = """
+en as (select gene, strand, isoform, min(tss) as tss, max(pas) as pas, arg_min(exon_last, node) as fl, arg_max(exon_first, node) as lf from pth group by all),
+te as (select gene, strand, fl as n, min(tss) as o from en where fl <> pas group by all), pe as (select gene, strand, lf as n, max(pas) as o from en where fl <> pas group by all),
+ev as (select t.gene, case when t.strand = '-' then 'PAS' else 'TSS' end as event_type, t.o as a, t.n as b, x.fl = t.n and x.fl <> x.pas as own, x.isoform from te t join en x on x.gene = t.gene and x.pas > t.n
+  union all select t.gene, case when t.strand = '-' then 'TSS' else 'PAS' end, t.n, t.o, x.lf = t.n and x.fl <> x.pas, x.isoform from pe t join en x on x.gene = t.gene and x.tss < t.n),
+evo as (select *, sum(cast(not own as int)) over (partition by gene, event_type, a, b) as others from ev),
+evs as (select gene, event_type, a, b, cast(null as int) as via, side, isoform from sim union all select gene, 'ME', a, c, b, side, isoform from me
+  union all select gene, event_type, a, b, null, case when own then 'alternative' else 'primary' end, isoform from evo where others > 0)"""

@@ -113,6 +113,16 @@ def event_psi(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("total_reads > 0").withColumn("psi", F.round(F.col("alt_reads") / F.col("total_reads"), 6))
 
 
+def all_event_psi(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`event_psi` over the events of all types; via tells ME events of one A and B apart."""
+    iso, reads = M.isoforms_and_reads(spark, d)
+    segs, path, strand = M.graph(iso)
+    totals = M.all_totals(path, segs, strand, reads, ("sample_name",))
+    total = F.col("primary_reads") + F.col("alternative_reads")
+    rows = totals.select(*bubbles.KEY, "sample_name", F.col("alternative_reads").alias("alt_reads"), total.alias("total_reads"))
+    return rows.where("total_reads > 0").withColumn("psi", F.round(F.col("alt_reads") / F.col("total_reads"), 6))
+
+
 def event_known(spark: SparkSession, d: str) -> DataFrame:
     """Simple events by coordinates, and whether the reference isoforms (full splice matches) alone show them too."""
     def coords(only: str) -> DataFrame:
@@ -124,6 +134,19 @@ def event_known(spark: SparkSession, d: str) -> DataFrame:
     return coords("true").join(known, ["gene_id", "event_type", "start", "end"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
 
 
+def all_event_known(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`event_known` over the events of all types; via_start is where the primary exon nearest to A of an ME event begins."""
+    def coords(only: str) -> DataFrame:
+        iso = M.isoforms(spark, d, only)
+        segs, path, strand = M.graph(iso)
+        events = M.all_totals(path, segs, strand, iso.select("gene_id", "isoform", "reads")).select(*bubbles.KEY)
+        via = segs.select("gene_id", F.col("node").alias("via"), F.col("start").alias("via_start"))
+        return bubbles.with_coordinates(events, segs).join(via, ["gene_id", "via"], "left").select("gene_id", "event_type", "start", "end", "via_start").distinct()
+
+    same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("gene_id", "event_type", "start", "end", "via_start")]
+    return coords("true").alias("a").join(coords(REF).withColumn("known", F.lit(True)).alias("b"), same, "left").select("a.*", F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def event_type_counts(spark: SparkSession, d: str) -> DataFrame:
     """Frequent events and distinct genes of each type."""
     rows = frequent_events(spark, d)
@@ -190,7 +213,7 @@ def transcript_positions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     gene_exonic_regions, isoform_table, intron_support, gene_segments, segment_paths, segment_edges, segment_restore, segment_coverage, junction_coverage,
-    isoform_fragments, splice_events, exclusive_events, end_events, frequent_events, event_psi, event_known, event_type_counts, event_neighbours,
+    isoform_fragments, splice_events, exclusive_events, end_events, frequent_events, event_psi, all_event_psi, event_known, all_event_known, event_type_counts, event_neighbours,
     splice_site_support, fsm_match, partial_match, fuzzy_junctions, transcript_positions,
 )}
 
@@ -244,6 +267,9 @@ SQL = {
     "event_psi": f"""{_SIM}, sr as (select isoform, c.sample_name, sum(coalesce(c.coverage, 0)) as reads from ch c join iso i using (gene_id, chr, strand, chain) group by all),
         p as (select e.gene, event_type, e.a, e.b, sample_name, sum(case when side = 'alternative' then reads else 0 end) as alt_reads, sum(reads) as total_reads from sim e join sr using (isoform) group by all)
         select gene as gene_id, event_type, a as node_a, b as node_b, sample_name, cast(alt_reads as bigint) as alt_reads, cast(total_reads as bigint) as total_reads, round(alt_reads / total_reads, 6) as psi from p where total_reads > 0""",
+    "all_event_psi": f"""{_SIM}, {M.ME_SQL.format(p='')}, {M.ALL_SQL}, sr as (select isoform, c.sample_name, sum(coalesce(c.coverage, 0)) as reads from ch c join iso i using (gene_id, chr, strand, chain) group by all),
+        p as (select e.gene, event_type, e.a, e.b, via, sample_name, sum(case when side = 'alternative' then reads else 0 end) as alt_reads, sum(reads) as total_reads from evs e join sr using (isoform) group by all)
+        select gene as gene_id, event_type, a as node_a, b as node_b, via, sample_name, cast(alt_reads as bigint) as alt_reads, cast(total_reads as bigint) as total_reads, round(alt_reads / total_reads, 6) as psi from p where total_reads > 0""",
     "event_known": f"""{_SIM}, {M.sql_iso('r_', REF)}, {M.sql_graph('r_')}, {M.SIMPLE_SQL.format(p='r_')},
         k as (select distinct t.gene, event_type, x.e as st, y.s as en from (select distinct gene, event_type, a, b from r_sim) t join r_seg x on x.gene = t.gene and x.node = t.a join r_seg y on y.gene = t.gene and y.node = t.b)
         select distinct t.gene as gene_id, t.event_type, x.e as start, y.s as "end", k.gene is not null as known from (select distinct gene, event_type, a, b from sim) t {_COORD}

@@ -235,22 +235,26 @@ def novelty_class(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ tests
-def _two_groups(spark: SparkSession, d: str) -> DataFrame:
-    """Simple events with alternative reads (x) and all reads (n) of two groups of samples."""
+def _two_groups(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """Simple events (``every``: those of all types, keyed with via) with alternative reads (x) and all reads (n) of two groups of samples."""
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
     reads = reads.join(s, "sample_name").groupBy("gene_id", "isoform", "sample_group").agg(F.sum("reads").alias("reads"))
-    t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_group",))
+    t = M.all_totals(path, segs, strand, reads, ("sample_group",)) if every else bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_group",))
     pick = lambda g, v: F.sum(F.when(F.col("sample_group") == g, v).otherwise(0))
     both = F.col("primary_reads") + F.col("alternative_reads")
     cols = [pick(g, v).alias(f"{n}{i}") for i, g in enumerate(GROUPS) for n, v in (("x", F.col("alternative_reads")), ("n", both))]
-    rows = t.groupBy(*bubbles.EVENT).agg(*cols)
+    rows = t.groupBy(*_key(every)).agg(*cols)
     x, n = F.col("x0") + F.col("x1"), F.col("n0") + F.col("n1")
     # written once: each test below uses its columns several times
     return materialize(rows.where((F.col("n0") > 0) & (F.col("n1") > 0) & (n >= MIN_TOTAL) & (x >= n * F.lit(0.1)) & (x <= n * F.lit(0.9))), "group-events")
 
 
+def _key(every: bool) -> list[str]:
+    return bubbles.KEY if every else bubbles.EVENT
+
+
 def _loglik(x: Column, n: Column) -> Column:
     p = x / n
     return F.when(x > 0, x * F.ln(p)).otherwise(0.0) + F.when(n > x, (n - x) * F.ln(1 - p)).otherwise(0.0)
@@ -260,39 +264,51 @@ def _lr(x0: Column, n0: Column, x1: Column, n1: Column) -> Column:
     return F.greatest(2 * (_loglik(x0, n0) + _loglik(x1, n1) - _loglik(x0 + x1, n0 + n1)), F.lit(0.0))
 
 
-def proportion_z(spark: SparkSession, d: str) -> DataFrame:
+def proportion_z(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Pooled z statistic of the alternative share between two groups."""
     p = (F.col("x0") + F.col("x1")) / (F.col("n0") + F.col("n1"))
     z = (F.col("x0") / F.col("n0") - F.col("x1") / F.col("n1")) / F.sqrt(p * (1 - p) * (1 / F.col("n0") + 1 / F.col("n1")))
-    return _two_groups(spark, d).select(*bubbles.EVENT, "x0", "n0", "x1", "n1", F.round(z, 5).alias("z"))
+    return _two_groups(spark, d, every).select(*_key(every), "x0", "n0", "x1", "n1", F.round(z, 5).alias("z"))
 
 
-def binomial_lr(spark: SparkSession, d: str) -> DataFrame:
+def binomial_lr(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """Likelihood ratio statistic of separate against pooled binomials."""
-    rows = _two_groups(spark, d)
-    return rows.select(*bubbles.EVENT, F.round(_lr(*[F.col(c) for c in ("x0", "n0", "x1", "n1")]), 4).alias("statistic"))
+    rows = _two_groups(spark, d, every)
+    return rows.select(*_key(every), F.round(_lr(*[F.col(c) for c in ("x0", "n0", "x1", "n1")]), 4).alias("statistic"))
 
 
-def adjusted_p(spark: SparkSession, d: str) -> DataFrame:
+def adjusted_p(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """The same statistic read as chi square of two degrees, whose p is exp(-x/2), adjusted for the false discovery rate."""
-    rows = _two_groups(spark, d).select(*bubbles.EVENT, F.exp(-F.round(_lr(*[F.col(c) for c in ("x0", "n0", "x1", "n1")]), 4) / 2).alias("p"))
-    return stats.adjust_fdr(rows, "p").select(*bubbles.EVENT, F.round("p", 6).alias("p_value"), F.round("padj", 6).alias("padj"))
+    rows = _two_groups(spark, d, every).select(*_key(every), F.exp(-F.round(_lr(*[F.col(c) for c in ("x0", "n0", "x1", "n1")]), 4) / 2).alias("p"))
+    return stats.adjust_fdr(rows, "p").select(*_key(every), F.round("p", 6).alias("p_value"), F.round("padj", 6).alias("padj"))
+
+
+def all_proportion_z(spark: SparkSession, d: str) -> DataFrame:
+    return proportion_z(spark, d, every=True)
+
+
+def all_binomial_lr(spark: SparkSession, d: str) -> DataFrame:
+    return binomial_lr(spark, d, every=True)
+
+
+def all_adjusted_p(spark: SparkSession, d: str) -> DataFrame:
+    return adjusted_p(spark, d, every=True)
 
 
 def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
-    """Differential splicing: beta-binomial likelihood ratio of two groups of samples per event, with means, dispersions and padj."""
+    """Differential splicing: beta-binomial likelihood ratio of two groups of samples per event of any type, with means, dispersions and padj."""
     ship_package(spark)
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
     reads = reads.join(s, "sample_name")
-    t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_name", "sample_group"))
-    rows = t.select(*bubbles.EVENT, F.struct(F.col("sample_group").alias("g"), F.col("sample_name").alias("s"), F.col("alternative_reads").alias("x"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")).alias("c"))
-    rows = rows.groupBy(*bubbles.EVENT).agg(F.array_sort(F.collect_list("c")).alias("c"))
+    t = M.all_totals(path, segs, strand, reads, ("sample_name", "sample_group"))
+    rows = t.select(*bubbles.KEY, F.struct(F.col("sample_group").alias("g"), F.col("sample_name").alias("s"), F.col("alternative_reads").alias("x"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")).alias("c"))
+    rows = rows.groupBy(*bubbles.KEY).agg(F.array_sort(F.collect_list("c")).alias("c"))
     total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c[f])
     rows = rows.withColumns({"x": total("x"), "n": total("n")}).where((F.col("n") >= MIN_TOTAL) & (F.col("x") >= F.col("n") * F.lit(0.1)) & (F.col("x") <= F.col("n") * F.lit(0.9)))
     # few rows, each of which costs a fit: all cores, however few bytes they are
-    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, *bubbles.EVENT)
+    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, *bubbles.KEY)
     fields = ["p", "mean_a", "disp_a", "mean_b", "disp_b", "mean_all", "disp_all"]
 
     @F.pandas_udf(", ".join(f"{f} double" for f in fields))
@@ -304,7 +320,7 @@ def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
             out.append([None if v is None or math.isnan(v) else v for v in (p, *params)])
         return pd.DataFrame(out, columns=fields, dtype="float64")
 
-    return stats.adjust_fdr(rows.select(*bubbles.EVENT, "x", "n", test("c").alias("t")).select(*bubbles.EVENT, "x", "n", "t.*"), "p")
+    return stats.adjust_fdr(rows.select(*bubbles.KEY, "x", "n", test("c").alias("t")).select(*bubbles.KEY, "x", "n", "t.*"), "p")
 
 
 def isoform_usage(spark: SparkSession, d: str, top: int = 10, min_cov: int = 25) -> DataFrame:
@@ -325,18 +341,20 @@ def isoform_usage(spark: SparkSession, d: str, top: int = 10, min_cov: int = 25)
     return agg.select("gene_id", "n_isoforms", "chi2", F.round(F.when(up >= -down, up).otherwise(down), 5).alias("delta_share"))
 
 
-def coordination_table(spark: SparkSession, d: str, min_dist: int = 1) -> DataFrame:
+def coordination_table(spark: SparkSession, d: str, min_dist: int = 1, exclusive: bool = False) -> DataFrame:
     """Joint support of two events of a gene: reads of isoforms on either side of both, log2 odds ratio and changes of conditional share.
 
     Only events frequent by themselves are paired, with those behind them; the four cells come from isoforms that have a side in both.
+    ``exclusive``: ME events beside the simple ones, a_via and b_via telling those of one A and B apart.
     """
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
     reads = iso.select("gene_id", "isoform", "reads")
-    sides = materialize(bubbles.simple_events(path, segs, strand), "event-sides")
-    keep = bubbles.with_coordinates(bubbles.frequent(bubbles.event_totals(sides, reads), MIN_TOTAL, 0.1), segs).select(*bubbles.EVENT, "start", "end")
-    named = sides.join(keep, bubbles.EVENT).join(reads.where("reads > 0"), ["gene_id", "isoform"])
-    key = F.struct("start", "end", "event_type", "node_a", "node_b")
+    sides = M.all_events(path, segs, strand) if exclusive else bubbles.simple_events(path, segs, strand).withColumn("via", F.lit(None).cast("int"))
+    sides = materialize(sides.withColumn("via", F.coalesce("via", F.lit(-1))), "event-sides")  # no null in the join's key
+    keep = bubbles.with_coordinates(bubbles.frequent(bubbles.event_totals(sides, reads), MIN_TOTAL, 0.1), segs).select(*bubbles.KEY, "start", "end")
+    named = sides.join(keep, bubbles.KEY).join(reads.where("reads > 0"), ["gene_id", "isoform"])
+    key = F.struct("start", "end", "event_type", "node_a", "node_b", "via")
     named = materialize(named.select("gene_id", "isoform", key.alias("ev"), (F.col("side") == "alternative").cast("int").alias("alt"), "reads"), "event-support")
     one = named.select("gene_id", "isoform", F.col("ev").alias("a"), F.col("alt").alias("alt_a"), "reads")
     two = named.select("gene_id", "isoform", F.col("ev").alias("b"), F.col("alt").alias("alt_b"))
@@ -346,19 +364,25 @@ def coordination_table(spark: SparkSession, d: str, min_dist: int = 1) -> DataFr
     pp, pa, ap, aa = (F.col(c) for c in ("pri_pri", "pri_alt", "alt_pri", "alt_alt"))
     total = pp + pa + ap + aa
     t = t.where((total >= MIN_TOTAL) & (pp + pa > 0) & (ap + aa > 0) & (pp + ap > 0) & (pa + aa > 0))
-    return t.select("gene_id", F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("a.event_type").alias("a_type"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), F.col("b.event_type").alias("b_type"),
+    via = [F.nullif(F.col(f"{x}.via"), F.lit(-1)).alias(f"{x}_via") for x in ("a", "b")] if exclusive else []
+    return t.select("gene_id", *via, F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("a.event_type").alias("a_type"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), F.col("b.event_type").alias("b_type"),
                     "pri_pri", "pri_alt", "alt_pri", "alt_alt", F.round(stats.log2_odds_ratio(pp, pa, ap, aa), 4).alias("log2_or"), F.round(aa / (ap + aa) - (pa + aa) / total, 5).alias("dcpsi_ab"), F.round(aa / (pa + aa) - (ap + aa) / total, 5).alias("dcpsi_ba"))
 
 
+def all_coordination_table(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`coordination_table` with ME events."""
+    return coordination_table(spark, d, exclusive=True)
+
+
 def coordination_test(spark: SparkSession, d: str) -> DataFrame:
-    """Fisher's exact test of the coordination tables, adjusted."""
+    """Fisher's exact test of the coordination tables, ME events included, adjusted."""
     ship_package(spark)
 
     @F.pandas_udf("double")
     def p_value(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
         return pd.Series([stats.fisher_exact(*map(int, x))[1] for x in zip(a, b, c, e)], dtype=float)
 
-    rows = materialize(coordination_table(spark, d), "coordination")
+    rows = materialize(all_coordination_table(spark, d), "coordination")
     return stats.adjust_fdr(rows.withColumn("p", p_value("pri_pri", "pri_alt", "alt_pri", "alt_alt")), "p")
 
 
@@ -383,14 +407,14 @@ def saturation(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_embedding(spark: SparkSession, d: str, top: int = 500, prior: int = 2) -> DataFrame:
-    """Samples in the plane of the two greatest principal components of smoothed shares of the ``top`` events by variance.
+    """Samples in the plane of the two greatest principal components of smoothed shares of the ``top`` events of any type by variance.
 
     The matrix that the driver decomposes has a row a sample and at most ``top`` columns.
     """
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
-    t = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_name",))
-    rows = materialize(t.select(F.concat_ws("/", *bubbles.EVENT).alias("event"), "sample_name", F.col("alternative_reads").alias("k"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")), "embedding-cells")
+    t = M.all_totals(path, segs, strand, reads, ("sample_name",))
+    rows = materialize(t.select(F.concat_ws("/", *bubbles.KEY).alias("event"), "sample_name", F.col("alternative_reads").alias("k"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")), "embedding-cells")
     mean = rows.groupBy("event").agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.sum("n").alias("total")).where(F.col("total") >= MIN_TOTAL)
     psi = rows.join(mean, "event").withColumn("psi", (F.col("k") + F.col("mean") * prior) / (F.col("n") + prior))
     best = psi.groupBy("event", "mean").agg(F.var_pop("psi").alias("v")).orderBy(F.col("v").desc(), "event").limit(top)
@@ -412,7 +436,7 @@ QUERIES = {f.__name__: f for f in (
     gene_table, transcript_table, group_coverage, category_pivot, sample_overview, gene_tpm, subcategory_examples, lowest_categories, region_genes, gene_selection,
     filter_query, filter_stats, substantial, altsplice_stats, hist_length, hist_coverage, hist_exons, hist_downstream_a, hist_transcripts_per_gene, length_bins,
     exon_depth, junction_counts, gene_overlaps, best_gene, novel_type, novel_gene, gene_loci, novelty_class,
-    proportion_z, binomial_lr, adjusted_p, altsplice_test, isoform_usage, coordination_table, coordination_test, rarefaction, saturation, event_embedding,
+    proportion_z, binomial_lr, adjusted_p, all_proportion_z, all_binomial_lr, all_adjusted_p, altsplice_test, isoform_usage, coordination_table, all_coordination_table, coordination_test, rarefaction, saturation, event_embedding,
 )}
 
 _W = f"with {M.BASE}"
@@ -437,6 +461,10 @@ _TWO = f"""{_GRAPH}, {_GR}, tw0 as (select e.gene, event_type, e.a, e.b, sum(cas
     sum(case when sample_group = '{GROUPS[1]}' and side = 'alternative' then reads else 0 end) as x1, sum(case when sample_group = '{GROUPS[1]}' then reads else 0 end) as n1 from sim e join sr using (isoform) group by all),
   tw as (select gene as gene_id, event_type, a as node_a, b as node_b, cast(x0 as bigint) as x0, cast(n0 as bigint) as n0, cast(x1 as bigint) as x1, cast(n1 as bigint) as n1 from tw0
     where n0 > 0 and n1 > 0 and n0 + n1 >= {MIN_TOTAL} and x0 + x1 >= (n0 + n1) * cast(0.1 as double) and x0 + x1 <= (n0 + n1) * cast(0.9 as double))"""
+_ALL_TWO = f"""{_GRAPH}, {M.ME_SQL.format(p='')}, {M.ALL_SQL}, {_GR}, tw0 as (select e.gene, event_type, e.a, e.b, via, sum(case when sample_group = '{GROUPS[0]}' and side = 'alternative' then reads else 0 end) as x0, sum(case when sample_group = '{GROUPS[0]}' then reads else 0 end) as n0,
+    sum(case when sample_group = '{GROUPS[1]}' and side = 'alternative' then reads else 0 end) as x1, sum(case when sample_group = '{GROUPS[1]}' then reads else 0 end) as n1 from evs e join sr using (isoform) group by all),
+  tw as (select gene as gene_id, event_type, a as node_a, b as node_b, via, cast(x0 as bigint) as x0, cast(n0 as bigint) as n0, cast(x1 as bigint) as x1, cast(n1 as bigint) as n1 from tw0
+    where n0 > 0 and n1 > 0 and n0 + n1 >= {MIN_TOTAL} and x0 + x1 >= (n0 + n1) * cast(0.1 as double) and x0 + x1 <= (n0 + n1) * cast(0.9 as double))"""
 _LL = "(case when {x} > 0 then {x} * ln(({x}) / ({n})) else 0.0 end + case when {n} > {x} then ({n} - ({x})) * ln(1 - ({x}) / ({n})) else 0.0 end)"
 _LR = f"greatest(2 * ({_LL.format(x='x0', n='n0')} + {_LL.format(x='x1', n='n1')} - {_LL.format(x='(x0 + x1)', n='(n0 + n1)')}), 0.0)"
 
@@ -493,6 +521,8 @@ SQL = {
     "binomial_lr": f"{_TWO} select gene_id, event_type, node_a, node_b, round({_LR}, 4) as statistic from tw",
     "adjusted_p": f"""{_TWO}, p as (select gene_id, event_type, node_a, node_b, exp(-round({_LR}, 4) / 2) as p from tw), r as (select *, rank() over (order by p) + count(*) over (partition by p) - 1 as rk, count(*) over () as m from p)
         select gene_id, event_type, node_a, node_b, round(p, 6) as p_value, round(least(min(p * m / rk) over (order by p desc), 1.0), 6) as padj from r""",
+    "all_proportion_z": f"""{_ALL_TWO} select *, round((x0 / n0 - x1 / n1) / sqrt(((x0 + x1) / (n0 + n1)) * (1 - (x0 + x1) / (n0 + n1)) * (1 / n0 + 1 / n1)), 5) as z from tw""",
+    "all_binomial_lr": f"{_ALL_TWO} select gene_id, event_type, node_a, node_b, via, round({_LR}, 4) as statistic from tw",
     "isoform_usage": f"""{_W}, {M.sql_iso()}, {_GR}, u as (select gene, isoform, sum(case when sample_group = '{GROUPS[0]}' then reads else 0 end) as r0, sum(case when sample_group = '{GROUPS[1]}' then reads else 0 end) as r1 from sr group by all),
         k as (select gene, least(row_number() over (partition by gene order by r0 + r1 desc, isoform), 10) as k, r0, r1 from u where r0 + r1 > 0), c as (select gene, k, cast(sum(r0) as double) as r0, cast(sum(r1) as double) as r1 from k group by all),
         z as (select *, sum(r0) over w as t0, sum(r1) over w as t1, count(*) over w as n from c window w as (partition by gene)), q as (select *, (r0 + r1) * t0 / (t0 + t1) as e0, (r0 + r1) * t1 / (t0 + t1) as e1, r1 / t1 - r0 / t0 as ch from z where t0 >= 25 and t1 >= 25 and n > 1),
