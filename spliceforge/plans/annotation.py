@@ -80,10 +80,38 @@ def event_export(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unified_ends(spark: SparkSession, d: str) -> DataFrame:
-    """Read starts of the transcripts of each gene, moved to peaks."""
+    """Both ends of the transcripts of each gene, in genomic order, moved to peaks."""
     rows = M.in_genes(spark, d).where("coverage > 0").withColumn("gene_id", F.expr(M.GENE_KEY))
-    ends = rows.select("gene_id", F.lit("start").alias("kind"), F.get("exons", F.lit(0))["end"].alias("junction"), F.col("tr_start").alias("pos"), "coverage")
-    return unify_ends(ends.groupBy("gene_id", "kind", "junction", "pos").agg(F.sum("coverage").alias("n")))
+    return unify_ends(_end_reads(rows).groupBy("gene_id", "kind", "junction", "pos").agg(F.sum("coverage").alias("n")))
+
+
+def _end_reads(rows: DataFrame) -> DataFrame:
+    """gene_id, transcript_id, kind, junction, pos, coverage: two rows a transcript; junction is null for single exons."""
+    spliced = F.size("exons") > 1
+    first, last = F.get("exons", F.lit(0))["end"], F.try_element_at("exons", F.lit(-1))["start"]
+    end = lambda kind, junction, pos: F.struct(F.lit(kind).alias("kind"), F.when(spliced, junction).alias("junction"), pos.alias("pos"))
+    both = F.inline(F.array(end("start", first, F.col("tr_start")), end("end", last, F.col("tr_end"))))
+    return rows.select("gene_id", "transcript_id", "coverage", both)
+
+
+def unified_bounds(spark: SparkSession, d: str) -> DataFrame:
+    """The outer bounds of each isoform: of each end, the unified position that most of its reads have (the outermost of equal ones)."""
+    rows = materialize(M.chained(spark, d, "coverage > 0").withColumn("gene_id", F.expr(M.GENE_KEY)).select("gene_id", "chain", "transcript_id", "exons", "tr_start", "tr_end", "coverage"), "end-transcripts")
+    return majority_bounds(rows)
+
+
+def majority_bounds(rows: DataFrame) -> DataFrame:
+    """gene_id, chain, iso_start, iso_end. ``rows``: gene_id, chain, transcript_id, exons, tr_start, tr_end, coverage."""
+    ends = _end_reads(rows)
+    moved = unify_ends(ends.groupBy("gene_id", "kind", "junction", "pos").agg(F.sum("coverage").alias("n")))
+    key = ["gene_id", "kind", "pos"]
+    same = [F.col(f"e.{c}") == F.col(f"m.{c}") for c in key] + [F.col("e.junction").eqNullSafe(F.col("m.junction"))]
+    at = ends.join(rows.select("transcript_id", "chain"), "transcript_id").alias("e").join(moved.alias("m"), same).select("e.gene_id", "e.chain", "e.kind", "m.unified_pos", "e.coverage")
+    votes = at.groupBy("gene_id", "chain", "kind", "unified_pos").agg(F.sum("coverage").alias("n"))
+    outer = F.when(F.col("kind") == "start", -F.col("unified_pos")).otherwise(F.col("unified_pos"))
+    best = votes.groupBy("gene_id", "chain", "kind").agg(F.max_by("unified_pos", F.struct(F.col("n"), outer)).alias("at"))
+    pick = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("at")))
+    return best.groupBy("gene_id", "chain").agg(pick("start").alias("iso_start"), pick("end").alias("iso_end"))
 
 
 def _sequences(spark: SparkSession, d: str) -> DataFrame:
@@ -133,7 +161,7 @@ def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2
 
 
 QUERIES = {f.__name__: f for f in (
-    domain_block_table, domain_containment, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends,
+    domain_block_table, domain_containment, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends, unified_bounds,
     reverse_complements, a_content, window_content, splice_motifs, reading_frames, direct_repeats,
 )}
 
