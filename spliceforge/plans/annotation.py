@@ -126,6 +126,13 @@ def a_content(spark: SparkSession, d: str) -> DataFrame:
     return _sequences(spark, d).select("doc_id", F.round(S.base_share(F.substring("seq", 1, 30), "A", 30), 4).alias("a_share"))
 
 
+def all_a_content(spark: SparkSession, d: str) -> DataFrame:
+    """Share of A in the 30 bases behind each place of a post on either strand, the places every 30 bases over the whole sequence."""
+    rows = _sequences(spark, d).where("length(seq) > 0").select("doc_id", "seq", F.explode(F.sequence(F.lit(0), F.length("seq"), F.lit(30))).alias("pos"))
+    rows = rows.select("*", F.explode(F.array(F.lit("+"), F.lit("-"))).alias("strand"))
+    return rows.select("doc_id", "pos", "strand", F.round(S.downstream(F.col("seq"), F.col("pos"), F.col("pos"), F.col("strand")), 4).alias("a_share"))
+
+
 def window_content(spark: SparkSession, d: str) -> DataFrame:
     """The greatest A or T count of any 30 bases, and where it first is."""
     rows = S.window_content(_sequences(spark, d), "seq", ["doc_id"], 30)
@@ -139,6 +146,14 @@ def splice_motifs(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(motif.alias("motif")).agg(F.count(F.lit(1)).alias("n"))
 
 
+def all_splice_motifs(spark: SparkSession, d: str, width: int = 50) -> DataFrame:
+    """Introns of ``width`` bases from every base of the posts by their motif, on either strand."""
+    rows = _sequences(spark, d).where(F.length("seq") >= width).withColumn("strand", F.when(F.col("doc_id") % 2 == 0, "+").otherwise("-"))
+    rows = rows.select("seq", "strand", F.explode(F.sequence(F.lit(0), F.length("seq") - width)).alias("pos"))
+    motif = S.splice_motif(F.col("seq"), F.col("pos"), F.col("pos") + width, F.col("strand"))
+    return rows.groupBy(motif.alias("motif")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def reading_frames(spark: SparkSession, d: str) -> DataFrame:
     """The chosen open reading frame of each sequence and its protein."""
     ship_package(spark)
@@ -148,21 +163,29 @@ def reading_frames(spark: SparkSession, d: str) -> DataFrame:
 
 
 def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2) -> DataFrame:
-    """Posts by the length of the direct repeat around the ends of the intron from base 40 to base 90, at most ``delta``."""
+    """Introns of 50 bases from every base of the posts that has the bases around both ends, by the length of the direct repeat there, at most ``delta``."""
     ship_package(spark)
 
-    @F.pandas_udf("int")
-    def length(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([min(delta, S.repeat_length(x, y, delta, 2, wobble)) for x, y in zip(a, b)])
+    side, intron = delta + wobble, 50
+
+    @F.pandas_udf("array<bigint>")
+    def counts(seqs: pd.Series) -> pd.Series:
+        out = []
+        for s in seqs:
+            n = [0] * (delta + 1)
+            for p in range(side, len(s) - intron - side + 1):
+                a, b = s[p - side : p + side], s[p + intron - side : p + intron + side]
+                n[min(delta, S.repeat_length(a, b, delta, 2, wobble))] += 1
+            out.append(n)
+        return pd.Series(out)
 
-    around = lambda p: F.substring("seq", p - delta - wobble + 1, 2 * (delta + wobble))
-    rows = _sequences(spark, d).where(F.length("seq") >= 110).select(length(around(40), around(90)).alias("repeat_length"))
-    return rows.groupBy("repeat_length").agg(F.count(F.lit(1)).alias("n"))
+    rows = _sequences(spark, d).where(F.length("seq") >= intron + 2 * side).select(F.posexplode(counts("seq")).alias("repeat_length", "k")).where("k > 0")
+    return rows.groupBy("repeat_length").agg(F.sum("k").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
     domain_block_table, domain_containment, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends, unified_bounds,
-    reverse_complements, a_content, window_content, splice_motifs, reading_frames, direct_repeats,
+    reverse_complements, a_content, all_a_content, window_content, splice_motifs, all_splice_motifs, reading_frames, direct_repeats,
 )}
 
 _SEQ = "sq as (select doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents where text is not null)"
