@@ -50,6 +50,12 @@ def domain_containment(spark: SparkSession, d: str) -> DataFrame:
     return contained(materialize(protein_chains(spark, d, domains), "protein-chains"), domains)
 
 
+def transcript_domains(spark: SparkSession, d: str) -> DataFrame:
+    """Domains whose blocks run along the exons of a transcript, with their place on it."""
+    transcripts = materialize(M.transcripts(spark, d).select("transcript_id", "chr", "exons"), "domain-transcripts")
+    return contained(transcripts, materialize(parsed_domains(spark, d).select("domain_id", "chr", "blocks"), "domains"))
+
+
 def domain_depth(spark: SparkSession, d: str) -> DataFrame:
     """How many distinct domains lie over each stretch of a chromosome."""
     rows = table(spark, d, "example_anno_domains").where("chrom is not null").select(F.col("chrom").alias("chr"), "domain_id", "chromstart", "chromend").distinct()
@@ -184,7 +190,7 @@ def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2
 
 
 QUERIES = {f.__name__: f for f in (
-    domain_block_table, domain_containment, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends, unified_bounds,
+    domain_block_table, domain_containment, transcript_domains, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends, unified_bounds,
     reverse_complements, a_content, all_a_content, window_content, splice_motifs, all_splice_motifs, reading_frames, direct_repeats,
 )}
 
