@@ -85,6 +85,15 @@ def event_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file", "row_id", "gene_id", "start", "end", "primary_reads", "alternative_reads")
 
 
+def all_event_export(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`event_export` with ME events."""
+    iso = M.isoforms(spark, d)
+    segs, path, strand = M.graph(iso)
+    totals = bubbles.event_totals(M.all_events(path, segs, strand), iso.select("gene_id", "isoform", "reads"))
+    rows = exon_layout(bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False), segs))
+    return rows.select("file", "row_id", "gene_id", "start", "end", "via", "primary_reads", "alternative_reads")
+
+
 def unified_ends(spark: SparkSession, d: str) -> DataFrame:
     """Both ends of the transcripts of each gene, in genomic order, moved to peaks."""
     rows = M.in_genes(spark, d).where("coverage > 0").withColumn("gene_id", F.expr(M.GENE_KEY))
@@ -190,7 +199,7 @@ def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2
 
 
 QUERIES = {f.__name__: f for f in (
-    domain_block_table, domain_containment, transcript_domains, domain_depth, domain_label_sets, gtf_export, event_export, unified_ends, unified_bounds,
+    domain_block_table, domain_containment, transcript_domains, domain_depth, domain_label_sets, gtf_export, event_export, all_event_export, unified_ends, unified_bounds,
     reverse_complements, a_content, all_a_content, window_content, splice_motifs, all_splice_motifs, reading_frames, direct_repeats,
 )}
 

@@ -103,6 +103,13 @@ def frequent_events(spark: SparkSession, d: str) -> DataFrame:
     return bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=True)
 
 
+def all_frequent_events(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`frequent_events` with TSS and PAS."""
+    iso = M.isoforms(spark, d)
+    segs, path, strand = M.graph(iso)
+    return bubbles.frequent(M.all_totals(path, segs, strand, iso.select("gene_id", "isoform", "reads")), MIN_TOTAL, 0.1, inclusive=True)
+
+
 def event_psi(spark: SparkSession, d: str) -> DataFrame:
     """Per simple event and sample: reads of the alternative side, of both, and their ratio."""
     iso, reads = M.isoforms_and_reads(spark, d)
@@ -213,7 +220,7 @@ def transcript_positions(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     gene_exonic_regions, isoform_table, intron_support, gene_segments, segment_paths, segment_edges, segment_restore, segment_coverage, junction_coverage,
-    isoform_fragments, splice_events, exclusive_events, end_events, frequent_events, event_psi, all_event_psi, event_known, all_event_known, event_type_counts, event_neighbours,
+    isoform_fragments, splice_events, exclusive_events, end_events, frequent_events, all_frequent_events, event_psi, all_event_psi, event_known, all_event_known, event_type_counts, event_neighbours,
     splice_site_support, fsm_match, partial_match, fuzzy_junctions, transcript_positions,
 )}
 

@@ -42,7 +42,7 @@ def exon_layout(events: DataFrame) -> DataFrame:
 
     names = F.create_map(*[F.lit(x) for kv in EVENT_FILES.items() for x in kv])
     rows = events.withColumn("file", names[F.col("event_type")]).where("file is not null")
-    return rows.withColumn("row_id", F.row_number().over(Window.partitionBy("file").orderBy("gene_id", "start", "end", "node_a", "node_b")))
+    return rows.withColumn("row_id", F.row_number().over(Window.partitionBy("file").orderBy("gene_id", "start", "end", "node_a", "node_b", *(c for c in ("via",) if c in events.columns))))
 
 
 def write_events(events: DataFrame, folder: str) -> None:
