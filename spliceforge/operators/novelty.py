@@ -134,14 +134,17 @@ def classify_transcripts(transcripts: DataFrame, references: DataFrame, block: i
 
     ``transcripts``: transcript_id, gene_id, exons; ``references``: gene_id, strand, exons. Distinct chains are compared once. Chains of a gene
     go out in blocks of ``block``, each with the gene's distinct reference chains, so a large gene is spread over tasks. Genes without a
-    reference give no row.
+    reference give no row. If both have chr and strand (of one value a gene), exons with a splice site that the gene's references lack and
+    another gene's have are taken as read through from there.
     """
     ship_package(transcripts.sparkSession)
     text = F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",")
     rows = transcripts.select("transcript_id", "gene_id", text.alias("exons"))
     chains = rows.select("gene_id", "exons").distinct()
+    sites = {"chr", "strand"} <= set(transcripts.columns) & set(references.columns)
+    through = _read_through(transcripts.withColumn("text", text), references) if sites else chains.select("gene_id", "exons", F.lit("").alias("fused")).limit(0)
     sizes = chains.groupBy("gene_id").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.lit(1)).alias("n_blocks"))
-    asked = chains.join(sizes, "gene_id").select("gene_id", "exons", F.pmod(F.xxhash64("exons"), "n_blocks").alias("block"))
+    asked = chains.join(through, ["gene_id", "exons"], "left").join(sizes, "gene_id").select("gene_id", "exons", F.coalesce("fused", F.lit("")).alias("fused"), F.pmod(F.xxhash64("exons"), "n_blocks").alias("block"))
     refs = references.select("gene_id", "strand", text.alias("exons")).distinct().join(sizes, "gene_id")
     blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1))
     refs = refs.select(F.col("gene_id").alias("ref_gene"), blocks.alias("ref_block"), "strand", F.col("exons").alias("ref_exons"))
@@ -150,8 +153,8 @@ def classify_transcripts(transcripts: DataFrame, references: DataFrame, block: i
         got = []
         if len(t) and len(r):
             ref = Reference([_pairs(x) for x in r["ref_exons"]], r["strand"].iloc[0])
-            for gene, exons in zip(t["gene_id"], t["exons"]):
-                novelty, subs = ref.classify(_pairs(exons))
+            for gene, exons, fused in zip(t["gene_id"], t["exons"], t["fused"]):
+                novelty, subs = ref.classify(_pairs(exons), frozenset(map(int, filter(None, fused.split(",")))))
                 got.append((gene, exons, novelty, ",".join(sorted(subs))))
         return pd.DataFrame(got, columns=["gene_id", "exons", "novelty", "subcategories"])
 
@@ -160,5 +163,20 @@ def classify_transcripts(transcripts: DataFrame, references: DataFrame, block: i
     return rows.join(done, ["gene_id", "exons"]).select("transcript_id", "novelty", "subcategories")
 
 
+def _read_through(transcripts: DataFrame, references: DataFrame) -> DataFrame:
+    """gene_id, exons (text), fused (text): numbers of the exons of distinct chains that have a splice site of another gene's references only."""
+    each = lambda rows: rows.select("*", F.posexplode("exons").alias("no", "x"), (F.size("exons") - 1).alias("last"))
+
+    def sites(rows: DataFrame, *cols) -> DataFrame:
+        side = F.array(F.when(F.col("no") > 0, F.struct(F.lit("start").alias("side"), F.col("x.start").alias("pos"))), F.when(F.col("no") < F.col("last"), F.struct(F.lit("end").alias("side"), F.col("x.end").alias("pos"))))
+        return each(rows).select(*cols, "chr", "strand", F.inline(F.array_compact(side))).distinct()
+
+    known = sites(references, "gene_id")
+    place = ["chr", "strand", "side", "pos"]
+    mine = sites(transcripts.drop("transcript_id").select("gene_id", "chr", "strand", "exons", "text").distinct(), "gene_id", "text", "no")
+    foreign = mine.join(known, ["gene_id", *place], "left_anti").join(known.select(*place).distinct(), place, "left_semi")
+    return foreign.groupBy("gene_id", F.col("text").alias("exons")).agg(F.array_join(F.array_sort(F.collect_set("no")), ",").alias("fused"))
+
+
 def _pairs(text: str) -> Chain:
     return [tuple(map(int, e.split("-"))) for e in text.split(",")]

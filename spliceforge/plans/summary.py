@@ -230,7 +230,7 @@ def gene_loci(spark: SparkSession, d: str) -> DataFrame:
 
 def novelty_class(spark: SparkSession, d: str) -> DataFrame:
     """Category and subcategories of each transcript of a gene against the gene's full-splice-match chains on one strand."""
-    rows = materialize(M.in_genes(spark, d).withColumn("gene_id", F.expr(M.GENE_KEY)).select("transcript_id", "gene_id", "strand", "exons", "category"), "novelty-input")
+    rows = materialize(M.in_genes(spark, d).withColumn("gene_id", F.expr(M.GENE_KEY)).select("transcript_id", "gene_id", "chr", "strand", "exons", "category"), "novelty-input")
     return classify_transcripts(rows, rows.where(REF))
 
 
