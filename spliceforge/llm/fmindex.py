@@ -1,19 +1,22 @@
-"""FM-index over many short texts: a wavelet matrix of the Burrows-Wheeler transform, searched backwards for many patterns at once.
+"""Compressed FM-index over many short texts, searched backwards for many patterns at once.
 
-Rows are the suffixes sorted by their first ``depth`` symbols, which is all that patterns of up to ``depth`` symbols need: such a
-pattern's suffixes form one interval of rows, and the interval of a longer one follows from counts of symbols before it.
+What is kept of an index: the wavelet matrix of the Burrows-Wheeler transform (bits with counts), where each symbol's rows begin, and
+two bits a row. Suffixes are sorted only while it is built; neither the suffix array nor the ranks stay. Positions are those of
+the streamed texts, so nothing has to be located in the index.
 """
 
 from __future__ import annotations
 
-import numpy as np
+from collections.abc import Iterator
 
+import numpy as np
 
+ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: The bits below each place of a word.
 MASKS = (np.uint64(1) << np.arange(64, dtype=np.uint64)) - np.uint64(1)
 
 
-class BitRank:
+class BitVector:
     """Bits in words of 64, with the number of set bits before each word."""
 
     def __init__(self, bits: np.ndarray):
@@ -29,16 +32,43 @@ class BitRank:
         word = i >> 6
         return self.before[word] + np.bitwise_count(self.words[word] & MASKS[i & 63])
 
+    def get(self, i: np.ndarray) -> np.ndarray:
+        return (self.words[i >> 6] >> (i & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+    def last(self, i: np.ndarray) -> np.ndarray:
+        """The last set position up to i; there must be one."""
+        word = i >> 6
+        bits = self.words[word] & (ALL >> (63 - (i & 63)).astype(np.uint64))
+        while (none := bits == 0).any():
+            word = np.where(none, word - 1, word)
+            bits = np.where(none, self.words[word], bits)
+        high = bits >> np.uint64(32)
+        return (word << 6) + np.where(high > 0, 32 + _log2(high), _log2(bits & np.uint64(0xFFFFFFFF)))
+
+    def next(self, i: np.ndarray) -> np.ndarray:
+        """The first set position from i on; there must be one."""
+        word = i >> 6
+        bits = self.words[word] & ~MASKS[i & 63]
+        while (none := bits == 0).any():
+            word = np.where(none, word + 1, word)
+            bits = np.where(none, self.words[word], bits)
+        return (word << 6) + _log2(bits & (~bits + np.uint64(1)))
+
+
+def _log2(x: np.ndarray) -> np.ndarray:
+    """Of powers of two, and rounded down of numbers below 2^53."""
+    return np.frexp(x.astype(np.float64))[1].astype(np.int64) - 1
+
 
 class WaveletMatrix:
     """Counts of a symbol before any position of a sequence of small integers."""
 
     def __init__(self, symbols: np.ndarray, n_symbols: int):
-        self.levels: list[tuple[int, BitRank]] = []
+        self.levels: list[tuple[int, BitVector]] = []
         row = symbols
         for shift in reversed(range(max(1, int(n_symbols - 1).bit_length()))):
             bit = (row >> shift) & 1
-            self.levels.append((shift, BitRank(bit)))
+            self.levels.append((shift, BitVector(bit)))
             row = np.concatenate([row[bit == 0], row[bit == 1]])
         # equal symbols end up side by side
         begins = np.flatnonzero(np.diff(row, prepend=-1))
@@ -96,45 +126,52 @@ def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class FMIndex:
-    """Index of texts joined by separators (symbol 0), for windows of ``width`` (even) symbols of texts that it holds itself."""
+    """Index of texts joined by separators (symbol 0) for matches of ``width`` (even) symbols.
 
-    def __init__(self, text: np.ndarray, n_symbols: int, width: int):
+    ``least`` and ``most`` give for each place of ``text`` the least and the greatest record that holds the text it is in.
+    """
+
+    def __init__(self, text: np.ndarray, n_symbols: int, width: int, least: np.ndarray, most: np.ndarray):
         order, half_rank, full_rank = suffix_rows(text, n_symbols, width // 2)
-        n = len(text)
-        bwt = text[order - 1]
-        self.n, self.width = n, width
-        self.wavelet = WaveletMatrix(bwt, n_symbols)
+        self.n, self.width = len(text), width
+        self.wavelet = WaveletMatrix(text[order - 1], n_symbols)
         self.first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=n_symbols))])[:n_symbols]
-        # rows whose first width - 1 symbols equal those of the row before: both halves agree, the second begun one earlier
-        later = _shifted(half_rank, width // 2 - 1)
-        a, b = half_rank[order], later[order]
-        opens = np.ones(n + 1, bool)
-        opens[1:n] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
-        at = np.arange(n + 1)
-        self.low = np.maximum.accumulate(np.where(opens, at, 0))[:n].astype(np.int32)
-        self.high = np.minimum.accumulate(np.where(opens, at, n)[::-1])[::-1][1:].astype(np.int32)
+        # a set bit where a row's first width - 1 symbols differ from those of the row before: both halves, the second begun one earlier
+        a, b = half_rank[order], _shifted(half_rank, width // 2 - 1)[order]
+        cut = np.ones(self.n + 1, bool)
+        cut[1 : self.n] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+        self.cut = BitVector(cut)
+        # a set bit where the rows that agree in the first width symbols are of more than one record
         whole = full_rank[order]
-        self.window_of = (whole - 1).astype(np.int32)  # which of the distinct windows a row begins with
-        self.suffix = order
+        opens = np.flatnonzero(np.diff(whole, prepend=0))
+        several = np.minimum.reduceat(least[order], opens) != np.maximum.reduceat(most[order], opens)
+        self.several = BitVector(several[whole - 1])
 
-    def search(self, queries: np.ndarray, lengths: np.ndarray, text: np.ndarray):
-        """Slides a window of ``width`` from the end of each query to its begin, by backward search.
+    def matching_statistics(self, queries: np.ndarray, lengths: np.ndarray, text: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:
+        """Streams texts through the index by backward search, from their ends to their begins.
 
-        ``queries`` are offsets into ``text`` of texts that are in the index, ``lengths`` at least ``width``. Yields (the queries
-        that still have a window, the window's start in its query, first row, row behind the last).
+        ``queries`` are offsets into ``text`` of texts that are in the index too. For each place of each query, from the last: (the
+        queries that have such a place, the place in each, length of the match from there, whether another record has it). A match is
+        followed no further than ``width``, the threshold: its last symbol is dropped before the next is put in front. What another
+        record has is only asked at that length, and is False below.
         """
         sp, ep = np.zeros(len(queries), np.int64), np.full(len(queries), self.n, np.int64)
-        longest = int(lengths.max()) if len(lengths) else 0
         live = np.arange(len(queries))
-        for t in range(longest):
+        for t in range(int(lengths.max()) if len(lengths) else 0):
             on = lengths[live] > t
             if not on.all():
                 live, sp, ep = live[on], sp[on], ep[on]
-            symbol = text[queries[live] + lengths[live] - 1 - t]
-            if t >= self.width:  # forget the last symbol: all rows that agree in width - 1
-                sp, ep = self.low[sp].astype(np.int64), self.high[sp].astype(np.int64)
+            at = lengths[live] - 1 - t
+            symbol = text[queries[live] + at]
+            if t >= self.width:
+                sp, ep = self.cut.last(sp), self.cut.next(ep)
             a, b = self.wavelet.counts(symbol, sp, ep)
             base = self.first[symbol]
             sp, ep = base + a, base + b
-            if t >= self.width - 1:
-                yield live, lengths[live] - 1 - t, sp, ep
+            length = min(t + 1, self.width)
+            yield live, at, length, self.several.get(sp) if length == self.width else np.zeros(len(live), bool)
+
+    def nbytes(self) -> int:
+        """What the index takes."""
+        vectors = [v for _, v in self.wavelet.levels] + [self.cut, self.several]
+        return sum(v.words.nbytes + v.before.nbytes for v in vectors) + self.first.nbytes + self.wavelet.begin.nbytes

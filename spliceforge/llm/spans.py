@@ -2,9 +2,12 @@
 
 Every window of ``WIDTH`` code points has one anchor: of the pieces of ``PIECE`` code points in it, the leftmost with the least hash.
 Equal windows have equal anchors, so windows need to be compared only where their anchors are equal. Neighbouring windows
-with one anchor form a context. Contexts are sent to the shard of their anchor's hash, each shard builds an FM-index of
-those that differ, and every context is streamed against it by backward search. The work grows with the text, not with
-shards times text.
+with one anchor form a context. Documents are streamed as contexts, each to the shard of its anchor's hash: the shard builds a compressed
+FM-index of the contexts whose anchor several records have, streams them through it by backward search, and reports where the matching
+statistics reach ``WIDTH`` in another record. The work grows with the text, not with shards times text. Every stretch comes from a search.
+
+What a shard finds goes back to the flush that the context came from, which holds where it occurs; so of a text that a third of
+all records hold, a shard gets one copy a flush, and no task gets its records.
 """
 
 from __future__ import annotations
@@ -13,7 +16,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,15 +33,18 @@ PIECE = 20
 PART = 1 << 18
 #: Code points of text whose contexts are packed together for the shuffle.
 FLUSH = 1 << 21
-#: Code points of contexts a shard is meant to hold, and contexts of one anchor that are too many for a shard.
+#: Code points of contexts a shard is meant to hold; different contexts of one anchor that would fill it, and how often a sample must hit such an anchor.
 SHARD_CHARS = 4_000_000
-HOT_CONTEXTS = 150_000
+HOT_CONTEXTS = SHARD_CHARS // (3 * WIDTH // 2)
+HOT_HITS = 50
+#: Most anchors that are spread by whole windows; it bounds what the driver holds.
+HOT_TRACKED = 10_000
 MOST_TASKS = 50_000
 #: What Spark gives as the size of a plan that it can't estimate is beyond this.
 UNKNOWN_SIZE = 10**17
-#: Kinds of packed contexts: of one record; of several (its own record doesn't matter); known to be shared (without text).
-ONE, SEVERAL, KNOWN = 0, 1, 2
 WINDOW_ANCHOR = 255
+PACKED = pa.schema([("shard", pa.int64()), ("flush", pa.int64()), ("blob", pa.binary()), ("occurrences", pa.bool_())])
+FOUND = pa.schema([("flush", pa.int64()), ("number", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("blob", pa.binary())])
 
 _MULTIPLIER, _INVERSE = 0xD6E8FEB86659FD93, pow(0xD6E8FEB86659FD93, -1, 1 << 64)
 
@@ -127,38 +135,45 @@ def distinct(points: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.nd
     return codes, first
 
 
-def record_range(codes: np.ndarray, records: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    least, most = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
-    np.minimum.at(least, codes, records)
-    np.maximum.at(most, codes, records)
-    return least, most
+def record_range(codes: np.ndarray, least: np.ndarray, most: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    low, high = np.full(n, np.iinfo(np.int64).max), np.full(n, np.iinfo(np.int64).min)
+    np.minimum.at(low, codes, least)
+    np.maximum.at(high, codes, most)
+    return low, high
 
 
-def pack(record: np.ndarray, start: np.ndarray, count: np.ndarray, offset: np.ndarray, kind: np.ndarray, text: bytes) -> bytes:
-    head = np.array([len(record)], np.int64).tobytes()
-    parts = [np.diff(record, prepend=0), start.astype(np.int32), count.astype(np.uint8), offset.astype(np.uint8), kind.astype(np.uint8)]
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(p.tobytes() for p in parts) + text)
+def pack(columns: list[np.ndarray], text: bytes = b"") -> bytes:
+    """Columns of one length; each by its differences, as bytes of its own type, then the text."""
+    head = np.array([len(columns[0])], np.int64).tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(np.diff(c, prepend=c.dtype.type(0)).tobytes() for c in columns) + text)
 
 
-def unpack(blob: bytes) -> tuple:
+def unpack(blob: bytes, kinds: tuple) -> tuple[list[np.ndarray], bytes]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, np.int64, 1)[0]), 8, []
-    for kind in (np.int64, np.int32, np.uint8, np.uint8, np.uint8):
-        out.append(np.frombuffer(raw, kind, n, at).astype(np.int64))
+    for kind in kinds:
+        out.append(np.cumsum(np.frombuffer(raw, kind, n, at), dtype=kind).astype(np.int64))
         at += n * np.dtype(kind).itemsize
-    return np.cumsum(out[0]), *out[1:], raw[at:]
+    return out, raw[at:]
+
+
+#: Of a distinct context: its number in its flush, least and greatest record, windows, the anchor's place. Of an occurrence: number, record, start.
+CONTEXT, OCCURRENCE = (np.int32, np.int64, np.int64, np.uint8, np.uint8), (np.int32, np.int64, np.int64)
 
 
 class Packer:
-    """Gathers the contexts of a partition's texts and packs them by shard."""
+    """Gathers the contexts of a partition's texts and packs them by shard, a flush of about FLUSH code points at a time.
+
+    Equal contexts of a flush travel as one text with the range of its records; what occurs where stays with the flush.
+    """
 
-    def __init__(self, n_shards: int, hot: np.ndarray):
+    def __init__(self, n_shards: int, hot: np.ndarray, partition: int = 0):
         self.n_shards, self.hot, self.powers = n_shards, hot, Powers(PART + WIDTH)
         self.held: list[tuple] = []
-        self.size = 0
+        self.size, self.flush_no = 0, partition << 32
 
-    def add(self, records: np.ndarray, texts: list[str]) -> None:
-        """Texts of together at most PART code points, or one longer text."""
+    def parts(self, records: np.ndarray, texts: list[str]) -> Iterator[None]:
+        """Adds texts of together at most PART code points, or one longer text; stops after each part."""
         lengths = np.array([len(t) for t in texts], np.int64)
         points = _points("".join(texts))
         for a in range(0, max(len(points) - WIDTH + 1, 1), PART):
@@ -172,149 +187,143 @@ class Packer:
                 who = owner[start]
                 self.held.append((records[who], start - base[who], count, offset, route, part[ranges(start, count + WIDTH - 1)]))
                 self.size += len(part)
+            yield
 
-    def flush(self) -> Iterator[tuple[int, bytes]]:
-        """A packed blob for each shard.
-
-        A context that several records of these have is known to be shared: one copy goes on for others to be compared with, and
-        its records go without the text.
-        """
+    def flush(self) -> Iterator[tuple[int, int, bytes, bool]]:
+        """(shard, flush, blob, False) for each shard, and one (shard, flush, blob, True) with the occurrences, whose shard is any."""
         if not self.held:
             return
         record, start, count, offset, route, points = (np.concatenate(x) for x in zip(*self.held))
         self.held, self.size = [], 0
+        flush, self.flush_no = self.flush_no, self.flush_no + 1
         lengths = count + WIDTH - 1
         begins = np.cumsum(lengths) - lengths
         codes, first = distinct(points, lengths)
-        least, most = record_range(codes, record, len(first))
-        several = least != most
-        copies = first[several]
-        # every member of a context of several records is known; a copy of it is added
-        kind = np.concatenate([np.where(several[codes], KNOWN, ONE), np.full(len(copies), SEVERAL)])
-        pick = np.concatenate([np.arange(len(record)), copies])
-        shard = (_mixed(route) % np.uint64(self.n_shards)).astype(np.int64)[pick]
-        order = np.lexsort((start[pick], record[pick], kind, shard))
-        pick, kind, shard = pick[order], kind[order], shard[order]
-        cuts = np.flatnonzero(np.diff(shard)) + 1
-        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-            rows, k = pick[a:b], kind[a:b]
-            written = rows[k != KNOWN]
-            text = _chars(points[ranges(begins[written], lengths[written])])
-            yield int(shard[a]), pack(record[rows], start[rows], count[rows], offset[rows], k, text)
-
-
-def shared_in_shard(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """record, from, to of the shared stretches of a shard's contexts."""
-    parts = [unpack(b) for b in blobs]
-    record, start, count, offset, kind = (np.concatenate([p[i] for p in parts]) for i in range(5))
-    known = kind == KNOWN
-    out = [(record[known], start[known], start[known] + count[known] + WIDTH - 1)]
-    keep = ~known
-    record, start, count, offset, kind = (x[keep] for x in (record, start, count, offset, kind))
-    # the blobs' texts leave out the known ones, and so do the rows now
-    points = np.concatenate([_points(p[5].decode("utf-8", "surrogatepass")) for p in parts])
+        least, most = record_range(codes, record, record, len(first))
+        order = np.lexsort((start, record))
+        yield flush % self.n_shards, flush, pack([x[order].astype(k) for x, k in zip((codes, record, start), OCCURRENCE)]), True
+        shard = (_mixed(route[first]) % np.uint64(self.n_shards)).astype(np.int64)
+        order = np.argsort(shard, kind="stable")
+        cuts = np.flatnonzero(np.diff(shard[order])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
+            rows = order[a:b]
+            at = first[rows]
+            text = _chars(points[ranges(begins[at], lengths[at])])
+            columns = [x.astype(k) for x, k in zip((rows, least[rows], most[rows], count[at], offset[at]), CONTEXT)]
+            yield int(shard[order[a]]), flush, pack(columns, text), False
+
+
+def shared_in_shard(flushes: list[int], blobs: list[bytes]) -> tuple[np.ndarray, ...]:
+    """flush, number, from, to: the stretches of a shard's contexts whose matching statistics reach WIDTH in another record."""
+    parts = [unpack(b, CONTEXT) for b in blobs]
+    number, least, most, count, offset = (np.concatenate([p[0][i] for p in parts]) for i in range(5))
+    flush = np.repeat(np.array(flushes, np.int64), [len(p[0][0]) for p in parts])
+    points = np.concatenate([_points(p[1].decode("utf-8", "surrogatepass")) for p in parts])
     del parts
-    if len(record):
-        out += _compare(record, start, count, offset, kind, points)
-    return tuple(np.concatenate(x) for x in zip(*out))
-
-
-def _compare(record, start, count, offset, kind, points) -> list[tuple]:
     lengths = count + WIDTH - 1
     begins = np.cumsum(lengths) - lengths
-    codes, first = distinct(points, lengths)
-    least, most = record_range(codes, record, len(first))
-    several = least != most
-    several[codes[kind == SEVERAL]] = True
-    mine = (kind == ONE) & several[codes]
-    out = [(record[mine], start[mine], start[mine] + lengths[mine])]
-    use = _searchable(points, begins[first], lengths[first], offset[first], several)
-    if not len(use):
-        return out
-    # symbols by what occurs, 0 between the texts
-    n = lengths[first[use]]
-    where = np.cumsum(n + 1) - (n + 1)
-    raw = points[ranges(begins[first[use]], n)]
-    symbols, dense = np.unique(raw, return_inverse=True)
-    text = np.zeros(int((n + 1).sum()), np.int64)
-    text[ranges(where, n)] = dense + 1
-    index = FMIndex(text, len(symbols) + 1, WIDTH)
-    # records with each distinct window
-    owner = np.repeat(np.arange(len(use)), n + 1)[index.suffix]
-    w, n_windows = index.window_of, int(index.window_of.max()) + 1
-    lo, hi = record_range(w, least[use][owner], n_windows)
-    many = lo != hi
-    many[w[several[use][owner]]] = True
-    single = np.flatnonzero(~several[use])
+    meets = _meet(points, begins, lengths, offset, least, most)
+    number, least, most, flush, lengths, begins = (x[meets] for x in (number, least, most, flush, lengths, begins))
+    none = np.zeros(0, np.int64)
+    if not len(number):
+        return none, none, none, none
+    # each distinct context once, with the records of all that are like it
+    codes, first = distinct(points[ranges(begins, lengths)], lengths)
+    low, high = record_range(codes, least, most, len(first))
+    code, a, b = _search(points, begins[first], lengths[first], low, high)
+    # what holds for a context holds in every flush that has it
+    by_code = np.argsort(codes, kind="stable")
+    n_rows = np.bincount(codes, minlength=len(first))
+    rows = by_code[ranges((np.cumsum(n_rows) - n_rows)[code], n_rows[code])]
+    times = n_rows[code]
+    return flush[rows], number[rows], np.repeat(a, times), np.repeat(b, times)
+
+
+def _meet(points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, offset: np.ndarray, least: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Which contexts have an anchor that several records have: what is alone with its anchor has no index to be streamed against."""
+    key = np.zeros(len(begins), np.uint64)
+    whole = offset == WINDOW_ANCHOR
+    for rows, n, at in ((np.flatnonzero(~whole), PIECE, offset), (np.flatnonzero(whole), WIDTH, np.zeros(len(offset), np.int64))):
+        place = begins[rows] + at[rows]
+        hashes = np.full(len(rows), n, np.uint64)
+        for k in range(n):
+            hashes = hashes * np.uint64(_MULTIPLIER) + _mixed(points[place + k].astype(np.uint64) + np.uint64(1))
+        key[rows] = hashes
+    groups, group = np.unique(key, return_inverse=True)
+    low, high = record_range(group, least, most, len(groups))
+    return (low != high)[group]
+
+
+def _search(points: np.ndarray, begins: np.ndarray, lengths: np.ndarray, least: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Context, from, to of the longest runs of windows that other records have: an FM-index of the contexts, through which each is streamed."""
+    where = np.cumsum(lengths + 1) - (lengths + 1)
+    symbols, dense = np.unique(points[ranges(begins, lengths)], return_inverse=True)
+    text = np.zeros(int((lengths + 1).sum()), np.int64)  # 0 between the texts
+    text[ranges(where, lengths)] = dense + 1
+    index = FMIndex(text, len(symbols) + 1, WIDTH, np.repeat(least, lengths + 1), np.repeat(most, lengths + 1))
     found_q, found_s = [], []
-    for live, at, sp, _ in index.search(where[single], n[single], text):
-        hit = many[w[sp]]
-        found_q.append(single[live[hit]])
-        found_s.append(at[hit])
+    for live, at, _, shared in index.matching_statistics(where, lengths, text):
+        if shared.any():
+            found_q.append(live[shared])
+            found_s.append(at[shared])
+    if not found_q:
+        none = np.zeros(0, np.int64)
+        return none, none, none
     q, s = np.concatenate(found_q), np.concatenate(found_s)
-    if not len(q):
-        return out
     order = np.lexsort((s, q))
     q, s = q[order], s[order]
     new = np.ones(len(q), bool)
     new[1:] = (q[1:] != q[:-1]) | (s[1:] != s[:-1] + 1)
     a = np.flatnonzero(new)
     b = np.append(a[1:], len(q)) - 1
-    run_code, run_from, run_to = use[q[a]], s[a], s[b] + WIDTH
-    # every row with that context (of one record, perhaps in several places)
-    by_code = np.argsort(codes, kind="stable")
-    n_rows = np.bincount(codes, minlength=len(first))
-    first_row = np.cumsum(n_rows) - n_rows
-    rows = by_code[ranges(first_row[run_code], n_rows[run_code])]
-    times = n_rows[run_code]
-    out.append((record[rows], start[rows] + np.repeat(run_from, times), start[rows] + np.repeat(run_to, times)))
-    return out
-
-
-def _searchable(points: np.ndarray, begin: np.ndarray, length: np.ndarray, offset: np.ndarray, several: np.ndarray) -> np.ndarray:
-    """Which of the distinct contexts may have a window in common with another one.
-
-    A window has its anchor and WIDTH - PIECE more code points, at least half of them on one side of it. Contexts that share a window
-    so agree in the anchor and that half; a whole window that is its own anchor is in one distinct context only. Groups of which
-    every context is known to be shared need no search.
-    """
-    half = (WIDTH - PIECE) // 2
-    own, key = [], []
-    for side, at, fits in ((0, offset - half, offset >= half), (1, offset, offset + PIECE + half <= length)):
-        rows = np.flatnonzero(fits & (offset != WINDOW_ANCHOR))
-        hashes = np.full(len(rows), side, np.uint64)
-        place = begin[rows] + at[rows]
-        for k in range(PIECE + half):
-            hashes = hashes * np.uint64(_MULTIPLIER) + _mixed(points[place + k].astype(np.uint64) + np.uint64(1))
-        own.append(rows)
-        key.append(hashes)
-    own, key = np.concatenate(own), np.concatenate(key)
-    _, group = np.unique(key, return_inverse=True)
-    open_ = (np.bincount(group) > 1) & (np.bincount(group, weights=~several[own]) > 0)
-    return np.unique(own[open_[group]])
+    return q[a], s[a], s[b] + WIDTH
+
+
+def runs_of_flush(blob: bytes, number: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """record, from, to: the united stretches of the records of one flush, from what its contexts were found to share."""
+    (code, record, start), _ = unpack(blob, OCCURRENCE)
+    order = np.argsort(number, kind="stable")
+    number, a, b = number[order], a[order], b[order]
+    begin, end = np.searchsorted(number, code), np.searchsorted(number, code, side="right")
+    times = end - begin
+    rows = ranges(begin, times)
+    record, low = np.repeat(record, times), np.repeat(start, times) + a[rows]
+    high = np.repeat(start, times) + b[rows]
+    order = np.lexsort((low, record))
+    record, low, high = record[order], low[order], high[order]
+    # the furthest end so far of the same record: records lie in ranges of their own
+    _, rank = np.unique(record, return_inverse=True)
+    far = int(high.max() + 1) if len(high) else 1
+    reach = np.maximum.accumulate(high + rank * far)
+    new = np.ones(len(low), bool)
+    new[1:] = (low + rank * far)[1:] > reach[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(low)) - 1 if len(first) else first
+    return record[first], low[first], (reach - rank * far)[last]
 
 
-def _hot_anchors(texts: DataFrame, chars: int) -> list[int]:
-    """Hashes of anchors that more than about HOT_CONTEXTS contexts have, by a sample; fewer than chars / HOT_CONTEXTS.
+def _hot_anchors(texts: DataFrame) -> list[int]:
+    """Hashes of anchors that more than about HOT_CONTEXTS different contexts have, by a sample; at most HOT_TRACKED of them.
 
-    Only the way rows are spread depends on them. Where the whole input can't have that many contexts, nothing is read.
+    Only the way rows are spread depends on them, so a sample will do, and what the sketch leaves out is only spread less.
     """
-    expected = HOT_CONTEXTS * (WIDTH - PIECE + 2) // 2
-    if chars < expected:
-        return []
-    hits = 60
-    fraction = min(1.0, hits / HOT_CONTEXTS * 4)
+    fraction = HOT_HITS / HOT_CONTEXTS
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(1, np.zeros(0, np.uint64))
         for records, part in _grouped(batches):
-            packer.add(records, part)
-            for x in packer.held:
-                yield pa.RecordBatch.from_arrays([pa.array(x[4].view(np.int64))], names=["h"])
-            packer.held.clear()
+            for _ in packer.parts(records, part):
+                for _, _, count, _, route, points in packer.held:
+                    lengths = count + WIDTH - 1
+                    begins = np.cumsum(lengths) - lengths
+                    weighted = _mixed(points.astype(np.uint64) + np.uint64(1)) * packer.powers.up[ranges(np.zeros(len(lengths), np.int64), lengths)]
+                    content = np.add.reduceat(weighted, begins)
+                    yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (route, content)], names=["h", "content"])
+                packer.held.clear()
 
-    counted = texts.sample(fraction=fraction, seed=7).mapInArrow(emit, "h long").groupBy("h").count()
-    return [r["h"] for r in counted.where(F.col("count") >= hits * 4).select("h").collect()]
+    different = texts.sample(fraction=fraction, seed=7).mapInArrow(emit, "h long, content long").distinct()
+    top = different.selectExpr(f"approx_top_k(h, {HOT_TRACKED}, {4 * HOT_TRACKED}) as top").first()["top"] or []
+    return [x["item"] for x in top if x["count"] >= HOT_HITS]
 
 
 def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[str]]]:
@@ -340,7 +349,8 @@ def shared_spans(df: DataFrame, ident: str, text: str) -> DataFrame:
 
     A stretch is shared if the text of another ``ident`` holds it too. Rows with one ``ident`` count as one record (a text
     repeated under its own ident isn't shared by that); null idents and null texts give nothing, nor do texts under
-    ``WIDTH``. Texts of any length are looked at whole. An empty table gives no row; extra columns aren't read.
+    ``WIDTH``. Texts of any length are looked at whole. An empty table gives no row; extra columns aren't read. The rows of
+    ``df`` must come in the same order if a lost task runs again, as those of files do; write others first.
     """
     if ident.lower() in ("span_from", "span_to"):
         raise ValueError(f"the identifier can't be named {ident}")
@@ -351,29 +361,43 @@ def shared_spans(df: DataFrame, ident: str, text: str) -> DataFrame:
     chars = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     wide = int(spark.conf.get("spark.sql.shuffle.partitions"))
     n_shards = max(1, -(-chars * 4 // SHARD_CHARS)) if chars < UNKNOWN_SIZE else 8 * wide
-    hot = np.array(_hot_anchors(texts, chars), np.int64).view(np.uint64)
+    hot = np.array(_hot_anchors(texts), np.int64).view(np.uint64)
 
     def pack_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer = Packer(n_shards, hot)
+        packer = Packer(n_shards, hot, TaskContext.get().partitionId())
 
         def packed() -> Iterator[pa.RecordBatch]:
-            rows = list(packer.flush())
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["shard", "blob"])
+            if rows := list(packer.flush()):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), PACKED.types)], schema=PACKED)
 
         for records, part in _grouped(batches):
-            packer.add(records, part)
-            if packer.size >= FLUSH:
-                yield from packed()
+            for _ in packer.parts(records, part):
+                if packer.size >= FLUSH:
+                    yield from packed()
         yield from packed()
 
-    def compare(table: pa.Table) -> pa.Table:
-        found = shared_in_shard(table.column("blob").to_pylist())
+    def search(table: pa.Table) -> pa.Table:
+        """What the contexts of a shard share, by flush and number; occurrences that lie here pass on to their flush."""
+        seen = table.column("occurrences").to_numpy()
+        flush, blobs = table.column("flush").to_numpy(), table.column("blob")
+        mine = np.flatnonzero(~seen)
+        found = shared_in_shard(flush[mine].tolist(), blobs.take(pa.array(mine)).to_pylist()) if len(mine) else (np.zeros(0, np.int64),) * 4
+        here = pa.Table.from_arrays([pa.array(x, t) for x, t in zip(found, FOUND.types)] + [pa.nulls(len(found[0]), pa.binary())], schema=FOUND)
+        on = np.flatnonzero(seen)
+        passed = [pa.array(flush[on]), *[pa.nulls(len(on), t) for t in FOUND.types[1:4]], blobs.take(pa.array(on)).combine_chunks()]
+        return pa.concat_tables([here, pa.Table.from_arrays([c.cast(t) for c, t in zip(passed, FOUND.types)], schema=FOUND)])
+
+    def expand(table: pa.Table) -> pa.Table:
+        held = pc.is_valid(table.column("blob"))
+        rest = table.filter(pc.invert(held))
+        found = runs_of_flush(table.filter(held).column("blob")[0].as_py(), *[rest.column(c).to_numpy() for c in ("number", "a", "b")])
         return pa.table([pa.array(x, pa.int64()) for x in found], names=[ident, "span_from", "span_to"])
 
     schema = T.StructType([T.StructField(c, T.LongType()) for c in (ident, "span_from", "span_to")])
     # as many tasks as shards, as long as a driver can hold them, so that what a task reads doesn't grow
-    packed = texts.mapInArrow(pack_contexts, "shard long, blob binary").repartition(min(n_shards, max(wide, MOST_TASKS)), "shard")
-    stretches = packed.groupBy("shard").applyInArrow(compare, schema)
-    runs = merge_intervals(stretches, [ident], "span_from", "span_to", hot_rows=None)  # a record has no more stretches than code points
+    packed = texts.mapInArrow(pack_contexts, "shard long, flush long, blob binary, occurrences boolean").repartition(min(n_shards, max(wide, MOST_TASKS)), "shard")
+    found = packed.groupBy("shard").applyInArrow(search, "flush long, number int, a int, b int, blob binary")
+    stretches = found.groupBy("flush").applyInArrow(expand, schema)
+    # a record's runs are whole but where its text was cut or its ident comes again; it has no more of them than code points
+    runs = merge_intervals(stretches, [ident], "span_from", "span_to", hot_rows=None)
     return runs.where("kind = 'period'").select(ident, F.col("pos_from").alias("span_from"), F.col("pos_to").alias("span_to"))

@@ -1,4 +1,3 @@
-import math
 import random
 
 import numpy as np
@@ -149,7 +148,7 @@ def test_shared_spans(spark, monkeypatch, alphabet, part, flush):
 def test_hot_anchors_change_nothing(monkeypatch):
     docs = corpus(5, "abcd ")
     packer = spans.Packer(1, np.zeros(0, np.uint64))
-    packer.add(np.arange(len(docs)), [t for _, t in docs if t])
+    list(packer.parts(np.arange(len(docs)), [t for _, t in docs if t]))
     hot = np.unique(packer.held[0][4])[::2]
     assert shard_by_shard(monkeypatch, docs, 1 << 18, 1 << 21, hot, 5) == brute_spans(docs, spans.WIDTH)
 
@@ -158,30 +157,66 @@ def shard_by_shard(monkeypatch, docs, part, flush, hot, n_shards):
     monkeypatch.setattr(spans, "PART", part)
     kept = [(i, t) for i, t in docs if i is not None and t is not None]
     batch = pa.RecordBatch.from_pydict({"i": [i for i, _ in kept], "t": [t for _, t in kept]})
-    packer, blobs = spans.Packer(n_shards, hot), {}
+    packer, blobs, occurrences = spans.Packer(n_shards, hot), {}, {}
+
+    def empty():
+        for shard, number, blob, whole in packer.flush():
+            if whole:
+                occurrences[number] = blob
+            else:
+                blobs.setdefault(shard, []).append((number, blob))
+
     for ids, texts in spans._grouped([batch]):
-        packer.add(ids, texts)
-        if packer.size >= flush:
-            for k, b in packer.flush():
-                blobs.setdefault(k, []).append(b)
-    for k, b in packer.flush():
-        blobs.setdefault(k, []).append(b)
+        for _ in packer.parts(ids, texts):
+            if packer.size >= flush:
+                empty()
+    empty()
+    found = [spans.shared_in_shard(*zip(*b)) for b in blobs.values()]
+    of, number, a, e = (np.concatenate(x) for x in zip(*found))
     stretches = {}
-    for b in blobs.values():
-        for i, a, e in zip(*(x.tolist() for x in spans.shared_in_shard(b))):
-            stretches.setdefault(i, []).append((a, e))
+    for k, blob in occurrences.items():
+        mine = of == k
+        for i, x, y in zip(*(x.tolist() for x in spans.runs_of_flush(blob, number[mine], a[mine], e[mine]))):
+            stretches.setdefault(i, []).append((x, y))
     out = set()
     for i, iv in stretches.items():
         runs = []
-        for a, e in sorted(iv):
-            if runs and a <= runs[-1][1]:
-                runs[-1][1] = max(runs[-1][1], e)
+        for x, y in sorted(iv):
+            if runs and x <= runs[-1][1]:
+                runs[-1][1] = max(runs[-1][1], y)
             else:
-                runs.append([a, e])
-        out |= {(i, a, e) for a, e in runs}
+                runs.append([x, y])
+        out |= {(i, x, y) for x, y in runs}
     return out
 
 
+def test_every_stretch_comes_from_the_search(monkeypatch):
+    docs, windows, asked = corpus(6, "abcdef "), [], []
+    real = fmindex.FMIndex.matching_statistics
+
+    def counted(self, queries, lengths, text):
+        asked.append((lengths - spans.WIDTH + 1).sum())
+        for live, at, length, shared in real(self, queries, lengths, text):
+            windows.append(int(shared.sum()))
+            yield live, at, length, shared
+
+    monkeypatch.setattr(fmindex.FMIndex, "matching_statistics", counted)
+    assert shard_by_shard(monkeypatch, docs, 1 << 18, 1 << 21, np.zeros(0, np.uint64), 3) == brute_spans(docs, spans.WIDTH)
+    assert 0 < sum(windows) <= sum(asked)
+    monkeypatch.setattr(fmindex.FMIndex, "matching_statistics", lambda *a: iter(()))
+    assert not shard_by_shard(monkeypatch, docs, 1 << 18, 1 << 21, np.zeros(0, np.uint64), 3)
+
+
+def test_copies_reach_a_shard_once_a_flush():
+    packer = spans.Packer(1, np.zeros(0, np.uint64))
+    text = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(400))
+    list(packer.parts(np.arange(500), [text] * 500))
+    one, many = spans.Packer(1, np.zeros(0, np.uint64)), [b for _, _, b, whole in packer.flush() if not whole]
+    list(one.parts(np.arange(1), [text]))
+    single = [b for _, _, b, whole in one.flush() if not whole]
+    assert len(spans.unpack(many[0], spans.CONTEXT)[0][0]) == len(spans.unpack(single[0], spans.CONTEXT)[0][0])
+
+
 def test_shared_spans_of_frames(spark):
     docs = corpus(9, "abcdef ")
     df = spark.createDataFrame([(*x, "c") for x in docs], "doc_id long, text string, span_from string").repartition(4)
@@ -189,23 +224,51 @@ def test_shared_spans_of_frames(spark):
     assert spans.shared_spans(df.limit(0), "doc_id", "text").count() == 0
 
 
-def test_the_index_counts_patterns():
+def test_hot_anchors_of_frames(spark, monkeypatch):
+    monkeypatch.setattr(spans, "HOT_CONTEXTS", 4)
+    monkeypatch.setattr(spans, "HOT_HITS", 3)
+    docs = corpus(11, "abcdef ")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    assert spans._hot_anchors(df.where("doc_id is not null and text is not null"))
+    assert {tuple(r) for r in spans.shared_spans(df, "doc_id", "text").collect()} == brute_spans(docs, spans.WIDTH)
+
+
+def test_matching_statistics():
     r = random.Random(3)
     texts = ["".join(r.choice("abc") for _ in range(r.randrange(8, 30))) for _ in range(40)]
-    codes = [np.array([ord(c) - 96 for c in t] + [0]) for t in texts]
-    text = np.concatenate(codes)
-    index = fmindex.FMIndex(text, 4, 8)
-    begins = np.cumsum([len(c) for c in codes]) - [len(c) for c in codes]
+    text = np.concatenate([np.array([ord(c) - 96 for c in t] + [0]) for t in texts])
     lengths = np.array([len(t) for t in texts])
+    begins = np.cumsum(lengths + 1) - (lengths + 1)
+    record = np.array([r.randrange(25) for _ in texts])
+    most = np.maximum(record, [r.choice([0, 30]) for _ in texts])  # some texts are of several records themselves
+    index = fmindex.FMIndex(text, 4, 8, np.repeat(record, lengths + 1), np.repeat(most, lengths + 1))
+    has = lambda g: {x for t, lo, hi in zip(texts, record, most) if g in t for x in (lo, hi)}
     seen = 0
-    for live, at, sp, ep in index.search(begins, lengths, text):
-        for q, a, n in zip(live.tolist(), at.tolist(), (ep - sp).tolist()):
-            gram = texts[q][a : a + 8]
-            assert n == sum(t[k : k + 8] == gram for t in texts for k in range(len(t) - 7))
+    for live, at, length, shared in index.matching_statistics(begins, lengths, text):
+        for q, a, hit in zip(live.tolist(), at.tolist(), shared.tolist()):
+            assert length == min(8, lengths[q] - a) and hit == (length == 8 and len(has(texts[q][a : a + 8])) > 1)
             seen += 1
-    assert seen == sum(len(t) - 7 for t in texts)
+    assert seen == lengths.sum()
     w = fmindex.WaveletMatrix(text, 4)
     for s in range(4):
         at = np.arange(len(text) + 1)
         assert w.counts(np.full(len(at), s), at)[0].tolist() == np.concatenate([[0], np.cumsum(text == s)]).tolist()
-    assert math.isclose(len(index.suffix), len(text))
+
+
+def test_the_index_is_compressed():
+    text = np.random.default_rng(1).integers(1, 100, 1 << 16)
+    text[99::100] = 0
+    owner = np.arange(len(text)) // 100
+    index = fmindex.FMIndex(text, 100, 80, owner, owner)
+    assert index.nbytes() < 2 * len(text)  # seven levels and two bits a row, with counts
+    assert not any(isinstance(v, np.ndarray) and len(v) >= len(text) for v in vars(index).values())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.booleans(), min_size=1, max_size=300))
+def test_bit_vectors(bits):
+    bits[0] = bits[-1] = True
+    v, at = fmindex.BitVector(np.array(bits)), np.arange(len(bits))
+    assert v.get(at).tolist() == bits
+    assert v.last(at).tolist() == [max(k for k in range(i + 1) if bits[k]) for i in at]
+    assert v.next(at).tolist() == [min(k for k in range(i, len(bits)) if bits[k]) for i in at]
