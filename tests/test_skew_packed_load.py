@@ -1,10 +1,12 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from spliceforge.operators.packed import packed_integers
+from spliceforge.operators.packed import packed_integers, packed_slots
 from spliceforge.operators.skew import heavy_keys, skew_aggregate, skew_lookup
 from spliceforge.operators.strict_load import DOMAINS, SAMPLES, rejected, strict_load
 
@@ -49,6 +51,50 @@ CASES = {
 }
 
 
+def brute_slots(text):
+    """The slots by reading one character after the other."""
+    text = re.sub(r"^[\s\[({<]+", "", text)
+    text = re.sub(r"[\s\])}>]+$", "", text)
+    slots, now, quoted, i = [], "", False, 0
+    while i < len(text):
+        c = text[i]
+        if c in "\"'" and (k := text.find(c, i + 1)) >= 0:
+            now, quoted, i = now + text[i + 1 : k], True, k + 1
+        elif m := re.compile(r"\s*[,;|/:\\!?&#*~^_=@%$]\s*|\s+").match(text, i):
+            slots.append((now, quoted))
+            now, quoted, i = "", False, m.end()
+            if i == len(text):
+                return slots
+        else:
+            now, i = now + c, i + 1
+    return [*slots, (now, quoted)]
+
+
+ODD = ['1,a"2,3"x,4', '1,"2"3', '"1""2",3', "'a'\"b\";", '"', "''", "it's, 5", "\ue0000\ue001,1", '"\ue000",\ue001', '"a,b" "c\ue0007\ue001"', "\ue0001\ue001\"x\"", ",", "\u2003", "[ ]", "1 , 2 ,", '"x"]', "1 ) 2)"]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_slots_equal_a_reader_of_characters(spark, seed):
+    r = random.Random(seed)
+    texts = ODD + ["".join(r.choice("12,;  'a\"\ue000\ue001()-") for _ in range(r.randrange(14))) for _ in range(400)]
+    got = spark.createDataFrame(enumerate(texts), "i int, t string").select("i", packed_slots(F.col("t")).alias("s")).collect()
+    assert {texts[x["i"]]: [tuple(s) for s in x["s"]] for x in got} == {t: brute_slots(t) for t in texts}
+
+
+def test_the_work_is_in_proportion_to_the_text(spark):
+    def seconds(n):
+        df = spark.createDataFrame([(i, ",".join(f'"{k}"' for k in range(n))) for i in range(20)], "id int, t string").repartition(1).cache()
+        df.count()
+        took = []
+        for _ in range(3):
+            began = time.perf_counter()
+            assert packed_integers(df, "id", ["t"]).count() == 20 * n
+            took.append(time.perf_counter() - began)
+        return min(took)
+
+    assert seconds(4_000) < 8 * seconds(1_000) + 1
+
+
 def test_packed_integers(spark):
     data = [(i, t, None, "x") for i, t in enumerate(CASES)] + [(0, "1,2,3", None, "y"), (None, "1,2", "3", "z")]
     df = spark.createDataFrame(data, "id int, Sizes string, other string, slot_no string")
