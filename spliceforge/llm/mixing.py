@@ -110,19 +110,28 @@ def realise(counted: DataFrame, plan: Plan, totals: dict[str, tuple[int, int]],
     return uses.withColumn("mix_order", F.xxhash64("pass_no", "record_id", F.lit(seed + 1)))
 
 
-def mix_sources(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def mix_sources(counted: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 42, full_size: bool = False, by_entropy: bool = False) -> tuple[DataFrame, DataFrame]:
     """The mixture (see :func:`realise`) and a report of the shares reached, a row for each source of either table.
 
     ``counted``: source, record_id (unique), n_tokens. ``targets``: source, target_weight, max_repeats, a small table that
     the driver reads; repeated or null sources, weights that are null or not positive and limits under 1 are left out of the
     plan. Records without tokens or whose source is null or has no target are never used; a target without records reaches
     nothing, and the others' weights are kept in proportion. Empty tables give an empty mixture.
+
+    ``full_size`` asks for as many tokens as the sources of the plan have, whatever exponent that takes; ``by_entropy`` tempers the
+    sources' own token shares to the entropy of the target weights instead of going towards the targets. The exponent is reported.
     """
     counted = materialize(counted, "token-counts")
     goal = {r["source"]: r for r in targets.collect() if r["source"] is not None and (r["target_weight"] or 0) > 0 and (r["max_repeats"] or 0) > 0}
     known = counted.where(F.col("source").isin(list(goal)))
     totals = {r["source"]: (r["tokens"], r["n_records"]) for r in source_totals(known).collect()}
-    plan = plan_mix({s: t for s, (t, _) in totals.items()}, {s: r["max_repeats"] for s, r in goal.items()}, {s: r["target_weight"] for s, r in goal.items()}, total)
+    tokens, repeats = {s: t for s, (t, _) in totals.items()}, {s: r["max_repeats"] for s, r in goal.items()}
+    size = sum(tokens.values()) if full_size else total
+    if by_entropy:
+        weights = [r["target_weight"] for s, r in goal.items() if tokens.get(s)]
+        plan = plan_mix(tokens, repeats, total=size, target_entropy=entropy([w / sum(weights) for w in weights]))
+    else:
+        plan = plan_mix(tokens, repeats, {s: r["target_weight"] for s, r in goal.items()}, size)
     mixture = realise(counted, plan, totals, seed)
     reached = mixture.groupBy("source").agg(F.sum("n_tokens").alias("reached_tokens"), F.max("pass_no").alias("most_uses"), F.count(F.lit(1)).alias("n_uses"))
     rows = list(zip(plan.sources, plan.weights, plan.budgets))
@@ -132,7 +141,7 @@ def mix_sources(counted: DataFrame, targets: DataFrame, total: int | None = None
     report = report.join(wanted, "source", "full").join(planned, "source", "left").join(reached, "source", "left")
     report = report.na.fill(0, ["available_tokens", "available_records", "planned_share", "budget_tokens", "reached_tokens", "most_uses", "n_uses"])
     share = F.col("reached_tokens") / F.nullif(F.sum("reached_tokens").over(Window.partitionBy(F.lit(0))), F.lit(0))  # a row a source
-    return mixture, report.withColumn("reached_share", F.coalesce(share, F.lit(0.0)))
+    return mixture, report.withColumns({"reached_share": F.coalesce(share, F.lit(0.0)), "exponent": F.lit(plan.exponent)})
 
 
 def spark_rows(like: DataFrame, rows: list[tuple], schema: str) -> DataFrame:

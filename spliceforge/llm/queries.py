@@ -123,13 +123,14 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix_sources(token_counts(spark, d), table(spark, d, "mix_target"))[1]
 
 
+def p9_full(spark: SparkSession, d: str) -> DataFrame:
+    """Shares of a mixture as large as the sources are: the exponent is bisected to where the limits of use hold."""
+    return mixing.mix_sources(token_counts(spark, d), table(spark, d, "mix_target"), full_size=True)[1]
+
+
 def p9_tempered(spark: SparkSession, d: str) -> DataFrame:
-    """Weights by temperature instead of targets: token shares to the exponent at which their entropy is that of the targets."""
-    goal = {r["source"]: r for r in table(spark, d, "mix_target").where("target_weight > 0 and max_repeats > 0").collect()}  # a row a source
-    totals = mixing.source_totals(token_counts(spark, d).where(F.col("source").isin(list(goal)))).collect()
-    plan = mixing.plan_mix({r["source"]: r["tokens"] for r in totals}, {s: r["max_repeats"] for s, r in goal.items()}, target_entropy=mixing.entropy([r["target_weight"] for r in goal.values()]))
-    rows = [(s, {r["source"]: r["tokens"] for r in totals}[s], w, b, plan.exponent) for s, w, b in zip(plan.sources, plan.weights, plan.budgets)]
-    return spark.createDataFrame(rows, "source string, available_tokens long, weight double, budget_tokens long, exponent double")
+    """Shares of a mixture by temperature: token shares to the exponent at which their entropy is that of the targets."""
+    return mixing.mix_sources(token_counts(spark, d), table(spark, d, "mix_target"), by_entropy=True)[1]
 
 
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
@@ -157,6 +158,6 @@ from documents left join t using (doc_id)"""
 
 QUERIES = {
     "p1_found": p1_found, "p5_found": p5_found, "p5_percentiles": p5_percentiles, "p6_found": p6_found, "p6_group_sizes": p6_group_sizes,
-    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares,
+    "p8_ids": p8_ids, "p9_mix": p9_mix, "p9_shares": p9_shares, "p9_full": p9_full, "p9_tempered": p9_tempered, "p10_found": p10_found, "p10_shares": p10_shares,
 }
 SQL = {"p1_found": P1_SQL, "p5_found": P5_SQL, "p6_found": P6_SQL, "p6_group_sizes": P6_SIZES_SQL, "p10_found": P10_SQL, "p10_shares": P10_SHARES_SQL}

@@ -103,6 +103,33 @@ def test_mixture(spark, monkeypatch):
     assert none.count() == 0 and report.count() == 4
 
 
+@pytest.mark.parametrize("how", ["targets", "full_size", "by_entropy"])
+def test_exponents_against_a_grid(spark, how):
+    """The exponent is the greatest of a fine grid at which the limit of use (or the entropy) holds, and the mixture keeps the plan."""
+    have, limit, want = {"a": 900, "b": 300, "c": 40}, {"a": 1, "b": 1, "c": 3}, {"a": 0.3, "b": 0.5, "c": 0.2}
+    data = [(s, 10 * i + k, 3) for k, (s, n) in enumerate(have.items()) for i in range(n)]
+    df = spark.createDataFrame(data, "source string, record_id long, n_tokens long")
+    goal = spark.createDataFrame([(s, want[s], limit[s]) for s in have], "source string, target_weight double, max_repeats int")
+    mix, report = mixing.mix_sources(df, goal, full_size=how == "full_size", by_entropy=how == "by_entropy")
+    rows = {r["source"]: r for r in report.collect()}
+    whole, grid = sum(have.values()) * 3, np.linspace(0, 1, 20_001)
+    share = np.array([have[s] * 3 / whole for s in have])
+    target, most = np.array([want[s] for s in have]), np.array([have[s] * 3 * limit[s] for s in have])
+    toward = np.exp(np.outer(1 - grid, np.log(share)) + np.outer(grid, np.log(target)))
+    toward /= toward.sum(1, keepdims=True)
+    own = share[None, :] ** grid[:, None]
+    own /= own.sum(1, keepdims=True)
+    holds = {"targets": grid <= 1, "full_size": (most / toward).min(1) >= whole, "by_entropy": -(own * np.log(own)).sum(1) >= mixing.entropy(list(target))}[how]
+    best = grid[np.flatnonzero(holds)[-1]]
+    assert rows["a"]["exponent"] == pytest.approx(best, abs=1e-4)
+    assert how == "targets" or 0 < best < 1
+    weights = (own if how == "by_entropy" else toward)[np.flatnonzero(holds)[-1]]
+    assert [rows[s]["planned_share"] for s in have] == pytest.approx(weights.tolist(), abs=1e-3)
+    uses = mix.groupBy("source", "record_id").count().groupBy("source").agg({"count": "max"}).collect()
+    assert all(u[1] <= limit[u[0]] for u in uses)
+    assert all(0 <= rows[s]["budget_tokens"] - rows[s]["reached_tokens"] < 3 and rows[s]["reached_share"] == pytest.approx(w, abs=0.01) for s, w in zip(have, weights))
+
+
 # ------------------------------------------------------------------ spans
 def brute_spans(docs, width):
     owner, many = {}, set()
