@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceforge.operators.skew import heavy_keys, skew_lookup
 from spliceforge.session import materialize, ship_package
 
 #: Edges that one union-find holds in memory (about 150 bytes each while it works).
@@ -59,7 +60,7 @@ def connected_groups(links: DataFrame, left: str, right: str, block_edges: int =
     Each partition runs union-find over blocks of at most ``block_edges`` edges and passes on only a spanning forest (every
     node with its block's root). A node found in several blocks links their roots; these links, over fewer nodes each round,
     form the next level, in as many blocks as ``block_edges`` asks for, until one block holds them all. Then every level's
-    nodes look up what became of their root. No node, link or group is ever gathered in the driver, and a node that a third
+    nodes look up what became of their root, those of roots with very many nodes by broadcast. No node, link or group is ever gathered in the driver, and a node that a third
     of the links share reaches the shuffle once for each block.
 
     Links with a null end are left out; a link of a node with itself makes it a member of (at least) its own group; repeated
@@ -83,10 +84,12 @@ def connected_groups(links: DataFrame, left: str, right: str, block_edges: int =
         edges = joins.select(F.get("roots", F.lit(0)).alias("a"), F.explode(F.slice("roots", F.lit(2), F.size("roots") - 1)).alias("b"))
         blocks = -(-rest // block_edges)
         # by ranges of the smaller end, chains of ascending nodes fall into one block
-        edges = edges.coalesce(1) if blocks == 1 else edges.repartitionByRange(blocks, "a")
+        edges = edges.repartition(1) if blocks == 1 else edges.repartitionByRange(blocks, "a")
     own = lambda level: level.select("node", F.get("roots", F.lit(0)).alias("up"))
     groups = own(levels[-1]).select("node", F.col("up").alias("group_id"))
     for level in reversed(levels[:-1]):
-        above = groups.select(F.col("node").alias("up"), F.col("group_id").alias("of_up"))
-        groups = own(level).join(above, "up", "left").select("node", F.coalesce("of_up", "up").alias("group_id"))
+        # one root may stand for a third of all nodes
+        above = groups.select(F.col("node").alias("above"), F.col("group_id").alias("of_up"))
+        below = own(level)
+        groups = skew_lookup(below, above, "up", "above", heavy_keys(below, "up"), "left").select("node", F.coalesce("of_up", "up").alias("group_id"))
     return groups

@@ -14,7 +14,7 @@ from spliceforge.llm.topn import top_per_group
 from spliceforge.operators.current import current_rows
 from spliceforge.operators.intervals import period_bounds, sorted_bounds
 from spliceforge.operators.skew import heavy_keys, skew_lookup
-from spliceforge.session import table
+from spliceforge.session import materialize, table
 
 CURRENT_SQL = """select * from transcript where transcript_id is not null
   qualify row_number() over (partition by transcript_id order by loaded_at desc nulls last) = 1"""
@@ -73,6 +73,7 @@ def confirmed_matches(spark: SparkSession, d: str) -> DataFrame:
     now = now.select("transcript_id", "chr", "strand", starts.alias("__s"), ends.alias("__e"))
     opens, closes = period_bounds(F.col("__s"), F.col("__e"))  # names of their own, as an alias "s" would capture the closes' "s"
     now = now.select("transcript_id", F.concat("strand", "chr").alias("place"), opens.cast("array<int>").alias("s"), closes.cast("array<int>").alias("e")).where(F.size("s") > 0)
+    now = materialize(now, "match-chains")  # both sides and the heavy keys look it up
     side = lambda x: now.toDF(f"id_{x}", f"place_{x}", f"s_{x}", f"e_{x}")
     one = skew_lookup(pairs, side("a"), "tr_a", "id_a", heavy)
     both = skew_lookup(one, side("b"), "tr_b", "id_b", heavy).where("place_a = place_b")
