@@ -75,14 +75,13 @@ class WaveletMatrix:
         self.begin = np.zeros(n_symbols, np.int64)
         self.begin[row[begins]] = begins
 
-    def counts(self, symbol: np.ndarray, *positions: np.ndarray) -> list[np.ndarray]:
-        """How often ``symbol`` occurs before each of ``positions`` (arrays of one length)."""
-        n = len(positions)
-        at, symbols = np.concatenate(positions), np.concatenate([symbol] * n)
+    def counts(self, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """How often each of ``symbols`` occurs before the position of the same place in ``at``."""
+        begin = self.begin[symbols]
         for shift, rank in self.levels:
             ones = rank.ones(at)
             at = np.where((symbols >> shift) & 1, ones + rank.zeros, at - ones)
-        return np.split(at - self.begin[symbols], n)
+        return at - begin
 
 
 def suffix_rows(text: np.ndarray, n_symbols: int, half: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,9 +164,13 @@ class FMIndex:
             symbol = text[queries[live] + at]
             if t >= self.width:
                 sp, ep = self.cut.last(sp), self.cut.next(ep)
-            a, b = self.wavelet.counts(symbol, sp, ep)
+            # what has one row goes to one row, as it is in the index
+            wide = np.flatnonzero(ep - sp > 1)
+            counts = self.wavelet.counts(np.concatenate([symbol, symbol[wide]]), np.concatenate([sp, ep[wide]]))
             base = self.first[symbol]
-            sp, ep = base + a, base + b
+            sp = base + counts[: len(sp)]
+            ep = sp + 1
+            ep[wide] = base[wide] + counts[len(sp) :]
             length = min(t + 1, self.width)
             yield live, at, length, self.several.get(sp) if length == self.width else np.zeros(len(live), bool)
 
