@@ -26,23 +26,13 @@ def _by_strand(plus: F.Column) -> F.Column:
     return F.when(F.col("strand") == "-", swap).otherwise(plus)
 
 
-def _links(path: DataFrame, segs: DataFrame) -> DataFrame:
-    """The paths with whether the step into and out of each node has a gap."""
-    ends = path.join(segs.select("gene_id", "node", "start", "end"), ["gene_id", "node"])
-    nxt = segs.select("gene_id", F.col("node").alias("suc"), F.col("start").alias("__s"))
-    prv = segs.select("gene_id", F.col("node").alias("pre"), F.col("end").alias("__e"))
-    rows = ends.join(nxt, ["gene_id", "suc"], "left").join(prv, ["gene_id", "pre"], "left")
-    return rows.withColumns({"out_joined": (F.col("__s") == F.col("end")).cast("int"), "in_joined": (F.col("__e") == F.col("start")).cast("int")}).drop("__s", "__e", "start", "end")
-
-
-def simple_events(path: DataFrame, segs: DataFrame, strand: DataFrame) -> DataFrame:
+def simple_events(path: DataFrame, strand: DataFrame) -> DataFrame:
     """ES, 3AS, 5AS and IR: A and B are linked directly by the primary isoforms; the alternatives leave A for a nearer node and
     reach B, which isn't their last. Joins are on (gene, A, B) and (gene, isoform); isoforms meet only through a direct link."""
-    links = _links(path, segs)
     direct = path.where("suc > node + 1").select("gene_id", F.col("node").alias("node_a"), F.col("suc").alias("node_b"), "isoform")
     pairs = direct.select("gene_id", "node_a", "node_b").distinct()
-    left = links.select("gene_id", F.col("node").alias("node_a"), "isoform", F.col("suc").alias("suc_a"), "out_joined", "pas")
-    right = links.select("gene_id", F.col("node").alias("node_b"), "isoform", "in_joined")
+    left = path.select("gene_id", F.col("node").alias("node_a"), "isoform", F.col("suc").alias("suc_a"), (F.col("suc_start") == F.col("end")).cast("int").alias("out_joined"), "pas")
+    right = path.select("gene_id", F.col("node").alias("node_b"), "isoform", (F.col("pre_end") == F.col("start")).cast("int").alias("in_joined"))
     alt = pairs.join(left, ["gene_id", "node_a"]).where("suc_a < node_b and pas > node_b").join(right, ["gene_id", "isoform", "node_b"]).join(strand, "gene_id")
     kind = F.lit(None).cast("string")
     for (a, b), name in PLUS_TYPES.items():
@@ -53,7 +43,7 @@ def simple_events(path: DataFrame, segs: DataFrame, strand: DataFrame) -> DataFr
     return alt.unionByName(primary.select(*EVENT, F.lit("primary").alias("side"), "isoform"))
 
 
-def exclusive_events(path: DataFrame, segs: DataFrame) -> DataFrame:
+def exclusive_events(path: DataFrame) -> DataFrame:
     """ME: from A, alternatives go by a nearer exon and primaries by one at or beyond B, and all meet again in C, the first node of the
     exon after that. An alternative counts for the nearest B that has such a C; node_b is C."""
     exon = path.groupBy("gene_id", "isoform", "exon_no").agg(F.min("node").alias("first"), F.max("node").alias("last"))

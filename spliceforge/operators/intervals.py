@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceforge.operators.ranks import row_numbers
 from spliceforge.session import materialize
 
 
@@ -46,9 +47,8 @@ def periods_and_gaps(opens: Column, closes: Column) -> Column:
 def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, hot_rows: int | None = 1_000_000) -> DataFrame:
     """Periods and gaps of each entity: ``keys``, kind (``period`` or ``gap``), pos_from, pos_to (int64).
 
-    Entities of up to ``hot_rows`` rows are merged in one array each. Larger ones never reach one task: their bounds are
-    counted per position (repeated bounds collapse before the shuffle), range-partitioned, and ranked by running sums
-    with an offset per partition. The list of larger entities has at most rows / ``hot_rows`` rows. With None, for
+    Entities of up to ``hot_rows`` rows are merged in one array each. Larger ones never reach one task: their starts and ends are
+    ranked over range partitions, with an offset per partition, and compared by joins on the rank. The list of larger entities has at most rows / ``hot_rows`` rows. With None, for
     entities of known bounded size, none is looked for.
 
     Rows with a null key or bound, or whose end isn't greater than the start, are left out; an entity without a valid row
@@ -76,31 +76,18 @@ def _merge_small(base: DataFrame, k: list[str]) -> DataFrame:
 
 
 def _merge_hot(base: DataFrame, k: list[str]) -> DataFrame:
-    both = F.inline(F.array(*[F.struct(F.col(c).alias("__p"), F.lit(a).alias("__ds"), F.lit(b).alias("__de")) for c, a, b in (("__s", 1, 0), ("__e", 0, 1))]))
-    at = base.select(*k, both).groupBy(*k, "__p").agg(F.sum("__ds").alias("__ds"), F.sum("__de").alias("__de"))
-    tiled = materialize(at.repartitionByRange(*k, "__p").withColumn("__t", F.spark_partition_id()), "interval-tiles")
-    open_now = F.col("__open") - F.col("__ds") + F.col("__de")
-    balance = _running(tiled, k, F.col("__ds") - F.col("__de"), "__open")
-    edges = balance.withColumn("__first", (open_now == 0).cast("long")).withColumn("__last", (F.col("__open") == 0).cast("long"))
-    edges = materialize(edges.where("__first + __last > 0").select(*k, "__t", "__p", "__first", "__last"), "interval-edges")
-    starts = _running(edges, k, F.col("__first"), "__r").where("__first = 1").select(*k, "__r", F.col("__p").alias("pos_from"))
-    ends = _running(edges, k, F.col("__last"), "__r").where("__last = 1").select(*k, "__r", F.col("__p").alias("pos_to"))
-    on = [*k, "__r"]
-    periods = starts.join(ends, on).select(*k, F.lit("period").alias("kind"), "pos_from", "pos_to")
-    before = ends.select(*k, (F.col("__r") + 1).alias("__r"), F.col("pos_to").alias("__from"))
-    gaps = before.join(starts, on).select(*k, F.lit("gap").alias("kind"), F.col("__from").alias("pos_from"), F.col("pos_from").alias("pos_to"))
+    """The same by ranks over ranges: starts and ends are numbered on their own, and the start ranked next meets the end by its rank."""
+    rows = base.distinct()
+    starts = row_numbers(rows.select(*k, "__s"), k, ["__s"], "__r")
+    ends = row_numbers(rows.select(*k, "__e"), k, ["__e"], "__r").withColumn("__r", F.col("__r") + 1)
+    edges = materialize(starts.join(ends, [*k, "__r"], "full").where("__s is null or __e is null or __s > __e").select(*k, "__s", "__e"), "interval-edges")
+    opens = row_numbers(edges.where("__s is not null").select(*k, F.col("__s").alias("pos_from")), k, ["pos_from"], "__r")
+    closes = row_numbers(edges.where("__e is not null").select(*k, F.col("__e").alias("pos_to")), k, ["pos_to"], "__r")
+    periods = opens.join(closes, [*k, "__r"]).select(*k, F.lit("period").alias("kind"), "pos_from", "pos_to")
+    gaps = edges.where("__s > __e").select(*k, F.lit("gap").alias("kind"), F.col("__e").alias("pos_from"), F.col("__s").alias("pos_to"))
     return periods.unionByName(gaps)
 
 
-def _running(tiled: DataFrame, k: list[str], value: Column, name: str) -> DataFrame:
-    """Running sum of ``value`` by position within an entity: within the tile, plus what the tiles before hold."""
-    sums = tiled.groupBy(*k, "__t").agg(F.sum(value).alias("__sum"))
-    before = Window.partitionBy(*k).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(*k, "__t", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__off"))
-    within = Window.partitionBy(*k, "__t").orderBy("__p").rowsBetween(Window.unboundedPreceding, 0)
-    return tiled.withColumn(name, F.sum(value).over(within)).join(offsets, [*k, "__t"]).withColumn(name, F.col(name) + F.col("__off")).drop("__off")
-
-
 def overlap_join(left: DataFrame, right: DataFrame, on: list[str], l_span: tuple[str, str], r_span: tuple[str, str], bin_width: int = 10_000) -> DataFrame:
     """Inner join of rows that agree on ``on`` and whose half-open spans overlap by a base or more.
 

@@ -22,31 +22,30 @@ def segments(exons: DataFrame) -> DataFrame:
 
 
 def paths(exons: DataFrame, segs: DataFrame, ident: str = "isoform") -> DataFrame:
-    """gene_id, ``ident``, node, exon_no, pre, suc, tss, pas (first and last node in genomic order), and for the exon of the node
-    its first and last node. Exon bounds are segment bounds, so both joins are equi-joins on a position."""
+    """gene_id, ``ident``, node, exon_no, pre, suc, tss, pas (first and last node in genomic order), for the exon of the node its first and
+    last node, the node's start and end, pre_end and suc_start. Exon bounds are segment bounds, so all joins are equi-joins."""
     first = segs.select("gene_id", F.col("start"), F.col("node").alias("exon_first"))
     last = segs.select("gene_id", F.col("end"), F.col("node").alias("exon_last"))
     spans = exons.join(first, ["gene_id", "start"]).join(last, ["gene_id", "end"])
-    nodes = spans.select("gene_id", ident, "exon_no", "exon_first", "exon_last", F.explode(F.sequence("exon_first", "exon_last")).alias("node"))
+    nodes = spans.select("gene_id", ident, "exon_no", "exon_first", "exon_last", F.explode(F.sequence("exon_first", "exon_last")).alias("node")).join(segs, ["gene_id", "node"])
     w = Window.partitionBy("gene_id", ident)
     o = w.orderBy("node")
     return nodes.select(
         "gene_id", ident, "node", "exon_no", "exon_first", "exon_last", F.lag("node").over(o).alias("pre"), F.lead("node").over(o).alias("suc"),
-        F.min("node").over(w).alias("tss"), F.max("node").over(w).alias("pas"),
+        F.min("node").over(w).alias("tss"), F.max("node").over(w).alias("pas"), "start", "end", F.lag("end").over(o).alias("pre_end"), F.lead("start").over(o).alias("suc_start"),
     )
 
 
-def restore(path: DataFrame, segs: DataFrame, ident: str = "isoform") -> DataFrame:
+def restore(path: DataFrame, ident: str = "isoform") -> DataFrame:
     """gene_id, ``ident``, exons: the chains that the paths stand for."""
-    rows = path.join(segs, ["gene_id", "node"]).groupBy("gene_id", ident, "exon_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    rows = path.groupBy("gene_id", ident, "exon_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
     return rows.groupBy("gene_id", ident).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
 
 
-def edges(path: DataFrame, segs: DataFrame, ident: str = "isoform") -> DataFrame:
+def edges(path: DataFrame) -> DataFrame:
     """gene_id, node_a, node_b, spliced, n_isoforms: the direct links of the graph."""
-    a, b = segs.select("gene_id", F.col("node").alias("node_a"), F.col("end")), segs.select("gene_id", F.col("node").alias("node_b"), F.col("start"))
-    links = path.where("suc is not null").groupBy("gene_id", F.col("node").alias("node_a"), F.col("suc").alias("node_b")).agg(F.count(F.lit(1)).alias("n_isoforms"))
-    return links.join(a, ["gene_id", "node_a"]).join(b, ["gene_id", "node_b"]).select("gene_id", "node_a", "node_b", (F.col("start") > F.col("end")).alias("spliced"), "n_isoforms")
+    links = path.where("suc is not null").groupBy("gene_id", F.col("node").alias("node_a"), F.col("suc").alias("node_b"))
+    return links.agg(F.max(F.col("suc_start") > F.col("end")).alias("spliced"), F.count(F.lit(1)).alias("n_isoforms"))
 
 
 def fragments(path: DataFrame, strand: DataFrame, ident: str = "isoform") -> DataFrame:

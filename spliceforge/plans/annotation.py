@@ -17,7 +17,7 @@ from spliceforge.plans import model as M
 from spliceforge.plans.problems import P4_SQL
 from spliceforge.plans.structure import MIN_TOTAL, REF
 from spliceforge.session import materialize, ship_package, table
-from spliceforge.sources.export import exon_layout, gtf_lines
+from spliceforge.sources.export import numbered_events, gtf_lines
 
 
 def parsed_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -80,8 +80,8 @@ def event_export(spark: SparkSession, d: str) -> DataFrame:
     """Frequent simple events numbered within their kind, as they are written to files."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, segs, strand), iso.select("gene_id", "isoform", "reads"))
-    rows = exon_layout(bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False), segs))
+    totals = bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads"))
+    rows = numbered_events(bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False), segs))
     return rows.select("file", "row_id", "gene_id", "start", "end", "primary_reads", "alternative_reads")
 
 
@@ -89,8 +89,8 @@ def all_event_export(spark: SparkSession, d: str) -> DataFrame:
     """:func:`event_export` with ME events."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(M.all_events(path, segs, strand), iso.select("gene_id", "isoform", "reads"))
-    rows = exon_layout(bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False), segs))
+    totals = bubbles.event_totals(M.all_events(path, strand), iso.select("gene_id", "isoform", "reads"))
+    rows = numbered_events(bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False), segs))
     return rows.select("file", "row_id", "gene_id", "start", "end", "via", "primary_reads", "alternative_reads")
 
 
@@ -239,7 +239,7 @@ SQL = {
     "event_export": f"""with {M.BASE}, {M.sql_iso()}, {M.sql_graph()}, {M.SIMPLE_SQL.format(p='')}, tot as (select e.gene, event_type, e.a, e.b, sum(case when side = 'primary' then reads else 0 end) as pr, sum(case when side = 'alternative' then reads else 0 end) as al from sim e join iso i on i.isoform = e.isoform group by all),
         k as (select t.*, x.e as st, y.s as en, case event_type when 'ES' then 'SE' when '3AS' then 'A3SS' when '5AS' then 'A5SS' else 'RI' end as file from tot t join seg x on x.gene = t.gene and x.node = t.a join seg y on y.gene = t.gene and y.node = t.b
           where pr + al >= {MIN_TOTAL} and least(pr, al) > (pr + al) * cast(0.1 as double))
-        select file, cast(row_number() over (partition by file order by gene, st, en, a, b) as int) as row_id, gene as gene_id, st as start, en as "end", cast(pr as bigint) as primary_reads, cast(al as bigint) as alternative_reads from k""",
+        select file, row_number() over (partition by file order by gene, st, en, a, b) as row_id, gene as gene_id, st as start, en as "end", cast(pr as bigint) as primary_reads, cast(al as bigint) as alternative_reads from k""",
     "reverse_complements": f"with {_SEQ} select doc_id, reverse(translate(seq, 'ACGT', 'TGCA')) as seq from sq",
     "a_content": f"with {_SEQ} select doc_id, round(length(regexp_replace(seq[1:30], '[^A]', '', 'g')) / 30, 4) as a_share from sq",
     "window_content": f"""with {_SEQ}, w as (select doc_id, seq, unnest(range(0, length(seq) - 29)) as pos from sq where length(seq) >= 30),

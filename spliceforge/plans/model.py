@@ -36,8 +36,9 @@ def in_genes(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chained(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
-    """Transcripts of genes (those for which ``only`` holds) with the chain that tells their isoform."""
-    return collapse.with_chain(in_genes(spark, d).where(only))
+    """Transcripts of genes (those for which ``only`` holds) with the chain that tells their isoform; written, as chains are found in several passes."""
+    rows = in_genes(spark, d).where(only).drop("subs", "gene_name", "a_content", "category")
+    return collapse.with_chain(materialize(rows, "gene-transcripts"))
 
 
 #: A gene at one place: transcripts of one gene_id on another chromosome or strand form a gene of their own.
@@ -51,7 +52,7 @@ def isoforms(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
 
 def isoforms_and_reads(spark: SparkSession, d: str, only: str = "true") -> tuple[DataFrame, DataFrame]:
     """Isoforms, and gene_id (key), isoform, sample_name, reads, both from chained transcripts that are written once."""
-    rows = materialize(chained(spark, d, only).drop("subs", "gene_name", "a_content", "category"), "chained")
+    rows = materialize(chained(spark, d, only), "chained")
     iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(GENE_KEY)), "isoforms")
     key = [F.expr(GENE_KEY).alias("gene_id"), "chain"]
     reads = rows.groupBy(*key, "sample_name").agg(F.sum(F.coalesce("coverage", F.lit(0))).alias("reads"))
@@ -65,17 +66,17 @@ def graph(iso: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     return segs, materialize(segments.paths(rows, segs), "paths"), iso.groupBy("gene_id").agg(F.first("strand").alias("strand"))
 
 
-def all_events(path: DataFrame, segs: DataFrame, strand: DataFrame) -> DataFrame:
+def all_events(path: DataFrame, strand: DataFrame) -> DataFrame:
     """The simple and mutually exclusive events, isoform by isoform; via is null but for ME."""
-    simple = bubbles.simple_events(path, segs, strand).withColumn("via", F.lit(None).cast("int"))
-    return simple.unionByName(bubbles.exclusive_events(path, segs).withColumn("via", F.col("via").cast("int")))
+    simple = bubbles.simple_events(path, strand).withColumn("via", F.lit(None).cast("int"))
+    return simple.unionByName(bubbles.exclusive_events(path).withColumn("via", F.col("via").cast("int")))
 
 
 
-def all_totals(path: DataFrame, segs: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+def all_totals(path: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Totals of the events of all types, TSS and PAS included; via is part of the key."""
     ends = bubbles.end_event_totals(path, strand, reads, by).withColumn("via", F.lit(None).cast("int"))
-    return bubbles.event_totals(all_events(path, segs, strand), reads, by).unionByName(ends)
+    return bubbles.event_totals(all_events(path, strand), reads, by).unionByName(ends)
 
 
 # ------------------------------------------------------------------ the same for DuckDB

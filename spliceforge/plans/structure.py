@@ -43,13 +43,13 @@ def segment_paths(spark: SparkSession, d: str) -> DataFrame:
 
 def segment_edges(spark: SparkSession, d: str) -> DataFrame:
     segs, path, _ = M.graph(M.isoforms(spark, d))
-    return segments.edges(path, segs)
+    return segments.edges(path)
 
 
 def segment_restore(spark: SparkSession, d: str) -> DataFrame:
     """Chains rebuilt from the paths, as text."""
     segs, path, _ = M.graph(M.isoforms(spark, d))
-    rows = segments.restore(path, segs)
+    rows = segments.restore(path)
     return rows.select("gene_id", "isoform", F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("exon_text"))
 
 
@@ -77,14 +77,14 @@ def splice_events(spark: SparkSession, d: str) -> DataFrame:
     """ES, 3AS, 5AS and IR events with coordinates and the reads of both sides."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, segs, strand), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads"))
     return bubbles.with_coordinates(totals, segs)
 
 
 def exclusive_events(spark: SparkSession, d: str) -> DataFrame:
     iso = M.isoforms(spark, d)
     segs, path, _ = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.exclusive_events(path, segs), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.event_totals(bubbles.exclusive_events(path), iso.select("gene_id", "isoform", "reads"))
     return bubbles.with_coordinates(totals, segs)
 
 
@@ -99,7 +99,7 @@ def frequent_events(spark: SparkSession, d: str) -> DataFrame:
     """Simple and exclusive events with enough reads on both sides."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(M.all_events(path, segs, strand), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.event_totals(M.all_events(path, strand), iso.select("gene_id", "isoform", "reads"))
     return bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=True)
 
 
@@ -107,14 +107,14 @@ def all_frequent_events(spark: SparkSession, d: str) -> DataFrame:
     """:func:`frequent_events` with TSS and PAS."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    return bubbles.frequent(M.all_totals(path, segs, strand, iso.select("gene_id", "isoform", "reads")), MIN_TOTAL, 0.1, inclusive=True)
+    return bubbles.frequent(M.all_totals(path, strand, iso.select("gene_id", "isoform", "reads")), MIN_TOTAL, 0.1, inclusive=True)
 
 
 def event_psi(spark: SparkSession, d: str) -> DataFrame:
     """Per simple event and sample: reads of the alternative side, of both, and their ratio."""
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_name",))
+    totals = bubbles.event_totals(bubbles.simple_events(path, strand), reads, ("sample_name",))
     total = F.col("primary_reads") + F.col("alternative_reads")
     rows = totals.select(*bubbles.EVENT, "sample_name", F.col("alternative_reads").alias("alt_reads"), total.alias("total_reads"))
     return rows.where("total_reads > 0").withColumn("psi", F.round(F.col("alt_reads") / F.col("total_reads"), 6))
@@ -124,7 +124,7 @@ def all_event_psi(spark: SparkSession, d: str) -> DataFrame:
     """:func:`event_psi` over the events of all types; via tells ME events of one A and B apart."""
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = M.all_totals(path, segs, strand, reads, ("sample_name",))
+    totals = M.all_totals(path, strand, reads, ("sample_name",))
     total = F.col("primary_reads") + F.col("alternative_reads")
     rows = totals.select(*bubbles.KEY, "sample_name", F.col("alternative_reads").alias("alt_reads"), total.alias("total_reads"))
     return rows.where("total_reads > 0").withColumn("psi", F.round(F.col("alt_reads") / F.col("total_reads"), 6))
@@ -134,7 +134,7 @@ def event_known(spark: SparkSession, d: str) -> DataFrame:
     """Simple events by coordinates, and whether the reference isoforms (full splice matches) alone show them too."""
     def coords(only: str) -> DataFrame:
         segs, path, strand = M.graph(M.isoforms(spark, d, only))
-        events = bubbles.simple_events(path, segs, strand).select(*bubbles.EVENT).distinct()
+        events = bubbles.simple_events(path, strand).select(*bubbles.EVENT).distinct()
         return bubbles.with_coordinates(events, segs).select("gene_id", "event_type", "start", "end").distinct()
 
     known = coords(REF).withColumn("known", F.lit(True))
@@ -146,7 +146,7 @@ def all_event_known(spark: SparkSession, d: str) -> DataFrame:
     def coords(only: str) -> DataFrame:
         iso = M.isoforms(spark, d, only)
         segs, path, strand = M.graph(iso)
-        events = M.all_totals(path, segs, strand, iso.select("gene_id", "isoform", "reads")).select(*bubbles.KEY)
+        events = M.all_totals(path, strand, iso.select("gene_id", "isoform", "reads")).select(*bubbles.KEY)
         via = segs.select("gene_id", F.col("node").alias("via"), F.col("start").alias("via_start"))
         return bubbles.with_coordinates(events, segs).join(via, ["gene_id", "via"], "left").select("gene_id", "event_type", "start", "end", "via_start").distinct()
 
@@ -164,7 +164,7 @@ def event_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Distance from each frequent event to the next one of its gene, by start (negative: they overlap)."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, segs, strand), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads"))
     rows = bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1), segs)
     w = Window.partitionBy("gene_id").orderBy("start", "end", "event_type", "node_a", "node_b")
     return rows.select("gene_id", "event_type", "start", "end", (F.lead("start").over(w) - F.least(F.col("end"), F.lead("end").over(w))).alias("distance"))

@@ -241,7 +241,7 @@ def _two_groups(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
     reads = reads.join(s, "sample_name").groupBy("gene_id", "isoform", "sample_group").agg(F.sum("reads").alias("reads"))
-    t = M.all_totals(path, segs, strand, reads, ("sample_group",)) if every else bubbles.event_totals(bubbles.simple_events(path, segs, strand), reads, ("sample_group",))
+    t = M.all_totals(path, strand, reads, ("sample_group",)) if every else bubbles.event_totals(bubbles.simple_events(path, strand), reads, ("sample_group",))
     pick = lambda g, v: F.sum(F.when(F.col("sample_group") == g, v).otherwise(0))
     both = F.col("primary_reads") + F.col("alternative_reads")
     cols = [pick(g, v).alias(f"{n}{i}") for i, g in enumerate(GROUPS) for n, v in (("x", F.col("alternative_reads")), ("n", both))]
@@ -302,7 +302,7 @@ def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
     segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
     reads = reads.join(s, "sample_name")
-    t = M.all_totals(path, segs, strand, reads, ("sample_name", "sample_group"))
+    t = M.all_totals(path, strand, reads, ("sample_name", "sample_group"))
     rows = t.select(*bubbles.KEY, F.struct(F.col("sample_group").alias("g"), F.col("sample_name").alias("s"), F.col("alternative_reads").alias("x"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")).alias("c"))
     rows = rows.groupBy(*bubbles.KEY).agg(F.array_sort(F.collect_list("c")).alias("c"))
     total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c[f])
@@ -350,7 +350,7 @@ def coordination_table(spark: SparkSession, d: str, min_dist: int = 1, exclusive
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
     reads = iso.select("gene_id", "isoform", "reads")
-    sides = M.all_events(path, segs, strand) if exclusive else bubbles.simple_events(path, segs, strand).withColumn("via", F.lit(None).cast("int"))
+    sides = M.all_events(path, strand) if exclusive else bubbles.simple_events(path, strand).withColumn("via", F.lit(None).cast("int"))
     sides = materialize(sides.withColumn("via", F.coalesce("via", F.lit(-1))), "event-sides")  # no null in the join's key
     keep = bubbles.with_coordinates(bubbles.frequent(bubbles.event_totals(sides, reads), MIN_TOTAL, 0.1), segs).select(*bubbles.KEY, "start", "end")
     named = sides.join(keep, bubbles.KEY).join(reads.where("reads > 0"), ["gene_id", "isoform"])
@@ -413,7 +413,7 @@ def event_embedding(spark: SparkSession, d: str, top: int = 500, prior: int = 2)
     """
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
-    t = M.all_totals(path, segs, strand, reads, ("sample_name",))
+    t = M.all_totals(path, strand, reads, ("sample_name",))
     rows = materialize(t.select(F.concat_ws("/", *bubbles.KEY).alias("event"), "sample_name", F.col("alternative_reads").alias("k"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")), "embedding-cells")
     mean = rows.groupBy("event").agg((F.sum("k") / F.nullif(F.sum("n"), F.lit(0))).alias("mean"), F.sum("n").alias("total")).where(F.col("total") >= MIN_TOTAL)
     psi = rows.join(mean, "event").withColumn("psi", (F.col("k") + F.col("mean") * prior) / (F.col("n") + prior))

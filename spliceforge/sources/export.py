@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spliceforge.operators.ranks import row_numbers
+
 EVENT_FILES = {"ES": "SE", "3AS": "A3SS", "5AS": "A5SS", "IR": "RI", "ME": "MXE"}
 VERSION = "1"
 
@@ -36,18 +38,17 @@ def write_gtf(isoforms: DataFrame, path: str, gzip: bool = False, source: str =
     rows.select("value").write.text(path, compression="gzip" if gzip else "none")
 
 
-def exon_layout(events: DataFrame) -> DataFrame:
+def numbered_events(events: DataFrame) -> DataFrame:
     """Adds file (the event's name elsewhere) and row_id (from 1, by gene and position within each kind)."""
-    from pyspark.sql import Window
-
     names = F.create_map(*[F.lit(x) for kv in EVENT_FILES.items() for x in kv])
     rows = events.withColumn("file", names[F.col("event_type")]).where("file is not null")
-    return rows.withColumn("row_id", F.row_number().over(Window.partitionBy("file").orderBy("gene_id", "start", "end", "node_a", "node_b", *(c for c in ("via",) if c in events.columns))))
+    order = ["gene_id", "start", "end", "node_a", "node_b", *(c for c in ("via",) if c in events.columns)]
+    return row_numbers(rows, ["file"], order, "row_id")
 
 
 def write_events(events: DataFrame, folder: str) -> None:
     """One folder of tab-separated rows for each kind of event."""
-    exon_layout(events).write.partitionBy("file").csv(folder, sep="\t", header=True)
+    numbered_events(events).write.partitionBy("file").csv(folder, sep="\t", header=True)
 
 
 def event_gff_lines(events: DataFrame) -> DataFrame:

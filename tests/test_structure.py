@@ -7,13 +7,14 @@ from spliceforge.functions import stats
 from spliceforge.operators import bubbles, collapse, segments
 from spliceforge.operators.assign import best_genes, loci, novel_genes, novel_types
 from spliceforge.operators.novelty import classify_transcripts
-from tests.test_novelty import NOVEL, REF
+from tests.test_novelty import CASES, GENE
 
 EXONS = "array<struct<start:long,end:long>>"
-T0 = [(0, 10), (20, 30), (40, 50), (60, 70), (100, 110), (120, 130)]
-T1 = sorted([*T0, (80, 90)])
-T2 = [(0, 10), (20, 50), (60, 70), (100, 110), (120, 130)]
-T3 = sorted([*T2, (80, 90)])
+# an intron that is kept or not, and an exon that is skipped or not
+T0 = [(5, 15), (31, 42), (57, 75), (90, 104), (150, 160), (190, 200)]
+T1 = sorted([*T0, (120, 130)])
+T2 = [T0[0], (31, 75), *T0[3:]]
+T3 = sorted([*T2, (120, 130)])
 
 
 def gene(spark, chains, strand="+", reads=None, name="g"):
@@ -35,34 +36,34 @@ def sets(events, *extra):
 
 
 def test_coordinated_gene(spark):
-    iso = gene(spark, [T0, T1, T2, T3], reads=[300, 60, 100, 350])
+    iso = gene(spark, [T0, T1, T2, T3], reads=[240, 40, 70, 290])
     segs, path, strand = graph(iso)
-    assert [(r["start"], r["end"]) for r in segs.orderBy("node").collect()] == [(0, 10), (20, 30), (30, 40), (40, 50), (60, 70), (80, 90), (100, 110), (120, 130)]
-    got = sets(bubbles.simple_events(path, segs, strand))
+    assert [(r["start"], r["end"]) for r in segs.orderBy("node").collect()] == [(5, 15), (31, 42), (42, 57), (57, 75), (90, 104), (120, 130), (150, 160), (190, 200)]
+    got = sets(bubbles.simple_events(path, strand))
     assert got == {("IR", 1, 3): {"primary": {0, 1}, "alternative": {2, 3}}, ("ES", 4, 6): {"primary": {0, 2}, "alternative": {1, 3}}}
-    totals = {r["event_type"]: r for r in bubbles.with_coordinates(bubbles.event_totals(bubbles.simple_events(path, segs, strand), iso.select("gene_id", "isoform", "reads")), segs).collect()}
-    assert (totals["IR"]["start"], totals["IR"]["end"], totals["ES"]["start"], totals["ES"]["end"]) == (30, 40, 70, 100)
-    assert (totals["IR"]["primary_reads"], totals["IR"]["alternative_reads"]) == (360, 450)
-    restored = {r["isoform"]: [tuple(x) for x in r["exons"]] for r in segments.restore(path, segs).collect()}
+    totals = {r["event_type"]: r for r in bubbles.with_coordinates(bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads")), segs).collect()}
+    assert (totals["IR"]["start"], totals["IR"]["end"], totals["ES"]["start"], totals["ES"]["end"]) == (42, 57, 104, 150)
+    assert (totals["IR"]["primary_reads"], totals["IR"]["alternative_reads"]) == (280, 360)
+    restored = {r["isoform"]: [tuple(x) for x in r["exons"]] for r in segments.restore(path).collect()}
     assert restored == {0: T0, 1: T1, 2: T2, 3: T3}
-    edge = {(r["node_a"], r["node_b"]): (r["spliced"], r["n_isoforms"]) for r in segments.edges(path, segs).collect()}
+    edge = {(r["node_a"], r["node_b"]): (r["spliced"], r["n_isoforms"]) for r in segments.edges(path).collect()}
     assert edge[1, 2] == (False, 2) and edge[1, 3] == (True, 2)
 
 
 def test_splice_site_types_swap_on_the_other_strand(spark):
     chains = [[(0, 10), (40, 50), (90, 99)], [(0, 20), (40, 50), (90, 99)], [(0, 10), (30, 50), (90, 99)]]
-    plus = {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[0], g[2]))(graph(gene(spark, chains)))))}
-    minus = {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[0], g[2]))(graph(gene(spark, chains, "-")))))}
+    plus = {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[2]))(graph(gene(spark, chains)))))}
+    minus = {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[2]))(graph(gene(spark, chains, "-")))))}
     assert plus == {"5AS", "3AS"} == minus
     only = [chains[0], chains[1]]
-    assert {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[0], g[2]))(graph(gene(spark, only)))))} == {"5AS"}
-    assert {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[0], g[2]))(graph(gene(spark, only, "-")))))} == {"3AS"}
+    assert {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[2]))(graph(gene(spark, only)))))} == {"5AS"}
+    assert {k[0] for k in sets(bubbles.simple_events(*(lambda g: (g[1], g[2]))(graph(gene(spark, only, "-")))))} == {"3AS"}
 
 
 def test_mutually_exclusive_exons(spark):
     chains = [[(0, 10), (20, 30), (60, 70)], [(0, 10), (40, 50), (60, 70)], [(0, 10), (60, 70)]]
     segs, path, _ = graph(gene(spark, chains))
-    assert sets(bubbles.exclusive_events(path, segs)) == {("ME", 0, 3): {"primary": {1}, "alternative": {0}}}
+    assert sets(bubbles.exclusive_events(path)) == {("ME", 0, 3): {"primary": {1}, "alternative": {0}}}
 
 
 def test_start_and_end_events(spark):
@@ -119,13 +120,13 @@ def test_loci_by_gap(spark):
 
 
 def test_classifier_over_frames(spark):
-    ref = spark.createDataFrame([("g", "+", c) for c in REF], f"gene_id string, strand string, exons {EXONS}")
-    tr = spark.createDataFrame([(i, "g" if i else "other", c) for i, (_, c) in enumerate(NOVEL.values())], f"transcript_id long, gene_id string, exons {EXONS}")
+    ref = spark.createDataFrame([("g", "+", c) for c in GENE], f"gene_id string, strand string, exons {EXONS}")
+    tr = spark.createDataFrame([(i, "g" if i else "other", c) for i, (*_, c) in enumerate(CASES)], f"transcript_id long, gene_id string, exons {EXONS}")
     got = {r["transcript_id"]: r["subcategories"] for r in classify_transcripts(tr, ref, block=4).collect()}
-    assert 0 not in got and all(name in got[i].split(",") for i, name in enumerate(NOVEL) if i)
+    assert 0 not in got and all(name in got[i].split(",") for i, (_, name, _) in enumerate(CASES) if i)
 
 
 def test_coordination_numbers(spark):
-    row = spark.range(1).select(stats.log2_odds_ratio(F.lit(300), F.lit(60), F.lit(100), F.lit(350)).alias("l")).first()
-    assert row["l"] == pytest.approx(4.1293, abs=1e-4)
-    assert stats.fisher_exact(300, 60, 100, 350)[1] < 0.05
+    row = spark.range(1).select(stats.log2_odds_ratio(F.lit(240), F.lit(40), F.lit(70), F.lit(290)).alias("l")).first()
+    assert row["l"] == pytest.approx(4.6356, abs=1e-4)
+    assert stats.fisher_exact(240, 40, 70, 290)[1] < 0.05
