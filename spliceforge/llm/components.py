@@ -74,7 +74,7 @@ def connected_groups(links: DataFrame, left: str, right: str, block_edges: int =
     levels: list[DataFrame] = []
     while True:
         forest = edges.mapInArrow(kernel, "node long, root long")
-        by_node = forest.groupBy("node").agg(F.array_sort(F.collect_set("root")).alias("roots"))
+        by_node = forest.groupBy("node").agg(F.sort_array(F.collect_set("root")).alias("roots"))
         level = materialize(by_node, "forest-level")
         levels.append(level)
         joins = level.where(F.size("roots") > 1)

@@ -77,7 +77,7 @@ def confirmed_matches(spark: SparkSession, d: str) -> DataFrame:
     side = lambda x: now.toDF(f"id_{x}", f"place_{x}", f"s_{x}", f"e_{x}")
     one = skew_lookup(pairs, side("a"), "tr_a", "id_a", heavy)
     both = skew_lookup(one, side("b"), "tr_b", "id_b", heavy).where("place_a = place_b")
-    both = both.select("tr_a", "tr_b", F.array_sort(F.concat("s_a", "s_b")).alias("s"), F.array_sort(F.concat("e_a", "e_b")).alias("e"))
+    both = both.select("tr_a", "tr_b", F.sort_array(F.concat("s_a", "s_b")).alias("s"), F.sort_array(F.concat("e_a", "e_b")).alias("e"))
     return both.where(F.exists(F.zip_with(F.slice("s", F.lit(2), F.size("s") - 1), F.slice("e", F.lit(1), F.size("e") - 1), lambda s, e: s < e), lambda x: x)).select("tr_a", "tr_b")
 
 
