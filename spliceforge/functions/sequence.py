@@ -87,7 +87,25 @@ def open_frames(seq: str, starts: tuple[str, ...] = STARTS, stops: tuple[str, ..
     return out
 
 
-def kozak_score(seq: str, start: int, weights: dict[int, dict[str, float]]) -> float:
+#: Per cent of A, C, G and T at the places -12 to -1 and 4 (behind the start codon) of vertebrate messengers (Kozak 1987).
+KOZAK_COUNTS = (
+    (23, 35, 23, 19), (26, 35, 21, 18), (25, 35, 22, 18), (23, 26, 33, 18), (19, 39, 23, 19), (23, 37, 20, 20), (17, 19, 44, 20),
+    (18, 39, 23, 20), (25, 53, 15, 7), (61, 2, 36, 1), (27, 49, 13, 11), (15, 55, 21, 9), (23, 16, 46, 15),
+)
+KOZAK_PLACES = (*range(-12, 0), 3)
+
+
+def _kozak_weights() -> dict[int, dict[str, float]]:
+    """Log ratio of each base's share at a place to its share over all places."""
+    counts = np.array(KOZAK_COUNTS, float)
+    weights = np.log2(counts / 100 / (counts.sum(0) / counts.sum()))
+    return {p: dict(zip(BASES, map(float, w))) for p, w in zip(KOZAK_PLACES, weights)}
+
+
+KOZAK = _kozak_weights()
+
+
+def kozak_score(seq: str, start: int, weights: dict[int, dict[str, float]] = KOZAK) -> float:
     """Summed weights of the bases around a start codon, by offset from it; other letters and places outside count 0."""
     return float(sum(w.get(seq[start + o], 0.0) for o, w in weights.items() if 0 <= start + o < len(seq)))
 

@@ -1,7 +1,7 @@
 """Alternative splicing events: pairs of nodes that isoforms of a gene connect in different ways.
 
 An event has a primary side (the more direct way) and an alternative side. Rows name one isoform each, so that coverage is
-joined and summed without collecting sets: gene_id, event_type, node_a, node_b, side (``primary`` or ``alternative``), isoform.
+joined and summed without collecting sets (an isoform's name is its own over all genes): gene_id, event_type, node_a, node_b, side (``primary`` or ``alternative``), isoform.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spliceforge.operators.segments import last_nodes
 from spliceforge.session import materialize
 
 EVENT = ["gene_id", "event_type", "node_a", "node_b"]
@@ -26,27 +27,48 @@ def _by_strand(plus: F.Column) -> F.Column:
     return F.when(F.col("strand") == "-", swap).otherwise(plus)
 
 
-def simple_events(path: DataFrame, strand: DataFrame) -> DataFrame:
-    """ES, 3AS, 5AS and IR: A and B are linked directly by the primary isoforms; the alternatives leave A for a nearer node and
-    reach B, which isn't their last. Joins are on (gene, A, B) and (gene, isoform); isoforms meet only through a direct link."""
-    direct = path.where("suc > node + 1").select("gene_id", F.col("node").alias("node_a"), F.col("suc").alias("node_b"), "isoform")
-    pairs = direct.select("gene_id", "node_a", "node_b").distinct()
-    left = path.select("gene_id", F.col("node").alias("node_a"), "isoform", F.col("suc").alias("suc_a"), (F.col("suc_start") == F.col("end")).cast("int").alias("out_joined"), "pas")
-    right = path.select("gene_id", F.col("node").alias("node_b"), "isoform", (F.col("pre_end") == F.col("start")).cast("int").alias("in_joined"))
-    alt = pairs.join(left, ["gene_id", "node_a"]).where("suc_a < node_b and pas > node_b").join(right, ["gene_id", "isoform", "node_b"]).join(strand, "gene_id")
+def _direct(path: DataFrame) -> DataFrame:
+    """gene_id, node_a, node_b, isoform: the introns with at least one node between their ends."""
+    return last_nodes(path).where("suc > node + 1").select("gene_id", F.col("node").alias("node_a"), F.col("suc").alias("node_b"), "isoform")
+
+
+def _alternatives(path: DataFrame, strand: DataFrame) -> DataFrame:
+    pairs = _direct(path).select("gene_id", "node_a", "node_b").distinct()
+    left = path.select("gene_id", F.col("node").alias("node_a"), "isoform", F.col("suc").alias("suc_a"), (F.col("node") < F.col("exon_last")).cast("int").alias("out_joined"), "pas")
+    right = path.select(F.col("node").alias("node_b"), "isoform", (F.col("node") > F.col("exon_first")).cast("int").alias("in_joined"))
     kind = F.lit(None).cast("string")
     for (a, b), name in PLUS_TYPES.items():
         kind = F.when((F.col("out_joined") == a) & (F.col("in_joined") == b), name).otherwise(kind)
-    alt = alt.select("gene_id", _by_strand(kind).alias("event_type"), "node_a", "node_b", F.lit("alternative").alias("side"), "isoform")
-    alt = materialize(alt, "event-alternatives")  # the primary side is found from it
-    primary = alt.select(*EVENT).distinct().join(direct, ["gene_id", "node_a", "node_b"])
+    alt = pairs.join(strand, "gene_id").join(left, ["gene_id", "node_a"]).where("suc_a < node_b and pas > node_b").join(right, ["isoform", "node_b"])
+    return alt.select("gene_id", _by_strand(kind).alias("event_type"), "node_a", "node_b", F.lit("alternative").alias("side"), "isoform")
+
+
+def simple_events(path: DataFrame, strand: DataFrame) -> DataFrame:
+    """ES, 3AS, 5AS and IR: A and B are linked directly by the primary isoforms; the alternatives leave A for a nearer node and
+    reach B, which isn't their last. Joins are on (gene, A) and (isoform, B); isoforms, whose names differ over all genes, meet only
+    through a direct link. Where only totals are wanted, :func:`simple_event_totals` doesn't list the isoforms."""
+    alt = materialize(_alternatives(path, strand), "event-alternatives")  # the primary side is found from it
+    primary = alt.select(*EVENT).distinct().join(_direct(path), ["gene_id", "node_a", "node_b"])
     return alt.unionByName(primary.select(*EVENT, F.lit("primary").alias("side"), "isoform"))
 
 
+def simple_event_totals(path: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """What :func:`event_totals` gives for the simple events, without a list of isoforms: those of the alternative side are summed as they
+    are found, those of the primary side once for each direct link, whatever events it has."""
+    mine = reads.select("isoform", *by, "reads")
+    sums = lambda side: (F.sum("reads").alias(f"{side}_reads"), F.count(F.lit(1)).alias(f"n_{side}"))
+    alt = materialize(_alternatives(path, strand).drop("side").join(mine, "isoform").groupBy(*EVENT, *by).agg(*sums("alternative")), "alternative-totals")
+    link = _direct(path).join(mine, "isoform").groupBy("gene_id", "node_a", "node_b", *by).agg(*sums("primary"))
+    primary = alt.select(*EVENT).distinct().join(link, ["gene_id", "node_a", "node_b"])
+    none = F.lit(0).cast("long")
+    parts = alt.withColumns({"primary_reads": none, "n_primary": none}).unionByName(primary.withColumns({"alternative_reads": none, "n_alternative": none}))
+    return parts.groupBy(*EVENT, *by).agg(*[F.sum(c).alias(c) for c in ("primary_reads", "alternative_reads", "n_primary", "n_alternative")])
+
+
 def exclusive_events(path: DataFrame) -> DataFrame:
     """ME: from A, alternatives go by a nearer exon and primaries by one at or beyond B, and all meet again in C, the first node of the
     exon after that. An alternative counts for the nearest B that has such a C; node_b is C."""
-    exon = path.groupBy("gene_id", "isoform", "exon_no").agg(F.min("node").alias("first"), F.max("node").alias("last"))
+    exon = last_nodes(path).select("gene_id", "isoform", "exon_no", F.col("exon_first").alias("first"), F.col("exon_last").alias("last"))
     after = exon.select("gene_id", "isoform", (F.col("exon_no") - 2).alias("exon_no"), F.col("first").alias("node_c"))
     nxt = exon.select("gene_id", "isoform", (F.col("exon_no") - 1).alias("exon_no"), F.col("first").alias("inner_first"), F.col("last").alias("inner_last"))
     hop = exon.select("gene_id", "isoform", "exon_no", F.col("last").alias("node_a")).join(nxt, ["gene_id", "isoform", "exon_no"]).join(after, ["gene_id", "isoform", "exon_no"]).drop("exon_no")
@@ -80,7 +102,7 @@ def end_events(path: DataFrame, strand: DataFrame) -> DataFrame:
 
 def _ends(path: DataFrame) -> DataFrame:
     """gene_id, isoform, tss, pas, and the last node of the first and the first node of the last exon."""
-    return path.groupBy("gene_id", "isoform").agg(F.min("tss").alias("tss"), F.max("pas").alias("pas"), F.min_by("exon_last", "node").alias("first_last"), F.max_by("exon_first", "node").alias("last_first"))
+    return last_nodes(path).groupBy("gene_id", "isoform").agg(F.min("tss").alias("tss"), F.max("pas").alias("pas"), F.min_by("exon_last", "node").alias("first_last"), F.max_by("exon_first", "node").alias("last_first"))
 
 
 def end_event_totals(path: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
@@ -135,7 +157,7 @@ def event_totals(events: DataFrame, reads: DataFrame, by: tuple[str, ...] = ())
     """primary_reads, alternative_reads, n_primary, n_alternative per event (and ``by``, e.g. the sample). ``reads``: gene_id, isoform, ``by``, reads."""
     keys = [c for c in (*EVENT, "via") if c in events.columns]
     side = lambda s, v: F.sum(F.when(F.col("side") == s, v).otherwise(0))
-    return events.join(reads, ["gene_id", "isoform"]).groupBy(*keys, *by).agg(
+    return events.join(reads.drop("gene_id"), "isoform").groupBy(*keys, *by).agg(
         side("primary", F.col("reads")).alias("primary_reads"), side("alternative", F.col("reads")).alias("alternative_reads"),
         side("primary", F.lit(1)).alias("n_primary"), side("alternative", F.lit(1)).alias("n_alternative"),
     )

@@ -14,7 +14,7 @@ def domain_blocks(chrom_start: Column, sizes: Column, starts: Column) -> Column:
 
     Null if the numbers of both differ, or a number is missing.
     """
-    pairs = F.array_sort(F.zip_with(starts, sizes, lambda s, n: F.struct((chrom_start + s).alias("start"), (chrom_start + s + n).alias("end"))))
+    pairs = F.sort_array(F.zip_with(starts, sizes, lambda s, n: F.struct((chrom_start + s).alias("start"), (chrom_start + s + n).alias("end"))))
     whole = (F.size(starts) == F.size(sizes)) & F.forall(pairs, lambda p: p["end"].isNotNull()) & (F.size(starts) > 0)
 
     def step(acc: Column, x: Column) -> Column:
@@ -67,4 +67,4 @@ def label_sets(table: DataFrame, key: str, side_a: str, side_b: str, labels: Dat
         out = out.join(each, key, "left")
     none = F.array().cast("array<string>")
     a, b = F.coalesce("__a", none), F.coalesce("__b", none)
-    return out.select(key, *[F.array_join(F.array_sort(MODES[m](a, b)), ",").alias(m) for m in modes])
+    return out.select(key, *[F.array_join(F.sort_array(MODES[m](a, b)), ",").alias(m) for m in modes])

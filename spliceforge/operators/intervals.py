@@ -17,8 +17,8 @@ def sorted_bounds(exons: Column, start: str, end: str) -> tuple[Column, Column]:
     """
     valid = F.filter(exons, lambda x: x[start] < x[end])
     return (
-        F.array_sort(F.transform(valid, lambda x: x[start].cast("long"))),
-        F.array_sort(F.transform(valid, lambda x: x[end].cast("long"))),
+        F.sort_array(valid[start].cast("array<long>")),
+        F.sort_array(valid[end].cast("array<long>")),
     )
 
 
@@ -69,7 +69,7 @@ def merge_intervals(df: DataFrame, keys: list[str], start: str, end: str, hot_ro
 
 
 def _merge_small(base: DataFrame, k: list[str]) -> DataFrame:
-    bounds = base.groupBy(*k).agg(F.array_sort(F.collect_list("__s")).alias("__s"), F.array_sort(F.collect_list("__e")).alias("__e"))
+    bounds = base.groupBy(*k).agg(F.sort_array(F.collect_list("__s")).alias("__s"), F.sort_array(F.collect_list("__e")).alias("__e"))
     opens, closes = period_bounds(F.col("__s"), F.col("__e"))
     periods = bounds.select(*k, opens.alias("__o"), closes.alias("__c"))
     return periods.select(*k, F.inline(periods_and_gaps(F.col("__o"), F.col("__c"))))

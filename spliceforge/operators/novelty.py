@@ -175,7 +175,7 @@ def _read_through(transcripts: DataFrame, references: DataFrame) -> DataFrame:
     place = ["chr", "strand", "side", "pos"]
     mine = sites(transcripts.drop("transcript_id").select("gene_id", "chr", "strand", "exons", "text").distinct(), "gene_id", "text", "no")
     foreign = mine.join(known, ["gene_id", *place], "left_anti").join(known.select(*place).distinct(), place, "left_semi")
-    return foreign.groupBy("gene_id", F.col("text").alias("exons")).agg(F.array_join(F.array_sort(F.collect_set("no")), ",").alias("fused"))
+    return foreign.groupBy("gene_id", F.col("text").alias("exons")).agg(F.array_join(F.sort_array(F.collect_set("no")), ",").alias("fused"))
 
 
 def _pairs(text: str) -> Chain:

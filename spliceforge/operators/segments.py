@@ -21,31 +21,49 @@ def segments(exons: DataFrame) -> DataFrame:
     return cut.select("gene_id", (F.row_number().over(Window.partitionBy("gene_id").orderBy("start")) - 1).alias("node"), "start", "end")
 
 
-def paths(exons: DataFrame, segs: DataFrame, ident: str = "isoform") -> DataFrame:
-    """gene_id, ``ident``, node, exon_no, pre, suc, tss, pas (first and last node in genomic order), for the exon of the node its first and
-    last node, the node's start and end, pre_end and suc_start. Exon bounds are segment bounds, so all joins are equi-joins."""
+def spans(exons: DataFrame, segs: DataFrame, ident: str = "isoform") -> DataFrame:
+    """gene_id, ``ident``, exon_no, exon_first, exon_last (first and last node of the exon), exon_pre and exon_suc (the nodes before and behind
+    it), tss, pas (first and last node in genomic order). Exon bounds are segment bounds, so both joins are equi-joins on a position."""
     first = segs.select("gene_id", F.col("start"), F.col("node").alias("exon_first"))
     last = segs.select("gene_id", F.col("end"), F.col("node").alias("exon_last"))
-    spans = exons.join(first, ["gene_id", "start"]).join(last, ["gene_id", "end"])
-    nodes = spans.select("gene_id", ident, "exon_no", "exon_first", "exon_last", F.explode(F.sequence("exon_first", "exon_last")).alias("node")).join(segs, ["gene_id", "node"])
     w = Window.partitionBy("gene_id", ident)
-    o = w.orderBy("node")
-    return nodes.select(
-        "gene_id", ident, "node", "exon_no", "exon_first", "exon_last", F.lag("node").over(o).alias("pre"), F.lead("node").over(o).alias("suc"),
-        F.min("node").over(w).alias("tss"), F.max("node").over(w).alias("pas"), "start", "end", F.lag("end").over(o).alias("pre_end"), F.lead("start").over(o).alias("suc_start"),
+    o = w.orderBy("exon_no")
+    return exons.join(first, ["gene_id", "start"]).join(last, ["gene_id", "end"]).select(
+        "gene_id", ident, "exon_no", "exon_first", "exon_last", F.lag("exon_last").over(o).alias("exon_pre"), F.lead("exon_first").over(o).alias("exon_suc"),
+        F.min("exon_first").over(w).alias("tss"), F.max("exon_last").over(w).alias("pas"),
     )
 
 
-def restore(path: DataFrame, ident: str = "isoform") -> DataFrame:
+def paths(spans: DataFrame, ident: str = "isoform") -> DataFrame:
+    """gene_id, ``ident``, node, exon_no, exon_first, exon_last, pre, suc, tss, pas: a row for each node of each exon.
+
+    The nodes of an exon follow each other without a gap, so nothing is joined or sorted for them; where the step to a node crosses an
+    intron, the node is its exon's first. The hint keeps joins from broadcasting what was rolled out, whose size Spark takes for that of
+    the spans.
+    """
+    node = F.col("node")
+    pre, suc = F.when(node > F.col("exon_first"), node - 1).otherwise(F.col("exon_pre")), F.when(node < F.col("exon_last"), node + 1).otherwise(F.col("exon_suc"))
+    each = spans.select("*", F.explode(F.sequence("exon_first", "exon_last")).alias("node"))
+    return each.select("gene_id", ident, "node", "exon_no", "exon_first", "exon_last", pre.alias("pre"), suc.alias("suc"), "tss", "pas").hint("merge")
+
+
+def last_nodes(path: DataFrame) -> DataFrame:
+    """The rows of a path that stand for whole exons."""
+    return path.where("node = exon_last")
+
+
+def restore(path: DataFrame, segs: DataFrame, ident: str = "isoform") -> DataFrame:
     """gene_id, ``ident``, exons: the chains that the paths stand for."""
-    rows = path.groupBy("gene_id", ident, "exon_no").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    return rows.groupBy("gene_id", ident).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("exons"))
+    first = segs.select("gene_id", F.col("node").alias("exon_first"), "start")
+    last = segs.select("gene_id", F.col("node").alias("exon_last"), "end")
+    rows = last_nodes(path).join(first, ["gene_id", "exon_first"]).join(last, ["gene_id", "exon_last"])
+    return rows.groupBy("gene_id", ident).agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("exons"))
 
 
 def edges(path: DataFrame) -> DataFrame:
     """gene_id, node_a, node_b, spliced, n_isoforms: the direct links of the graph."""
     links = path.where("suc is not null").groupBy("gene_id", F.col("node").alias("node_a"), F.col("suc").alias("node_b"))
-    return links.agg(F.max(F.col("suc_start") > F.col("end")).alias("spliced"), F.count(F.lit(1)).alias("n_isoforms"))
+    return links.agg(F.max(F.col("node") == F.col("exon_last")).alias("spliced"), F.count(F.lit(1)).alias("n_isoforms"))
 
 
 def fragments(path: DataFrame, strand: DataFrame, ident: str = "isoform") -> DataFrame:
@@ -55,7 +73,7 @@ def fragments(path: DataFrame, strand: DataFrame, ident: str = "isoform") -> Dat
     missing_3 count the container's introns beyond the fragment. Candidates are joined on the fragment's first node and its
     successor, and compared as texts, so that isoforms that share nothing never meet. ``strand``: gene_id, strand.
     """
-    whole = path.groupBy("gene_id", ident).agg(F.array_sort(F.collect_list(F.struct("node", "exon_no"))).alias("p"))
+    whole = path.groupBy("gene_id", ident).agg(F.sort_array(F.collect_list(F.struct("node", "exon_no"))).alias("p"))
     nodes = F.concat(F.lit(","), F.array_join(F.transform("p", lambda x: x["node"].cast("string")), ","), F.lit(","))
     whole = whole.select("gene_id", ident, nodes.alias("nodes"), "p", F.size("p").alias("n"))
     small = whole.select("gene_id", F.col(ident).alias("small"), F.col("nodes").alias("small_nodes"), F.get("p", F.lit(0))["node"].alias("node"),

@@ -24,8 +24,8 @@ def parsed_domains(spark: SparkSession, d: str) -> DataFrame:
     """domain_id, chr, domain_name, blocks of the domains whose packed sizes and starts have the same slots."""
     rows = table(spark, d, "example_anno_domains")
     items = packed_integers(rows, "domain_id", ["blocksizes", "chromstarts"])
-    pick = lambda f: F.transform(F.array_sort(F.collect_list(F.when(F.col("field_name") == f, F.struct("slot_no", "item")))), lambda x: x["item"])
-    slots = lambda f: F.array_sort(F.collect_list(F.when(F.col("field_name") == f, F.col("slot_no"))))
+    pick = lambda f: F.transform(F.sort_array(F.collect_list(F.when(F.col("field_name") == f, F.struct("slot_no", "item")))), lambda x: x["item"])
+    slots = lambda f: F.sort_array(F.collect_list(F.when(F.col("field_name") == f, F.col("slot_no"))))
     lists = items.groupBy("domain_id").agg(pick("blocksizes").alias("sizes"), pick("chromstarts").alias("starts"), slots("blocksizes").alias("k1"), slots("chromstarts").alias("k2")).where("k1 = k2")
     head = rows.where("chrom is not null and chromstart is not null").groupBy("domain_id").agg(F.min("chrom").alias("chr"), F.min("chromstart").alias("at"), F.min("domain_name").alias("domain_name"))
     return lists.join(head, "domain_id").select("domain_id", "chr", "domain_name", domain_blocks(F.col("at"), F.col("sizes"), F.col("starts")).alias("blocks")).where("blocks is not null")
@@ -41,7 +41,7 @@ def protein_chains(spark: SparkSession, d: str, domains: DataFrame) -> DataFrame
     protein = table(spark, d, "example_anno_domains").where("uniprotid is not null").groupBy("domain_id").agg(F.min("uniprotid").alias("protein"))
     blocks = domains.join(protein, "domain_id").select(F.concat_ws("|", "chr", "protein").alias("transcript_id"), "chr", F.inline("blocks"))
     united = merge_intervals(blocks, ["transcript_id", "chr"], "start", "end").where("kind = 'period'")
-    return united.groupBy("transcript_id", "chr").agg(F.array_sort(F.collect_list(F.struct(F.col("pos_from").alias("start"), F.col("pos_to").alias("end")))).alias("exons"))
+    return united.groupBy("transcript_id", "chr").agg(F.sort_array(F.collect_list(F.struct(F.col("pos_from").alias("start"), F.col("pos_to").alias("end")))).alias("exons"))
 
 
 def domain_containment(spark: SparkSession, d: str) -> DataFrame:
@@ -80,7 +80,7 @@ def event_export(spark: SparkSession, d: str) -> DataFrame:
     """Frequent simple events numbered within their kind, as they are written to files."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.simple_event_totals(path, strand, iso.select("gene_id", "isoform", "reads"))
     rows = numbered_events(bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False), segs))
     return rows.select("file", "row_id", "gene_id", "start", "end", "primary_reads", "alternative_reads")
 

@@ -56,14 +56,15 @@ def isoforms_and_reads(spark: SparkSession, d: str, only: str = "true") -> tuple
     iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(GENE_KEY)), "isoforms")
     key = [F.expr(GENE_KEY).alias("gene_id"), "chain"]
     reads = rows.groupBy(*key, "sample_name").agg(F.sum(F.coalesce("coverage", F.lit(0))).alias("reads"))
-    return iso, reads.join(iso.select("gene_id", "chain", "isoform"), ["gene_id", "chain"]).select("gene_id", "isoform", "sample_name", "reads")
+    reads = reads.join(iso.select("gene_id", "chain", "isoform"), ["gene_id", "chain"]).select("gene_id", "isoform", "sample_name", "reads")
+    return iso, materialize(reads, "isoform-reads")
 
 
 def graph(iso: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Segments, paths and the strand of each gene, written once, as events join them several times."""
+    """Segments, paths and the strand of each gene. Segments and exons' nodes are written once; a path's nodes are rolled out where they are read."""
     rows = segments.exon_rows(iso)
     segs = materialize(segments.segments(rows), "segments")
-    return segs, materialize(segments.paths(rows, segs), "paths"), iso.groupBy("gene_id").agg(F.first("strand").alias("strand"))
+    return segs, segments.paths(materialize(segments.spans(rows, segs), "spans")), iso.groupBy("gene_id").agg(F.first("strand").alias("strand"))
 
 
 def all_events(path: DataFrame, strand: DataFrame) -> DataFrame:
@@ -72,11 +73,12 @@ def all_events(path: DataFrame, strand: DataFrame) -> DataFrame:
     return simple.unionByName(bubbles.exclusive_events(path).withColumn("via", F.col("via").cast("int")))
 
 
-
 def all_totals(path: DataFrame, strand: DataFrame, reads: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Totals of the events of all types, TSS and PAS included; via is part of the key."""
-    ends = bubbles.end_event_totals(path, strand, reads, by).withColumn("via", F.lit(None).cast("int"))
-    return bubbles.event_totals(all_events(path, strand), reads, by).unionByName(ends)
+    ends = bubbles.end_event_totals(path, strand, reads, by)
+    via = lambda rows: rows.withColumn("via", F.lit(None).cast("int"))
+    simple, me = bubbles.simple_event_totals(path, strand, reads, by), bubbles.event_totals(bubbles.exclusive_events(path), reads, by)
+    return via(simple).unionByName(me.withColumn("via", F.col("via").cast("int"))).unionByName(via(ends))
 
 
 # ------------------------------------------------------------------ the same for DuckDB

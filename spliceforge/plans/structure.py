@@ -49,7 +49,7 @@ def segment_edges(spark: SparkSession, d: str) -> DataFrame:
 def segment_restore(spark: SparkSession, d: str) -> DataFrame:
     """Chains rebuilt from the paths, as text."""
     segs, path, _ = M.graph(M.isoforms(spark, d))
-    rows = segments.restore(path)
+    rows = segments.restore(path, segs)
     return rows.select("gene_id", "isoform", F.array_join(F.transform("exons", lambda x: F.concat_ws("-", x["start"].cast("string"), x["end"].cast("string"))), ",").alias("exon_text"))
 
 
@@ -77,7 +77,7 @@ def splice_events(spark: SparkSession, d: str) -> DataFrame:
     """ES, 3AS, 5AS and IR events with coordinates and the reads of both sides."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.simple_event_totals(path, strand, iso.select("gene_id", "isoform", "reads"))
     return bubbles.with_coordinates(totals, segs)
 
 
@@ -114,7 +114,7 @@ def event_psi(spark: SparkSession, d: str) -> DataFrame:
     """Per simple event and sample: reads of the alternative side, of both, and their ratio."""
     iso, reads = M.isoforms_and_reads(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, strand), reads, ("sample_name",))
+    totals = bubbles.simple_event_totals(path, strand, reads, ("sample_name",))
     total = F.col("primary_reads") + F.col("alternative_reads")
     rows = totals.select(*bubbles.EVENT, "sample_name", F.col("alternative_reads").alias("alt_reads"), total.alias("total_reads"))
     return rows.where("total_reads > 0").withColumn("psi", F.round(F.col("alt_reads") / F.col("total_reads"), 6))
@@ -164,7 +164,7 @@ def event_neighbours(spark: SparkSession, d: str) -> DataFrame:
     """Distance from each frequent event to the next one of its gene, by start (negative: they overlap)."""
     iso = M.isoforms(spark, d)
     segs, path, strand = M.graph(iso)
-    totals = bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads"))
+    totals = bubbles.simple_event_totals(path, strand, iso.select("gene_id", "isoform", "reads"))
     rows = bubbles.with_coordinates(bubbles.frequent(totals, MIN_TOTAL, 0.1), segs)
     w = Window.partitionBy("gene_id").orderBy("start", "end", "event_type", "node_a", "node_b")
     return rows.select("gene_id", "event_type", "start", "end", (F.lead("start").over(w) - F.least(F.col("end"), F.lead("end").over(w))).alias("distance"))
@@ -248,6 +248,9 @@ ev as (select t.gene, case when t.strand = '-' then 'PAS' else 'TSS' end as even
     from pe t join en x on x.gene = t.gene and x.tss < t.n join iso i on i.isoform = x.isoform),
 t as (select gene, event_type, a, b, sum(case when own then 0 else reads end) as primary_reads, sum(case when own then reads else 0 end) as alternative_reads,
   sum(cast(not own as int)) as n_primary, sum(cast(own as int)) as n_alternative from ev group by all having sum(cast(not own as int)) > 0)"""
+#: Isoforms (of pr) whose path is a piece of another's.
+FRAGMENT_SQL = """w as (select gene, strand, isoform, ',' || string_agg(node, ',' order by node) || ',' as nodes, count(*) as n, max(exon_no) as ne, min(node) as f from pth group by all),
+  pr as (select a.gene, a.strand, a.isoform, b.isoform as container, a.ne, b.ne as bne, a.f from w a join w b on a.gene = b.gene and a.isoform <> b.isoform and contains(b.nodes, a.nodes) and (a.n < b.n or b.isoform < a.isoform))"""
 
 SQL = {
     "gene_exonic_regions": f"""with {M.BASE}, u0 as (select distinct gene_id, s, e from exons join tr using (transcript_id) where gene_id is not null), u as (select gene_id, s, e, case when s <= max(e) over (partition by gene_id order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as f from u0),
@@ -262,9 +265,7 @@ SQL = {
     "junction_coverage": f"""{_ISO}, j as (select gene, isoform, e as donor, lead(s) over (partition by isoform order by exon_no) as acceptor from iex),
         r as (select j.gene, donor, acceptor, sum(reads) as reads from j join iso using (isoform) where acceptor is not null group by all)
         select gene as gene_id, donor, acceptor, cast(reads as bigint) as reads, round(reads / nullif(max(reads) over (partition by gene), 0), 6) as share_of_top from r""",
-    "isoform_fragments": f"""{_GRAPH}, w as (select gene, strand, isoform, ',' || string_agg(node, ',' order by node) || ',' as nodes, count(*) as n, max(exon_no) as ne, min(node) as f from pth group by all),
-        pr as (select a.gene, a.strand, a.isoform, b.isoform as container, a.ne, b.ne as bne, a.f from w a join w b on a.gene = b.gene and a.isoform <> b.isoform and contains(b.nodes, a.nodes) and (a.n < b.n or b.isoform < a.isoform)),
-        kp as (select pr.*, p.exon_no - 1 as low, bne - ne - p.exon_no + 1 as high from pr join pth p on p.isoform = container and p.node = pr.f where container not in (select isoform from pr))
+    "isoform_fragments": f"""{_GRAPH}, {FRAGMENT_SQL}, kp as (select pr.*, p.exon_no - 1 as low, bne - ne - p.exon_no + 1 as high from pr join pth p on p.isoform = container and p.node = pr.f where container not in (select isoform from pr))
         select gene as gene_id, isoform, container, cast(case when strand = '-' then high else low end as int) as missing_5, cast(case when strand = '-' then low else high end as int) as missing_3 from kp""",
     "splice_events": f'{_SIM}, {_TOT} select t.gene as gene_id, event_type, a as node_a, b as node_b, {_TOTALS}, x.e as start, y.s as "end" from tot t {_COORD}',
     "exclusive_events": f"""{_GRAPH}, {M.ME_SQL.format(p='')}, {_METOT}

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,7 +10,7 @@ from pyspark.sql import functions as F
 from spliceforge.functions import intervals as X
 from spliceforge.functions import stats
 from spliceforge.functions.filters import CATEGORY_NAMES, SUBCATEGORIES, default_filters
-from spliceforge.operators import bubbles
+from spliceforge.operators import bubbles, collapse, differential, segments
 from spliceforge.operators.assign import best_genes, loci, novel_genes, novel_types
 from spliceforge.operators.current import current_rows
 from spliceforge.operators.depth import depth_profile
@@ -20,10 +18,13 @@ from spliceforge.operators.histogram import histogram
 from spliceforge.operators.intervals import overlap_join
 from spliceforge.operators.novelty import classify_transcripts
 from spliceforge.plans import model as M
-from spliceforge.plans.structure import MIN_TOTAL, REF
+from spliceforge.plans.genome import GENOME_SQL, transcript_tags
+from spliceforge.plans.structure import FRAGMENT_SQL, MIN_TOTAL, REF
 from spliceforge.session import materialize, ship_package, table
 
 GROUPS = ("base", "heat")
+#: Reads of an event that a sample must have to count as covering it, and how many samples must (the tables hold few reads an event).
+MIN_COVERED, MIN_SAMPLES = 3, 3
 LENGTH = X.exonic_length
 COV = "coalesce(coverage, 0)"
 
@@ -58,7 +59,7 @@ def transcript_table(spark: SparkSession, d: str, pseudocount: int = 0) -> DataF
     tpm = (F.expr(COV) + pseudocount) / F.nullif(F.col("nonchimeric_reads"), F.lit(0)) * 1e6
     return rows.join(s, "sample_name", "left").select(
         "transcript_id", "sample_name", "chr", "strand", "gene_id", "tr_start", "tr_end", LENGTH(F.col("exons")).alias("length"), F.size("exons").alias("num_exons"), text("start").alias("exon_starts"), text("end").alias("exon_ends"),
-        category_label(F.col("category")).alias("novelty_class"), F.array_join(F.array_sort("subs"), ",").alias("novelty_subclasses"), "coverage", F.round(tpm, 4).alias("tpm"),
+        category_label(F.col("category")).alias("novelty_class"), F.array_join(F.sort_array("subs"), ",").alias("novelty_subclasses"), "coverage", F.round(tpm, 4).alias("tpm"),
     )
 
 
@@ -118,26 +119,39 @@ def gene_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ filters
-def _taggable(spark: SparkSession, d: str) -> DataFrame:
-    """Transcripts with the columns that default tags use; sequence-derived ones are empty here."""
+def fragment_transcripts(spark: SparkSession, d: str) -> DataFrame:
+    """transcript_id of the transcripts whose isoform's path is a piece of another's."""
+    rows = materialize(M.chained(spark, d), "chained")
+    iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(M.GENE_KEY)), "isoforms")
+    _, path, strand = M.graph(iso)
+    pieces = segments.fragments(path, strand).select("isoform").distinct()
+    of = iso.join(pieces, "isoform", "left_semi").select(F.col("gene_id").alias("key"), "chain")
+    return rows.withColumn("key", F.expr(M.GENE_KEY)).join(of, ["key", "chain"], "left_semi").select("transcript_id")
+
+
+def _taggable(spark: SparkSession, d: str, derived: bool = False) -> DataFrame:
+    """Transcripts of genes with the columns that default tags use; ``derived``: those made of the genome, the graph and the reference too."""
     rows = M.in_genes(spark, d)
     total = rows.groupBy("gene_id").agg(F.sum(F.expr(COV)).alias("gene_coverage"))
-    none = F.array().cast("array<int>")
-    return rows.join(total, "gene_id").withColumns({"noncanonical": none, "novel_introns": none, "fragments": F.array(F.lit(1))})
+    rows = rows.join(total, "gene_id")
+    if not derived:
+        return rows
+    pieces = fragment_transcripts(spark, d).withColumn("fragments", F.array(F.lit(1)))
+    return rows.join(transcript_tags(spark, d), "transcript_id").join(pieces, "transcript_id", "left")
 
 
 def filter_query(spark: SparkSession, d: str, query: str = "(NIC or NNC) and SUBSTANTIAL and not (INTERNAL_PRIMING or UNSPLICED)") -> DataFrame:
     return _taggable(spark, d).where(default_filters().query(query, "transcript")).select("transcript_id", "gene_id")
 
 
-STAT_TAGS = ("INTERNAL_PRIMING", "NOVEL_TRANSCRIPT", "UNSPLICED", "SUBSTANTIAL", "FRAGMENT")
+STAT_TAGS = ("INTERNAL_PRIMING", "RTTS", "NONCANONICAL_SPLICING", "NOVEL_TRANSCRIPT", "UNSPLICED", "SUBSTANTIAL", "FRAGMENT")
 
 
 def filter_stats(spark: SparkSession, d: str) -> DataFrame:
     """Transcripts and reads by sample and tag; PASS has none of the tags, total is all."""
     f = default_filters()
     hits = F.array_compact(F.array(*[F.when(f.column(t), F.lit(t)) for t in STAT_TAGS]))
-    rows = _taggable(spark, d).withColumn("tags", hits)
+    rows = _taggable(spark, d, derived=True).withColumn("tags", hits)
     tags = F.concat(F.when(F.size("tags") == 0, F.array(F.lit("PASS"))).otherwise(F.col("tags")), F.array(F.lit("total")))
     return rows.select("sample_name", "coverage", F.explode(tags).alias("tag")).groupBy("sample_name", "tag").agg(F.count(F.lit(1)).alias("n"), F.sum(F.expr(COV)).alias("reads"))
 
@@ -241,7 +255,7 @@ def _two_groups(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     segs, path, strand = M.graph(iso)
     s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
     reads = reads.join(s, "sample_name").groupBy("gene_id", "isoform", "sample_group").agg(F.sum("reads").alias("reads"))
-    t = M.all_totals(path, strand, reads, ("sample_group",)) if every else bubbles.event_totals(bubbles.simple_events(path, strand), reads, ("sample_group",))
+    t = M.all_totals(path, strand, reads, ("sample_group",)) if every else bubbles.simple_event_totals(path, strand, reads, ("sample_group",))
     pick = lambda g, v: F.sum(F.when(F.col("sample_group") == g, v).otherwise(0))
     both = F.col("primary_reads") + F.col("alternative_reads")
     cols = [pick(g, v).alias(f"{n}{i}") for i, g in enumerate(GROUPS) for n, v in (("x", F.col("alternative_reads")), ("n", both))]
@@ -295,32 +309,36 @@ def all_adjusted_p(spark: SparkSession, d: str) -> DataFrame:
     return adjusted_p(spark, d, every=True)
 
 
+def test_groups(spark: SparkSession, d: str) -> dict[str, list[str]]:
+    """The samples of the two groups that the queries compare; the driver reads a row a sample."""
+    rows = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_group", "sample_name").collect()
+    return {g: sorted(r["sample_name"] for r in rows if r["sample_group"] == g) for g in GROUPS}
+
+
+def sample_totals(spark: SparkSession, d: str) -> DataFrame:
+    """Totals of the events of all types in each sample."""
+    iso, reads = M.isoforms_and_reads(spark, d)
+    _, path, strand = M.graph(iso)
+    return M.all_totals(path, strand, reads, ("sample_name",))
+
+
+def altsplice_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The events that :func:`altsplice_test` tests, with the samples of both groups that cover them."""
+    groups = test_groups(spark, d)
+    rows = differential.tested_events(differential.event_cells(sample_totals(spark, d), groups), sum(map(len, groups.values())), MIN_TOTAL, min_n=MIN_COVERED, min_sa=MIN_SAMPLES)
+    return rows.select(*bubbles.KEY, "x", "n", "n_covered")
+
+
 def altsplice_test(spark: SparkSession, d: str) -> DataFrame:
-    """Differential splicing: beta-binomial likelihood ratio of two groups of samples per event of any type, with means, dispersions and padj."""
+    """Differential splicing: beta-binomial likelihood ratio of two groups of samples per event of any type, with shares, dispersions and padj."""
+    return differential.splicing_test(sample_totals(spark, d), test_groups(spark, d), min_total=MIN_TOTAL, min_n=MIN_COVERED, min_sa=MIN_SAMPLES)
+
+
+def isoform_test(spark: SparkSession, d: str) -> DataFrame:
+    """:func:`isoform_usage` with p (chi square of one degree less than isoforms) and padj."""
     ship_package(spark)
-    iso, reads = M.isoforms_and_reads(spark, d)
-    segs, path, strand = M.graph(iso)
-    s = samples(spark, d).where(F.col("sample_group").isin(*GROUPS)).select("sample_name", "sample_group")
-    reads = reads.join(s, "sample_name")
-    t = M.all_totals(path, strand, reads, ("sample_name", "sample_group"))
-    rows = t.select(*bubbles.KEY, F.struct(F.col("sample_group").alias("g"), F.col("sample_name").alias("s"), F.col("alternative_reads").alias("x"), (F.col("primary_reads") + F.col("alternative_reads")).alias("n")).alias("c"))
-    rows = rows.groupBy(*bubbles.KEY).agg(F.array_sort(F.collect_list("c")).alias("c"))
-    total = lambda f: F.aggregate("c", F.lit(0).cast("long"), lambda a, c: a + c[f])
-    rows = rows.withColumns({"x": total("x"), "n": total("n")}).where((F.col("n") >= MIN_TOTAL) & (F.col("x") >= F.col("n") * F.lit(0.1)) & (F.col("x") <= F.col("n") * F.lit(0.9)))
-    # few rows, each of which costs a fit: all cores, however few bytes they are
-    rows = rows.repartition(2 * spark.sparkContext.defaultParallelism, *bubbles.KEY)
-    fields = ["p", "mean_a", "disp_a", "mean_b", "disp_b", "mean_all", "disp_all"]
-
-    @F.pandas_udf(", ".join(f"{f} double" for f in fields))
-    def test(cells: pd.Series) -> pd.DataFrame:
-        out = []
-        for cell in cells:
-            by = [[(c["x"], c["n"]) for c in cell if c["g"] == g] for g in GROUPS]
-            p, params = stats.betabinomial_lr_test([[x for x, _ in b] for b in by], [[n for _, n in b] for b in by])
-            out.append([None if v is None or math.isnan(v) else v for v in (p, *params)])
-        return pd.DataFrame(out, columns=fields, dtype="float64")
-
-    return stats.adjust_fdr(rows.select(*bubbles.KEY, "x", "n", test("c").alias("t")).select(*bubbles.KEY, "x", "n", "t.*"), "p")
+    rows = isoform_usage(spark, d)
+    return stats.adjust_fdr(rows.withColumn("p", differential.p_of_chi2(F.col("chi2"), F.col("n_isoforms") - 1)), "p")
 
 
 def isoform_usage(spark: SparkSession, d: str, top: int = 10, min_cov: int = 25) -> DataFrame:
@@ -341,7 +359,7 @@ def isoform_usage(spark: SparkSession, d: str, top: int = 10, min_cov: int = 25)
     return agg.select("gene_id", "n_isoforms", "chi2", F.round(F.when(up >= -down, up).otherwise(down), 5).alias("delta_share"))
 
 
-def coordination_table(spark: SparkSession, d: str, min_dist: int = 1, exclusive: bool = False) -> DataFrame:
+def coordination_table(spark: SparkSession, d: str, min_dist: int = 1, exclusive: bool = False, min_alt_fraction: float = 0.1) -> DataFrame:
     """Joint support of two events of a gene: reads of isoforms on either side of both, log2 odds ratio and changes of conditional share.
 
     Only events frequent by themselves are paired, with those behind them; the four cells come from isoforms that have a side in both.
@@ -363,7 +381,7 @@ def coordination_table(spark: SparkSession, d: str, min_dist: int = 1, exclusive
     t = pairs.groupBy("gene_id", "a", "b").agg(cell(0, 0).alias("pri_pri"), cell(0, 1).alias("pri_alt"), cell(1, 0).alias("alt_pri"), cell(1, 1).alias("alt_alt"))
     pp, pa, ap, aa = (F.col(c) for c in ("pri_pri", "pri_alt", "alt_pri", "alt_alt"))
     total = pp + pa + ap + aa
-    t = t.where((total >= MIN_TOTAL) & (pp + pa > 0) & (ap + aa > 0) & (pp + ap > 0) & (pa + aa > 0))
+    t = t.where((total >= MIN_TOTAL) & (F.least(pp + pa, ap + aa, pp + ap, pa + aa) >= total * F.lit(min_alt_fraction)))
     via = [F.nullif(F.col(f"{x}.via"), F.lit(-1)).alias(f"{x}_via") for x in ("a", "b")] if exclusive else []
     return t.select("gene_id", *via, F.col("a.start").alias("a_start"), F.col("a.end").alias("a_end"), F.col("a.event_type").alias("a_type"), F.col("b.start").alias("b_start"), F.col("b.end").alias("b_end"), F.col("b.event_type").alias("b_type"),
                     "pri_pri", "pri_alt", "alt_pri", "alt_alt", F.round(stats.log2_odds_ratio(pp, pa, ap, aa), 4).alias("log2_or"), F.round(aa / (ap + aa) - (pa + aa) / total, 5).alias("dcpsi_ab"), F.round(aa / (pa + aa) - (ap + aa) / total, 5).alias("dcpsi_ba"))
@@ -374,16 +392,23 @@ def all_coordination_table(spark: SparkSession, d: str) -> DataFrame:
     return coordination_table(spark, d, exclusive=True)
 
 
-def coordination_test(spark: SparkSession, d: str) -> DataFrame:
-    """Fisher's exact test of the coordination tables, ME events included, adjusted."""
+def coordination_test(spark: SparkSession, d: str, test: str = "fisher") -> DataFrame:
+    """Test of the coordination tables, ME events included, adjusted: Fisher's exact one, or ``chi2``."""
     ship_package(spark)
+    if test not in ("fisher", "chi2"):
+        raise ValueError("test must be fisher or chi2")
+
+    @F.pandas_udf("statistic double, p double")
+    def tested(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.DataFrame:
+        run = stats.fisher_exact if test == "fisher" else lambda *x: stats.chi2_table([x[:2], x[2:]])
+        return pd.DataFrame([run(*map(int, x)) for x in zip(a, b, c, e)], columns=["statistic", "p"], dtype=float)
+
+    rows = all_coordination_table(spark, d).withColumn("t", tested("pri_pri", "pri_alt", "alt_pri", "alt_alt"))
+    return stats.adjust_fdr(rows.select("*", "t.*").drop("t"), "p")
 
-    @F.pandas_udf("double")
-    def p_value(a: pd.Series, b: pd.Series, c: pd.Series, e: pd.Series) -> pd.Series:
-        return pd.Series([stats.fisher_exact(*map(int, x))[1] for x in zip(a, b, c, e)], dtype=float)
 
-    rows = materialize(all_coordination_table(spark, d), "coordination")
-    return stats.adjust_fdr(rows.withColumn("p", p_value("pri_pri", "pri_alt", "alt_pri", "alt_alt")), "p")
+def coordination_chi2(spark: SparkSession, d: str) -> DataFrame:
+    return coordination_test(spark, d, "chi2")
 
 
 def rarefaction(spark: SparkSession, d: str, parts: int = 20, min_cov: int = 2) -> DataFrame:
@@ -436,7 +461,7 @@ QUERIES = {f.__name__: f for f in (
     gene_table, transcript_table, group_coverage, category_pivot, sample_overview, gene_tpm, subcategory_examples, lowest_categories, region_genes, gene_selection,
     filter_query, filter_stats, substantial, altsplice_stats, hist_length, hist_coverage, hist_exons, hist_downstream_a, hist_transcripts_per_gene, length_bins,
     exon_depth, junction_counts, gene_overlaps, best_gene, novel_type, novel_gene, gene_loci, novelty_class,
-    proportion_z, binomial_lr, adjusted_p, all_proportion_z, all_binomial_lr, all_adjusted_p, altsplice_test, isoform_usage, coordination_table, all_coordination_table, coordination_test, rarefaction, saturation, event_embedding,
+    proportion_z, binomial_lr, adjusted_p, all_proportion_z, all_binomial_lr, all_adjusted_p, altsplice_candidates, altsplice_test, isoform_usage, isoform_test, coordination_table, all_coordination_table, coordination_test, coordination_chi2, rarefaction, saturation, event_embedding,
 )}
 
 _W = f"with {M.BASE}"
@@ -486,8 +511,15 @@ SQL = {
     "region_genes": """select gene_id, min(gene_begin) as start, max(gene_finish) as "end" from gene where chr = 'chr4' and gene_begin < 60000000 and gene_finish > 0 group by 1""",
     "gene_selection": f"{_W}, {_GN} select transcript_id, gene_id from tr where gene_id in (select gene_id from gn where is_annotated group by 1 having count(distinct sample_name) >= 3)",
     "filter_query": f"{_W}, {_TG} select transcript_id, gene_id from tg where category in (2, 3) and coverage > 0.01 * gene_coverage and n_exons > 1",
-    "filter_stats": f"""{_W}, {_TG}, f as (select sample_name, coverage, list_filter([case when n_exons = 1 and a_content > 0.5 then 'INTERNAL_PRIMING' end, case when category > 0 then 'NOVEL_TRANSCRIPT' end, case when n_exons = 1 then 'UNSPLICED' end,
-          case when coverage > cast(0.01 as double) * gene_coverage then 'SUBSTANTIAL' end, case when list_has_any(subs, ['novel exonic TSS', 'novel exonic PAS', '5'' fragment', '3'' fragment']) then 'FRAGMENT' end], lambda x: x is not null) as t from tg)
+    "filter_stats": f"""{_W}, {M.sql_iso()}, {M.sql_graph()}, {FRAGMENT_SQL}, {GENOME_SQL}, {_TG},
+        st as (select gene_id, strand, category, t.transcript_id, cast(x.exon_no - 1 as int) as no, x.e as d, nxt as a from tr t join ex3 x using (transcript_id) where nxt is not null and gene_id is not null),
+        nov as (select transcript_id, no from st where not exists (select 1 from st r where r.{REF} and r.gene_id = st.gene_id and r.strand = st.strand and r.d = st.d)
+          and not exists (select 1 from st r where r.{REF} and r.gene_id = st.gene_id and r.strand = st.strand and r.a = st.a)),
+        rt as (select distinct transcript_id from nov join mot using (transcript_id, no) where motif <> 'GTAG'),
+        fr as (select transcript_id from ch join iso i using (gene_id, chr, strand, chain) where i.isoform in (select isoform from pr)),
+        f as (select sample_name, coverage, list_filter([case when n_exons = 1 and a_content > 0.5 then 'INTERNAL_PRIMING' end, case when transcript_id in (select transcript_id from rt) then 'RTTS' end,
+          case when transcript_id in (select transcript_id from nonc) then 'NONCANONICAL_SPLICING' end, case when category > 0 then 'NOVEL_TRANSCRIPT' end, case when n_exons = 1 then 'UNSPLICED' end,
+          case when coverage > cast(0.01 as double) * gene_coverage then 'SUBSTANTIAL' end, case when transcript_id in (select transcript_id from fr) and list_has_any(subs, ['novel exonic TSS', 'novel exonic PAS', '5'' fragment', '3'' fragment']) then 'FRAGMENT' end], lambda x: x is not null) as t from tg)
         select sample_name, tag, count(*) as n, cast({_NN} as bigint) as reads from (select sample_name, coverage, unnest(list_concat(case when len(t) = 0 then ['PASS'] else t end, ['total'])) as tag from f) group by all""",
     "substantial": f"{_W}, {_TG} select transcript_id from tg where coverage > cast(0.01 as double) * gene_coverage",
     "altsplice_stats": f"""{_W}, {_SM}, k as (select coalesce(sample_group, 'none') as sample_group, coverage, list_distinct(list_filter(coalesce(subs, []), lambda x: x in ({_KNOWN}))) as t from tr join sm using (sample_name))
@@ -523,6 +555,12 @@ SQL = {
         select gene_id, event_type, node_a, node_b, round(p, 6) as p_value, round(least(min(p * m / rk) over (order by p desc), 1.0), 6) as padj from r""",
     "all_proportion_z": f"""{_ALL_TWO} select *, round((x0 / n0 - x1 / n1) / sqrt(((x0 + x1) / (n0 + n1)) * (1 - (x0 + x1) / (n0 + n1)) * (1 / n0 + 1 / n1)), 5) as z from tw""",
     "all_binomial_lr": f"{_ALL_TWO} select gene_id, event_type, node_a, node_b, via, round({_LR}, 4) as statistic from tw",
+    "altsplice_candidates": f"""{_GRAPH}, {M.ME_SQL.format(p='')}, {M.ALL_SQL}, {_SM}, sr as (select i.isoform, sample_name, sum(coalesce(c.coverage, 0)) as reads from ch c join iso i using (gene_id, chr, strand, chain) join sm using (sample_name)
+          where sample_group in ('{GROUPS[0]}', '{GROUPS[1]}') group by all),
+        ce as (select e.gene, event_type, e.a, e.b, via, sample_name, sum(case when side = 'alternative' then reads else 0 end) as x, sum(reads) as n from evs e join sr using (isoform) group by all),
+        k as (select gene, event_type, a, b, via, sum(x) as x, sum(n) as n, count(*) filter (where n >= {MIN_COVERED}) as n_covered from ce group by all)
+        select gene as gene_id, event_type, a as node_a, b as node_b, via, cast(x as bigint) as x, cast(n as bigint) as n, cast(n_covered as int) as n_covered from k
+        where n >= {MIN_TOTAL} and least(x, n - x) >= n * cast(0.1 as double) and n_covered >= {MIN_SAMPLES}""",
     "isoform_usage": f"""{_W}, {M.sql_iso()}, {_GR}, u as (select gene, isoform, sum(case when sample_group = '{GROUPS[0]}' then reads else 0 end) as r0, sum(case when sample_group = '{GROUPS[1]}' then reads else 0 end) as r1 from sr group by all),
         k as (select gene, least(row_number() over (partition by gene order by r0 + r1 desc, isoform), 10) as k, r0, r1 from u where r0 + r1 > 0), c as (select gene, k, cast(sum(r0) as double) as r0, cast(sum(r1) as double) as r1 from k group by all),
         z as (select *, sum(r0) over w as t0, sum(r1) over w as t1, count(*) over w as n from c window w as (partition by gene)), q as (select *, (r0 + r1) * t0 / (t0 + t1) as e0, (r0 + r1) * t1 / (t0 + t1) as e1, r1 / t1 - r0 / t0 as ch from z where t0 >= 25 and t1 >= 25 and n > 1),
@@ -538,7 +576,7 @@ SQL = {
           from nm p join nm q on p.gene = q.gene and p.isoform = q.isoform and q.st - p.en >= 1 group by all)
         select gene as gene_id, a_start, a_end, a_type, b_start, b_end, b_type, pri_pri, pri_alt, alt_pri, alt_alt, round(log2((case when pri_pri = 0 then 1e-9 else pri_pri end) * (case when alt_alt = 0 then 1e-9 else alt_alt end) / ((case when pri_alt = 0 then 1e-9 else pri_alt end) * (case when alt_pri = 0 then 1e-9 else alt_pri end))), 4) as log2_or,
           round(alt_alt / (alt_pri + alt_alt) - (pri_alt + alt_alt) / (pri_pri + pri_alt + alt_pri + alt_alt), 5) as dcpsi_ab, round(alt_alt / (pri_alt + alt_alt) - (alt_pri + alt_alt) / (pri_pri + pri_alt + alt_pri + alt_alt), 5) as dcpsi_ba from pp
-        where pri_pri + pri_alt + alt_pri + alt_alt >= {MIN_TOTAL} and pri_pri + pri_alt > 0 and alt_pri + alt_alt > 0 and pri_pri + alt_pri > 0 and pri_alt + alt_alt > 0""",
+        where pri_pri + pri_alt + alt_pri + alt_alt >= {MIN_TOTAL} and least(pri_pri + pri_alt, alt_pri + alt_alt, pri_pri + alt_pri, pri_alt + alt_alt) >= (pri_pri + pri_alt + alt_pri + alt_alt) * cast(0.1 as double)""",
     "rarefaction": f"""{_W}, k as (select sample_name, cast(coverage as double) as k, count(*) as n from tr where coverage > 0 group by all), f as (select *, part / 20 as f from k, (select unnest(range(1, 21)) as part))
         select sample_name, cast(part as int) as part, round(sum(n * (1 - pow(1 - f, k) - k * f * pow(1 - f, k - 1))), 4) as expected from f group by all""",
 }

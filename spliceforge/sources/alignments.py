@@ -61,7 +61,7 @@ def split_reads(reads: DataFrame, max_intron: int = 1_000_000, min_cov: int = 2)
     their breakpoints (chr, strand and position on either side), and kept from ``min_cov`` reads of a sample on.
     """
     part = F.struct(F.col("aligned")["start"].alias("at"), "chr", "strand", "exons")
-    per = reads.where("is_part").groupBy("sample_name", "qname").agg(F.array_sort(F.collect_list(part)).alias("parts"), F.max("weight").alias("weight")).where(F.size("parts") > 1)
+    per = reads.where("is_part").groupBy("sample_name", "qname").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("weight").alias("weight")).where(F.size("parts") > 1)
 
     def step(acc, x):
         last = F.try_element_at(acc, F.lit(-1))

@@ -74,7 +74,7 @@ def _assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     low, high = lambda t: F.coalesce(of(t, F.min, "start"), F.min("start")), lambda t: F.coalesce(of(t, F.max, "end"), F.max("end"))
     per_tr = known.where("transcript_id is not null").groupBy("gene_id", "transcript_id").agg(
         F.first("seqid").alias("chr"), F.first("strand").alias("strand"), low("transcript").alias("lo"), high("transcript").alias("hi"),
-        F.array_sort(F.collect_set(F.when(F.col("type") == "exon", F.struct("start", "end")))).alias("exons"),
+        F.sort_array(F.collect_set(F.when(F.col("type") == "exon", F.struct("start", "end")))).alias("exons"),
         of("start_codon", F.min, "start").alias("init_low"), of("start_codon", F.max, "end").alias("init_high"), of("stop_codon", F.min, "start").alias("stop_low"), of("stop_codon", F.max, "end").alias("stop_high"),
     )
     whole = F.array(F.struct(F.col("lo").alias("start"), F.col("hi").alias("end")))
@@ -82,7 +82,7 @@ def _assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     cds = F.when(F.col("init_low").isNotNull() & F.col("stop_low").isNotNull(), F.when(minus, F.struct(F.col("stop_low").alias("start"), F.col("init_high").alias("end"))).otherwise(F.struct(F.col("init_low").alias("start"), F.col("stop_high").alias("end"))))
     trs = per_tr.select("gene_id", "transcript_id", "chr", "strand", F.when(F.size("exons") == 0, whole).otherwise(F.col("exons")).alias("exons"), cds.alias("cds"))
     short = F.filter(F.array_distinct(F.flatten(F.collect_list("exons"))), lambda e: e["end"] - e["start"] <= SHORT_EXON)
-    by_gene = trs.groupBy("gene_id").agg(F.array_sort(short).alias("short_exons"), F.count(F.lit(1)).alias("n_transcripts"))
+    by_gene = trs.groupBy("gene_id").agg(F.sort_array(short).alias("short_exons"), F.count(F.lit(1)).alias("n_transcripts"))
     genes = known.groupBy("gene_id").agg(F.first("seqid").alias("chr"), F.first("strand").alias("strand"), low("gene").alias("start"), high("gene").alias("end"), F.max("gene_name").alias("gene_name"))
     genes = genes.join(by_gene, "gene_id", "left")
     # a gene without transcripts gets one that spans it

@@ -110,8 +110,8 @@ def test_betabinomial_fit_is_a_maximum_and_finds_the_mean():
     x = r.binomial(n, r.beta(4, 12, 60))
     a, b, mean, disp, ok = stats.betabinomial_fit(x, n)
     assert ok and mean == pytest.approx(0.25, abs=0.04) and disp == pytest.approx(1 / 17, abs=0.03)
-    best = stats.betabinomial_loglik(x, n, a, b)
-    assert all(stats.betabinomial_loglik(x, n, a * f, b * g) <= best + 1e-6 for f in (0.97, 1, 1.03) for g in (0.97, 1, 1.03))
+    best = stats.betabinomial_loglik(x[None], n[None], np.array([a]), np.array([b]))[0]
+    assert all(stats.betabinomial_loglik(x[None], n[None], np.array([a * f]), np.array([b * g]))[0] <= best + 1e-6 for f in (0.97, 1, 1.03) for g in (0.97, 1, 1.03))
     assert stats.betabinomial_fit([5, 5], [10, 10]) == (0.5, None, 0.5, None, True)
     assert not stats.betabinomial_fit([0], [0])[4]
     same, _ = stats.betabinomial_lr_test([x[:30], x[30:]], [n[:30], n[30:]])
@@ -120,6 +120,21 @@ def test_betabinomial_fit_is_a_maximum_and_finds_the_mean():
     assert math.isnan(stats.betabinomial_lr_test([[0], [1]], [[0], [2]])[0])
 
 
+def test_fits_of_many_events_equal_those_of_one():
+    r = np.random.default_rng(5)
+    n = r.integers(0, 60, (200, 9)) * (r.random((200, 9)) < 0.8)
+    x = r.binomial(n, r.beta(2, 3, (200, 9)))
+    x[:5], x[5:9] = 0, n[5:9]
+    many = np.stack(stats.betabinomial_fits(x, n), 1)
+    for row, a, b in zip(many, x, n):
+        keep = b > 0
+        one = [math.nan if v is None else v for v in stats.betabinomial_fit(a[keep], b[keep])]
+        # far out the likelihood is flat in a and b
+        assert row[2:] == pytest.approx(np.array(one[2:], float), abs=1e-4, nan_ok=True)
+    p, params = stats.betabinomial_lr_tests([x[:, :4], x[:, 4:]], [n[:, :4], n[:, 4:]])
+    assert p.shape == (200,) and params.shape == (200, 6) and ((p >= 0) & (p <= 1) | np.isnan(p)).all()
+
+
 def test_fdr(spark):
     p = [0.01, 0.04, 0.03, None, 0.5, 0.03, float("nan")]
     got = {r["i"]: r["padj"] for r in stats.adjust_fdr(spark.createDataFrame(list(enumerate(p)), "i int, p double"), "p").collect()}

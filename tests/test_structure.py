@@ -25,7 +25,7 @@ def gene(spark, chains, strand="+", reads=None, name="g"):
 def graph(iso):
     rows = segments.exon_rows(iso)
     segs = segments.segments(rows)
-    return segs, segments.paths(rows, segs), iso.select("gene_id", "strand").distinct()
+    return segs, segments.paths(segments.spans(rows, segs)), iso.select("gene_id", "strand").distinct()
 
 
 def sets(events, *extra):
@@ -44,7 +44,7 @@ def test_coordinated_gene(spark):
     totals = {r["event_type"]: r for r in bubbles.with_coordinates(bubbles.event_totals(bubbles.simple_events(path, strand), iso.select("gene_id", "isoform", "reads")), segs).collect()}
     assert (totals["IR"]["start"], totals["IR"]["end"], totals["ES"]["start"], totals["ES"]["end"]) == (42, 57, 104, 150)
     assert (totals["IR"]["primary_reads"], totals["IR"]["alternative_reads"]) == (280, 360)
-    restored = {r["isoform"]: [tuple(x) for x in r["exons"]] for r in segments.restore(path).collect()}
+    restored = {r["isoform"]: [tuple(x) for x in r["exons"]] for r in segments.restore(path, segs).collect()}
     assert restored == {0: T0, 1: T1, 2: T2, 3: T3}
     edge = {(r["node_a"], r["node_b"]): (r["spliced"], r["n_isoforms"]) for r in segments.edges(path).collect()}
     assert edge[1, 2] == (False, 2) and edge[1, 3] == (True, 2)
