@@ -30,14 +30,21 @@ def small_number(text: Column) -> Column:
     return F.when((F.length(value) <= 10) & (value.try_cast("bigint") < 2**31), value.try_cast("bigint"))
 
 
+#: Tells records without an identifier apart (0 for all others).
+UNNAMED = "__unnamed"
+
+
 def records(lines: DataFrame, key: str = "record_id", line: str = "line", feed: str = "feed") -> DataFrame:
-    """The records among the lines, each once: ``key``, ``feed``, __body (a tab before each field).
+    """The records among the lines, each once: ``key``, ``feed``, __unnamed, __body (a tab before each field).
 
-    Null lines, lines of only white space and lines that start with ``#`` are none; a carriage return at the end is taken off.
+    Null lines, lines of only white space and lines that start with ``#`` are none; a carriage return at the end is taken off. Of
+    deliveries of one ``key`` that differ, the least by feed and line counts. Without a ``key`` equal lines of a feed are one record.
     """
     rows = lines.where(F.col(line).isNotNull() & ~F.col(line).rlike(BLANK) & ~F.col(line).startswith("#"))
     body = F.concat(F.lit("\t"), F.regexp_replace(line, r"\r\z", ""))
-    return rows.groupBy(key).agg(F.first(feed).alias(feed), F.first(body).alias("__body"))
+    unnamed = F.when(F.col(key).isNull(), F.xxhash64(feed, line)).otherwise(F.lit(0).cast("long"))
+    rows = rows.select(F.col(key), unnamed.alias(UNNAMED), F.struct(F.col(feed).alias("feed"), body.alias("body")).alias("__r"))
+    return rows.groupBy(key, UNNAMED).agg(F.min("__r").alias("__r")).select(key, UNNAMED, F.col("__r.feed").alias(feed), F.col("__r.body").alias("__body"))
 
 
 def fields_of(body: Column) -> Column:
@@ -64,13 +71,14 @@ def rejected(lines: DataFrame, feeds: list[Feed], key: str = "record_id") -> Dat
 
     The loaded offsets are taken from those of all records, and only the remainder is diagnosed; the first of
     ``REASONS`` that holds is given. Records of a feed that isn't among ``feeds`` are not looked at. A record delivered
-    twice counts once; an empty table gives no row.
+    twice counts once; those without an identifier each give a row of their own; an empty table gives no row.
     """
     rows = records(lines.where(F.col("feed").isin([f.name for f in feeds])), key)
-    loaded = _conforming(rows, feeds[0]).select(key)
+    loaded = _conforming(rows, feeds[0]).select(key, UNNAMED)
     for f in feeds[1:]:
-        loaded = loaded.unionByName(_conforming(rows, f).select(key))
-    rest = rows.join(loaded, key, "left_anti")
+        loaded = loaded.unionByName(_conforming(rows, f).select(key, UNNAMED))
+    same = F.col(f"r.{key}").eqNullSafe(F.col(f"l.{key}")) & (F.col(f"r.{UNNAMED}") == F.col(f"l.{UNNAMED}"))
+    rest = rows.alias("r").join(loaded.alias("l"), same, "left_anti")
     width = F.lit(None).cast("int")
     for f in feeds:
         width = F.when(F.col("feed") == f.name, F.lit(len(f.columns))).otherwise(width)

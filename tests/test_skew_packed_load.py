@@ -169,3 +169,10 @@ def test_rejected_and_loaded_lines(spark):
     assert set(loaded) == {0, 1, 8, 9, 14, 15}
     assert loaded[1]["sample_group"] == 'g "1"' and loaded[9]["sample_name"] == "a\tb" and loaded[9]["sample_group"] == "g"
     assert rejected(df.limit(0), [SAMPLES]).count() == 0
+
+
+def test_records_without_an_identifier(spark):
+    lines = [(None, "a\tx.bam\tg"), (None, "a\tx.bam\tg"), (None, "b\ty.bam\tg"), (None, "broken"), (None, "c\tz\tg"), (1, "d"), (1, "a\tw.bam\tg")]
+    df = spark.createDataFrame([(i, "sample_table", t) for i, t in lines], "record_id long, feed string, line string")
+    assert sorted(r["file_name"] for r in strict_load(df, SAMPLES).collect()) == ["w.bam", "x.bam", "y.bam"]
+    assert sorted((str(r["record_id"]), r["reason"]) for r in rejected(df, [SAMPLES]).collect()) == [("None", "column_count"), ("None", "invalid_value")]
