@@ -7,30 +7,51 @@ from pyspark.sql import functions as F
 
 from spliceforge.functions.intervals import introns
 from spliceforge.operators.intervals import merge_intervals, overlap_join
+from spliceforge.operators.ranks import row_numbers
 from spliceforge.session import materialize
 
 
 def best_genes(transcripts: DataFrame, genes: DataFrame, min_exon_coverage: float = 0.25) -> DataFrame:
-    """transcript_id, gene_id, n_sites, n_bases of the gene each transcript fits best.
+    """transcript_id, gene_id, step, n_sites, n_bases of the gene each transcript fits best.
 
-    ``transcripts``: transcript_id, chr, strand, exons. ``genes``: gene_id, chr, strand, exons (one row per reference chain). Genes compete by
-    shared splice sites, then by shared exonic bases, then by the smaller gene_id; without a shared site a gene needs at
-    least ``min_exon_coverage`` of the transcript's bases. Transcripts without such a gene give no row.
+    ``transcripts``: transcript_id, chr, strand, exons. ``genes``: gene_id, chr, strand, exons (a row a chain) and, if there, is_annotated
+    (else all are). The first step that gives a gene counts: 1 an annotated gene by shared splice sites, 2 a novel one by them (ties by
+    the greatest part of a chain's sites to its exons); 3 an annotated gene by exonic bases, of which it needs ``min_exon_coverage``
+    of the transcript's (for single exons: the bases of one of its single exons); 4 an annotated gene of which some
+    chain has that part of the shorter one's bases; 5 a novel gene by exonic bases. Ties go to more bases, then to
+    the smaller gene_id. Transcripts without such a gene give no row.
     """
-    t_exons = transcripts.select("transcript_id", "chr", "strand", F.inline("exons")).withColumnsRenamed({"start": "t_start", "end": "t_end"})
-    g_exons = genes.select("gene_id", "chr", "strand", F.inline("exons")).distinct()
-    union = merge_intervals(g_exons, ["gene_id", "chr", "strand"], "start", "end").where("kind = 'period'").drop("kind")
-    both = overlap_join(t_exons, union, ["chr", "strand"], ("t_start", "t_end"), ("pos_from", "pos_to"))
-    bases = both.groupBy("transcript_id", "gene_id").agg(F.sum(F.least("t_end", "pos_to") - F.greatest("t_start", "pos_from")).alias("n_bases"))
-    site = F.explode(F.flatten(F.transform(introns(F.col("exons")), lambda i: F.array(F.struct(F.lit("d").alias("side"), i["donor"].alias("pos")), F.struct(F.lit("a").alias("side"), i["acceptor"].alias("pos"))))))
-    t_sites = transcripts.select("transcript_id", "chr", "strand", site.alias("s")).select("transcript_id", "chr", "strand", "s.side", "s.pos")
-    g_sites = genes.select("gene_id", "chr", "strand", site.alias("s")).select("gene_id", "chr", "strand", "s.side", "s.pos").distinct()
-    sites = t_sites.join(g_sites, ["chr", "strand", "side", "pos"]).groupBy("transcript_id", "gene_id").agg(F.count(F.lit(1)).alias("n_sites"))
+    known = genes if "is_annotated" in genes.columns else genes.withColumn("is_annotated", F.lit(True))
+    known = known.select("gene_id", "chr", "strand", "exons", "is_annotated").distinct().withColumn("chain", F.xxhash64("gene_id", F.to_json("exons")))
+    place = ["chr", "strand"]
+    t_exons = transcripts.select("transcript_id", *place, F.size("exons").alias("t_size"), F.inline("exons")).withColumnsRenamed({"start": "t_start", "end": "t_end"})
+    g_exons = known.select("gene_id", "is_annotated", "chain", *place, F.size("exons").alias("g_size"), F.inline("exons"))
     length = t_exons.groupBy("transcript_id").agg(F.sum(F.col("t_end") - F.col("t_start")).alias("length"))
-    scored = bases.join(sites, ["transcript_id", "gene_id"], "left").na.fill(0, ["n_sites"]).join(length, "transcript_id")
-    fit = scored.where((F.col("n_sites") > 0) | (F.col("n_bases") >= F.col("length") * F.lit(min_exon_coverage)))
-    rank = F.struct(-F.col("n_sites"), -F.col("n_bases"), F.col("gene_id"))
-    return fit.groupBy("transcript_id").agg(F.min_by(F.struct("gene_id", "n_sites", "n_bases"), rank).alias("b")).select("transcript_id", "b.*")
+    overlap = F.sum(F.least("t_end", "x_end") - F.greatest("t_start", "x_start"))
+    union = merge_intervals(g_exons.select("gene_id", *place, "start", "end").distinct(), ["gene_id", *place], "start", "end").where("kind = 'period'").drop("kind").withColumnsRenamed({"pos_from": "x_start", "pos_to": "x_end"})
+    bases = overlap_join(t_exons, union, place, ("t_start", "t_end"), ("x_start", "x_end")).groupBy("transcript_id", "gene_id").agg(overlap.alias("n_bases"))
+    by_chain = overlap_join(t_exons, g_exons.withColumnsRenamed({"start": "x_start", "end": "x_end"}), place, ("t_start", "t_end"), ("x_start", "x_end"))
+    by_chain = by_chain.groupBy("transcript_id", "gene_id", "chain").agg(overlap.alias("shared"), F.max((F.col("t_size") == 1) & (F.col("g_size") == 1)).alias("both_single"))
+    g_length = g_exons.groupBy("chain").agg(F.sum(F.col("end") - F.col("start")).alias("g_length"))
+    part = F.col("shared") / F.least("length", "g_length")
+    by_chain = by_chain.join(g_length, "chain").join(length, "transcript_id").groupBy("transcript_id", "gene_id").agg(F.max(part).alias("part"), F.max(F.when(F.col("both_single"), F.col("shared")).otherwise(0)).alias("single"))
+    site = F.explode(F.flatten(F.transform(introns(F.col("exons")), lambda i: F.array(F.struct(F.lit("d").alias("side"), i["donor"].alias("pos")), F.struct(F.lit("a").alias("side"), i["acceptor"].alias("pos"))))))
+    sites = lambda df, *c: df.select(*c, *place, site.alias("s")).select(*c, *place, "s.side", "s.pos").distinct()
+    t_sites = sites(transcripts, "transcript_id")
+    hit = [*place, "side", "pos"]
+    shared = t_sites.join(sites(known, "gene_id"), hit).groupBy("transcript_id", "gene_id").agg(F.count(F.lit(1)).alias("n_sites"))
+    of_chain = t_sites.join(sites(known.withColumn("g_size", F.size("exons")), "gene_id", "chain", "g_size"), hit).groupBy("transcript_id", "gene_id", "chain", "g_size").agg(F.count(F.lit(1)).alias("n"))
+    ratio = of_chain.groupBy("transcript_id", "gene_id").agg(F.max(F.col("n") / F.col("g_size")).alias("ratio"))
+    annotated = known.groupBy("gene_id").agg(F.max("is_annotated").alias("is_annotated"))
+    size = transcripts.select("transcript_id", F.size("exons").alias("t_size"))
+    rows = bases.join(by_chain, ["transcript_id", "gene_id"]).join(shared, ["transcript_id", "gene_id"], "left").join(ratio, ["transcript_id", "gene_id"], "left").na.fill(0, ["n_sites", "ratio"])
+    rows = rows.join(length, "transcript_id").join(size, "transcript_id").join(annotated, "gene_id")
+    least = F.col("length") * F.lit(min_exon_coverage)
+    ref, whole = F.col("is_annotated"), F.when(F.col("t_size") > 1, F.col("n_bases")).otherwise(F.col("single"))
+    step = F.when(ref & (F.col("n_sites") > 0), 1).when(F.col("n_sites") > 0, 2).when(ref & (whole >= least), 3).when(ref & (F.col("part") >= F.lit(min_exon_coverage)), 4).when(~ref & (F.col("n_bases") >= least), 5)
+    first = F.when(step <= 2, F.col("n_sites").cast("double")).when(step == 3, whole.cast("double")).when(step == 4, F.col("part")).otherwise(F.col("n_bases").cast("double"))
+    rank = F.struct(step, -first, F.when(step <= 2, -F.col("ratio")), -F.col("n_bases"), F.col("gene_id"))
+    return rows.where(step.isNotNull()).groupBy("transcript_id").agg(F.min_by(F.struct("gene_id", step.alias("step"), "n_sites", "n_bases"), rank).alias("b")).select("transcript_id", "b.*")
 
 
 def novel_types(transcripts: DataFrame, genes: DataFrame) -> DataFrame:
@@ -51,29 +72,54 @@ def novel_types(transcripts: DataFrame, genes: DataFrame) -> DataFrame:
     return rows.select("transcript_id", kind.alias("novel_type"))
 
 
-def novel_genes(transcripts: DataFrame, prefix: str = "PB_novel_") -> DataFrame:
-    """transcript_id, novel_gene: transcripts of a strand whose exons overlap, directly or through others, form one gene.
+def components(links: DataFrame, left: str, right: str) -> DataFrame:
+    """node, label (the least node linked to it in any number of steps) of links that were written; nodes are int64.
 
-    Genes are numbered by chromosome, strand and start. Two transcripts in one gene's exonic island share it; islands that one transcript
-    spans are joined by taking the smallest label over transcript and island in turn until nothing changes.
+    Each round first ties the greater neighbours of a node, then the smaller ones, to the least it knows, which halves long paths; the
+    links of a round are written. Ends after about the logarithm of the longest path, when every node is tied to its label.
     """
-    exons = transcripts.select("transcript_id", "chr", "strand", F.inline("exons"))
-    twice = exons.select("chr", "strand", (F.col("start") * 2).alias("a"), (F.col("end") * 2 - 1).alias("b"))
-    islands = merge_intervals(twice, ["chr", "strand"], "a", "b").where("kind = 'period'")
-    islands = islands.select("chr", "strand", (F.col("pos_from") / 2).cast("long").alias("i_start"), ((F.col("pos_to") + 1) / 2).cast("long").alias("i_end"))
-    member = overlap_join(exons, islands, ["chr", "strand"], ("start", "end"), ("i_start", "i_end"))
-    links = materialize(member.select("transcript_id", F.concat_ws("|", "chr", "strand", F.lpad(F.col("i_start").cast("string"), 12, "0")).alias("island")).distinct(), "novel-links")
-    label = links.groupBy("transcript_id").agg(F.min("island").alias("label"))
+    edges = materialize(links.where(F.col(left) != F.col(right)).select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v")).distinct(), "component-links")
     while True:
-        by_island = links.join(label, "transcript_id").groupBy("island").agg(F.min("label").alias("l"))
-        better = links.join(by_island, "island").groupBy("transcript_id").agg(F.min("l").alias("label"))
-        better = materialize(better, "novel-labels")
-        changed = better.join(label.withColumnRenamed("label", "old"), "transcript_id").where("label != old")
-        done, label = changed.isEmpty(), better
-        if done:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        down = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(down, "u").where("v != m").select("v", "m").unionByName(down.select(F.col("u").alias("v"), "m")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        after = materialize(small, "component-links")
+        if after.exceptAll(edges).isEmpty() and edges.exceptAll(after).isEmpty():
             break
-    numbers = label.select("label").distinct().withColumn("no", F.row_number().over(Window.orderBy("label")))  # a row a novel gene
-    return label.join(numbers, "label").select("transcript_id", F.format_string(prefix + "%05d", "no").alias("novel_gene"))
+        edges = after
+    tied = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("label"))
+    return tied.unionByName(edges.select(F.col("v").alias("node")).distinct().join(tied.select("node"), "node", "left_anti").withColumn("label", F.col("node")))
+
+
+def novel_genes(transcripts: DataFrame, prefix: str = "PB_novel_", min_overlap: float = 0.5) -> DataFrame:
+    """transcript_id, novel_gene: transcripts of a strand are of one gene if they share a splice site, or if the bases they share are more than
+    ``min_overlap`` of those that either has; directly or through others.
+
+    ``transcripts`` (written): transcript_id (int64), chr, strand, exons. Genes are numbered by chromosome, strand, start and least transcript. A
+    site links the transcripts that have it to their least one, never in pairs; transcripts with equal exons count as one before
+    bases are compared, and only those of which the shorter has more than ``min_overlap`` of the longer meet on their exons.
+    """
+    place = ["chr", "strand"]
+    site = F.explode(F.flatten(F.transform(introns(F.col("exons")), lambda i: F.array(F.struct(F.lit("d").alias("side"), i["donor"].alias("pos")), F.struct(F.lit("a").alias("side"), i["acceptor"].alias("pos"))))))
+    at = transcripts.select("transcript_id", *place, site.alias("s"))
+    firsts = at.groupBy(*place, "s").agg(F.min("transcript_id").alias("b"))
+    links = at.join(firsts, [*place, "s"]).select(F.col("transcript_id").alias("a"), "b")
+    text = F.to_json("exons")
+    same = transcripts.groupBy(*place, text.alias("text")).agg(F.min("transcript_id").alias("b"), F.min_by("exons", "transcript_id").alias("exons"))
+    links = links.unionByName(transcripts.select("transcript_id", *place, text.alias("text")).join(same, [*place, "text"]).select(F.col("transcript_id").alias("a"), "b"))
+    size = F.aggregate("exons", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
+    exons = same.select("b", *place, size.alias("size"), F.inline("exons"))
+    side = lambda x: exons.toDF(f"{x}", *place, f"{x}_size", f"{x}_start", f"{x}_end")
+    met = overlap_join(side("a"), side("c"), place, ("a_start", "a_end"), ("c_start", "c_end")).where((F.col("a") < F.col("c")) & (F.least("a_size", "c_size") > F.greatest("a_size", "c_size") * F.lit(min_overlap)))
+    shared = met.groupBy("a", "c").agg(F.sum(F.least("a_end", "c_end") - F.greatest("a_start", "c_start")).alias("n"), F.first(F.col("a_size") + F.col("c_size")).alias("both"))
+    near = shared.where(F.col("n") > (F.col("both") - F.col("n")) * F.lit(min_overlap)).select("a", F.col("c").alias("b"))
+    label = components(links.unionByName(near), "a", "b")
+    rows = transcripts.select("transcript_id", *place, F.get("exons", F.lit(0))["start"].alias("start")).join(label.withColumnRenamed("node", "transcript_id"), "transcript_id", "left")
+    rows = rows.withColumn("label", F.coalesce("label", "transcript_id"))
+    numbers = row_numbers(rows.groupBy("label").agg(F.min("chr").alias("chr"), F.min("strand").alias("strand"), F.min("start").alias("start")), [], ["chr", "strand", "start", "label"], "no")
+    return rows.join(numbers.select("label", "no"), "label").select("transcript_id", F.format_string(prefix + "%05d", "no").alias("novel_gene"))
 
 
 def loci(genes: DataFrame, keys: list[str], start: str, end: str, max_gap: int = 300_000) -> DataFrame:

@@ -17,7 +17,7 @@ from spliceforge.plans import model as M
 from spliceforge.plans.problems import P4_SQL
 from spliceforge.plans.structure import MIN_TOTAL, REF
 from spliceforge.session import materialize, ship_package, table
-from spliceforge.sources.export import numbered_events, gtf_lines
+from spliceforge.sources.export import event_gff_lines, event_layouts, event_paths, gtf_lines, numbered_events
 
 
 def parsed_domains(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +94,27 @@ def all_event_export(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("file", "row_id", "gene_id", "start", "end", "via", "primary_reads", "alternative_reads")
 
 
+def _frequent_paths(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Exon paths of both sides of the frequent events, and the place of each gene."""
+    iso = M.isoforms(spark, d)
+    segs, path, strand = M.graph(iso)
+    sides = materialize(M.all_events(path, strand), "event-sides")
+    totals = bubbles.event_totals(sides.withColumn("via", F.coalesce("via", F.lit(-1))), iso.select("gene_id", "isoform", "reads"))
+    keep = bubbles.frequent(totals, MIN_TOTAL, 0.1, inclusive=False).select(*bubbles.KEY)
+    rows = sides.withColumn("via", F.coalesce("via", F.lit(-1))).join(keep, bubbles.KEY, "left_semi")
+    return materialize(event_paths(rows, iso, path, segs), "event-paths"), iso.select("gene_id", "chr", "strand").distinct()
+
+
+def event_layout_export(spark: SparkSession, d: str) -> DataFrame:
+    """The exons by which a splicing tool knows the frequent events, numbered within their kind."""
+    return event_layouts(_frequent_paths(spark, d)[0])
+
+
+def event_gff_export(spark: SparkSession, d: str) -> DataFrame:
+    """The frequent events as genes whose messengers are the different exon paths of either side."""
+    return event_gff_lines(*_frequent_paths(spark, d))
+
+
 def unified_ends(spark: SparkSession, d: str) -> DataFrame:
     """Both ends of the transcripts of each gene, in genomic order, moved to peaks."""
     rows = M.in_genes(spark, d).where("coverage > 0").withColumn("gene_id", F.expr(M.GENE_KEY))
@@ -199,7 +220,7 @@ def direct_repeats(spark: SparkSession, d: str, delta: int = 15, wobble: int = 2
 
 
 QUERIES = {f.__name__: f for f in (
-    domain_block_table, domain_containment, transcript_domains, domain_depth, domain_label_sets, gtf_export, event_export, all_event_export, unified_ends, unified_bounds,
+    domain_block_table, domain_containment, transcript_domains, domain_depth, domain_label_sets, gtf_export, event_export, all_event_export, event_layout_export, event_gff_export, unified_ends, unified_bounds,
     reverse_complements, a_content, all_a_content, window_content, splice_motifs, all_splice_motifs, reading_frames, direct_repeats,
 )}
 

@@ -83,7 +83,7 @@ QUERIES = {f.__name__: f for f in (transcript_qc, transcript_sequences, transcri
 
 GENOME_SQL = """
 gseq as (select arg_max(seq, (length(seq), -doc_id)) as seq from (select doc_id, regexp_replace(upper(text), '[^ACGT]', '', 'g') as seq from documents where text is not null)),
-gen as (select length(seq) as n, repeat(seq, 3 + 20000 // greatest(length(seq), 1)) as g from gseq),
+gen as (select length(seq) as n, repeat(seq, 3 + (select max(e - s) from exons) // greatest(length(seq), 1)) as g from gseq),
 mot0 as (select x.transcript_id, x.exon_no, t.strand, substr(g, (x.e + 13 * length(chr)) % n + 1, 2) || substr(g, (nxt - 2 + 13 * length(chr)) % n + 1, 2) as four
   from ex3 x join tr t using (transcript_id), gen where nxt is not null),
 mot as (select transcript_id, cast(exon_no - 1 as int) as no, case when strand = '-' then reverse(translate(four, 'ACGT', 'TGCA')) else four end as motif from mot0),

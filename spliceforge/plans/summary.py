@@ -220,9 +220,16 @@ def gene_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 
 def best_gene(spark: SparkSession, d: str) -> DataFrame:
-    """The reference gene that each transcript without a gene fits best."""
-    rows = M.transcripts(spark, d).select("transcript_id", "gene_id", "chr", "strand", "exons", "category")
-    return best_genes(rows.where("gene_id is null"), rows.where(f"gene_id is not null and {REF}"))
+    """The gene that each transcript which is no full splice match fits best. Genes with a full splice match are known by those, all others are
+    novel and known by what their first sample has."""
+    rows = M.transcripts(spark, d).select("transcript_id", "sample_name", "gene_id", "chr", "strand", "exons", "category")
+    rows = materialize(rows, "placed")
+    known = rows.where(REF).where("gene_id is not null")
+    rest = rows.where("gene_id is not null").join(known.select("gene_id").distinct(), "gene_id", "left_anti")
+    first = rest.groupBy("gene_id").agg(F.min("sample_name").alias("sample_name"))
+    novel = rest.join(first, ["gene_id", "sample_name"])
+    genes = known.withColumn("is_annotated", F.lit(True)).unionByName(novel.select(known.columns).withColumn("is_annotated", F.lit(False)))
+    return best_genes(rows.where("category is null or category != 0"), genes)
 
 
 def novel_type(spark: SparkSession, d: str) -> DataFrame:
@@ -531,17 +538,30 @@ SQL = {
         select chr, pos as pos_from, nxt as pos_to, cast(depth as bigint) as depth from (select chr, pos, lead(pos) over w as nxt, sum(d) over w as depth from ch window w as (partition by chr order by pos)) where depth > 0 and nxt is not null""",
     "junction_counts": f"{_W} select sample_name, chr, e as donor, nxt as acceptor, cast({_NN} as bigint) as n from ex3 join tr using (transcript_id) where nxt is not null group by all",
     "gene_overlaps": f"""{_W}, {_GN}, g as (select gene_id, chr, min(gene_begin) as a, max(gene_finish) as b from gn where chr is not null group by all) select transcript_id, g.gene_id as other_gene from tr join g on g.chr = tr.chr and tr_start < b and a < tr_end""",
-    "best_gene": f"""{_W}, t as (select * from tr where gene_id is null), r as (select * from tr where gene_id is not null and {REF}),
-        re as (select distinct gene_id, chr, strand, s, e from exons join r using (transcript_id)),
-        ru0 as (select *, case when s <= max(e) over (partition by gene_id, chr, strand order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as f from re),
+    "best_gene": f"""{_W}, t as (select * from tr where category is null or category <> 0), k as (select *, true as ann from tr where gene_id is not null and {REF}),
+        o as (select * from tr where gene_id is not null and gene_id not in (select gene_id from k)), nv as (select *, false as ann from o qualify sample_name = min(sample_name) over (partition by gene_id)),
+        r as (select * from k union all select * from nv), an as (select gene_id, bool_or(ann) as ann from r group by 1),
+        rx as (select r.gene_id, chr, strand, r.transcript_id as ch, n_exons as gn, len as gl, s, e, nxt from r join ex3 using (transcript_id)), tx as (select t.transcript_id, chr, strand, n_exons as tn, len, s, e, nxt from t join ex3 using (transcript_id)),
+        re as (select distinct gene_id, chr, strand, s, e from rx), ru0 as (select *, case when s <= max(e) over (partition by gene_id, chr, strand order by s, e rows between unbounded preceding and 1 preceding) then 0 else 1 end as f from re),
         ru1 as (select *, sum(f) over (partition by gene_id, chr, strand order by s, e rows unbounded preceding) as no from ru0), ru as (select gene_id, chr, strand, min(s) as a, max(e) as b from ru1 group by gene_id, chr, strand, no),
-        te as (select t.transcript_id, chr, strand, s, e, nxt, len from t join ex3 using (transcript_id)),
-        bs as (select transcript_id, ru.gene_id, any_value(len) as len, sum(least(e, b) - greatest(s, a)) as n_bases from te join ru on ru.chr = te.chr and ru.strand = te.strand and s < b and a < e group by all),
-        ts as (select transcript_id, chr, strand, 'd' as side, e as pos from te where nxt is not null union all select transcript_id, chr, strand, 'a', nxt from te where nxt is not null),
-        rs as (select distinct gene_id, chr, strand, 'd' as side, e as pos from ex3 join r using (transcript_id) where nxt is not null union all select distinct gene_id, chr, strand, 'a', nxt from ex3 join r using (transcript_id) where nxt is not null),
-        st as (select transcript_id, gene_id, count(*) as n_sites from ts join rs using (chr, strand, side, pos) group by all)
-        select transcript_id, gene_id, coalesce(n_sites, 0) as n_sites, cast(n_bases as bigint) as n_bases from bs left join st using (transcript_id, gene_id) where coalesce(n_sites, 0) > 0 or n_bases >= len * cast(0.25 as double)
-        qualify row_number() over (partition by transcript_id order by coalesce(n_sites, 0) desc, n_bases desc, gene_id) = 1""",
+        bs as (select transcript_id, ru.gene_id, any_value(len) as len, any_value(tn) as tn, sum(least(e, b) - greatest(s, a)) as n_bases from tx join ru on ru.chr = tx.chr and ru.strand = tx.strand and s < b and a < e group by all),
+        bc as (select tx.transcript_id, rx.gene_id, ch, sum(least(tx.e, rx.e) - greatest(tx.s, rx.s)) as sh, any_value(gl) as gl, any_value(len) as len, bool_or(tn = 1 and gn = 1) as one from tx join rx on rx.chr = tx.chr and rx.strand = tx.strand and tx.s < rx.e and rx.s < tx.e group by all),
+        pc as (select transcript_id, gene_id, max(sh / least(len, gl)) as part, max(case when one then sh else 0 end) as single from bc group by all),
+        ts as (select distinct transcript_id, chr, strand, 'd' as side, e as pos from tx where nxt is not null union select transcript_id, chr, strand, 'a', nxt from tx where nxt is not null),
+        cs as (select distinct gene_id, ch, gn, chr, strand, 'd' as side, e as pos from rx where nxt is not null union select gene_id, ch, gn, chr, strand, 'a', nxt from rx where nxt is not null),
+        st as (select transcript_id, gene_id, count(*) as n_sites from ts join (select distinct gene_id, chr, strand, side, pos from cs) using (chr, strand, side, pos) group by all),
+        ra as (select transcript_id, gene_id, max(n / gn) as ratio from (select transcript_id, gene_id, ch, gn, count(*) as n from ts join cs using (chr, strand, side, pos) group by all) group by all),
+        al as (select bs.*, part, single, coalesce(n_sites, 0) as n_sites, coalesce(ratio, 0) as ratio, ann, case when tn > 1 then n_bases else single end as w from bs join pc using (transcript_id, gene_id) left join st using (transcript_id, gene_id) left join ra using (transcript_id, gene_id) join an using (gene_id)),
+        sc as (select *, case when ann and n_sites > 0 then 1 when n_sites > 0 then 2 when ann and w >= len * cast(0.25 as double) then 3 when ann and part >= 0.25 then 4 when not ann and n_bases >= len * cast(0.25 as double) then 5 end as step from al)
+        select transcript_id, gene_id, cast(step as int) as step, n_sites, cast(n_bases as bigint) as n_bases from sc where step is not null
+        qualify row_number() over (partition by transcript_id order by step, case when step <= 2 then n_sites when step = 3 then w when step = 4 then part else n_bases end desc, case when step <= 2 then ratio end desc, n_bases desc, gene_id) = 1""",
+    "novel_gene": f"""with recursive {M.BASE}, t as (select * from tr where gene_id is null), x as (select t.transcript_id, chr, strand, len, s, e, nxt from t join ex3 using (transcript_id)),
+        si as (select transcript_id, chr, strand, 'd' as side, e as pos from x where nxt is not null union all select transcript_id, chr, strand, 'a', nxt from x where nxt is not null),
+        ol as (select a.transcript_id as a, b.transcript_id as b, sum(least(a.e, b.e) - greatest(a.s, b.s)) as n, any_value(a.len + b.len) as u from x a join x b on a.chr = b.chr and a.strand = b.strand and a.transcript_id <> b.transcript_id and a.s < b.e and b.s < a.e group by all),
+        lk as (select distinct a.transcript_id as a, b.transcript_id as b from si a join si b on a.chr = b.chr and a.strand = b.strand and a.side = b.side and a.pos = b.pos and a.transcript_id <> b.transcript_id union select a, b from ol where n > (u - n) * cast(0.5 as double)),
+        cc(node, label) using key (node) as (select transcript_id, transcript_id from t union select l.b, min(c.label) from cc c join lk l on l.a = c.node join recurring.cc r on r.node = l.b where c.label < r.label group by l.b),
+        g as (select label, row_number() over (order by min(chr), min(strand), min(tr_start), label) as no from cc join t on t.transcript_id = node group by label)
+        select node as transcript_id, 'PB_novel_' || lpad(cast(no as varchar), 5, '0') as novel_gene from cc join g using (label)""",
     "novel_type": f"""{_W}, t as (select * from tr where gene_id is null), r as (select * from tr where gene_id is not null and {REF}), g as (select gene_id, chr, strand, min(tr_start) as a, max(tr_end) as b from r group by all),
         n as (select transcript_id, max(cast(t.strand = g.strand as int)) as same from t join g on g.chr = t.chr and tr_start < b and a < tr_end group by 1), re as (select distinct chr, strand, s, e from exons join r using (transcript_id)),
         x as (select distinct t.transcript_id from t join exons using (transcript_id) join re on re.chr = t.chr and re.strand = t.strand and exons.s < re.e and re.s < exons.e)

@@ -1,8 +1,9 @@
 import gzip
+import pytest
 
 from pyspark.sql import functions as F
 
-from spliceforge.operators import collapse
+from spliceforge.operators import bubbles, collapse
 from spliceforge.sources import alignments as A
 from spliceforge.sources import annotation, export, files
 from spliceforge.streaming import ingest
@@ -114,11 +115,46 @@ def test_event_files_and_catalog(spark, tmp_path):
     ev = spark.createDataFrame([("g", "c", "+", "ES", 10, 20, 1, 3), ("g", "c", "+", "IR", 5, 9, 0, 1), ("g", "c", "+", "TSS", 5, 9, 0, 1)], "gene_id string, chr string, strand string, event_type string, start long, end long, node_a int, node_b int")
     export.write_events(ev, str(tmp_path / "ev"))
     assert {p.name for p in (tmp_path / "ev").iterdir() if p.is_dir()} == {"file=SE", "file=RI"}
-    assert export.event_gff_lines(ev.limit(1)).count() == 4
     export.save_catalog({"genes": ev}, str(tmp_path / "cat"))
     assert export.load_catalog(spark, str(tmp_path / "cat"), ["genes"])["genes"].count() == 3
 
 
+def test_layouts_of_events(spark, tmp_path):
+    from tests.test_structure import gene, graph
+
+    chains = {
+        "SE": [[(0, 10), (50, 60)], [(5, 10), (20, 30), (50, 70)]], "RI": [[(0, 10), (20, 30), (40, 50)], [(0, 30), (40, 50)]],
+        "A5SS": [[(0, 10), (50, 60), (80, 90)], [(0, 15), (50, 60), (80, 90)]], "A3SS": [[(0, 10), (50, 60), (80, 90)], [(0, 10), (45, 60), (80, 90)]],
+        "MXE": [[(0, 10), (40, 48), (60, 70)], [(2, 10), (20, 30), (60, 66)]],
+    }
+    want = {
+        "SE": [(20, 30), (5, 10), (50, 70), None], "RI": [(0, 30), (0, 10), (20, 30), None], "A5SS": [(0, 15), (0, 10), (50, 60), None], "A3SS": [(45, 60), (50, 60), (0, 10), None], "MXE": [(20, 30), (40, 48), (2, 10), (60, 66)],
+    }
+    # the second isoform has most reads; another behind SE's and RI's keeps B from being the last node
+    for k, (name, both) in enumerate(chains.items()):
+        last = [(100, 110)] if name in ("SE", "RI") else []
+        iso = gene(spark, [[*c, *last] for c in both], reads=[3, 8], name=name).withColumn("isoform", F.col("isoform") + 10 * k)
+        segs, path, strand = graph(iso)
+        sides = bubbles.simple_events(path, strand).withColumn("via", F.lit(None).cast("int")).unionByName(bubbles.exclusive_events(path).withColumn("via", F.col("via").cast("int")))
+        paths = export.event_paths(sides, iso, path, segs)
+        rows = export.event_layouts(paths).where(F.col("file") == name).collect()
+        exons = [[None if r[f"x{i}_start"] is None else (r[f"x{i}_start"], r[f"x{i}_end"]) for i in range(1, 5)] for r in rows]
+        assert exons == [want[name]] and rows[0]["row_id"] == 1, name
+        if name == "MXE":
+            lines = [r["value"].split("\t") for r in export.event_gff_lines(paths, iso.select("gene_id", "chr", "strand").distinct()).orderBy("no").collect()]
+            assert [x[2:5] for x in lines] == [
+                ["gene", "3", "66"], ["mRNA", "3", "66"], ["exon", "3", "10"], ["exon", "41", "48"], ["exon", "61", "66"], ["mRNA", "3", "66"], ["exon", "3", "10"], ["exon", "21", "30"], ["exon", "61", "66"]]
+            assert lines[1][8].endswith("ID=MXE:10-60_ME_3.A0") and "Parent=" in lines[2][8]
+
+
+def test_a_catalog_of_another_version_is_refused(spark, tmp_path):
+    export.save_catalog({"t": spark.range(3)}, str(tmp_path / "cat"))
+    assert export.load_catalog(spark, str(tmp_path / "cat"), ["t"])["t"].count() == 3
+    spark.createDataFrame([("0",)], "value string").write.mode("overwrite").text(str(tmp_path / "cat" / export.VERSION_FILE))
+    with pytest.raises(ValueError):
+        export.load_catalog(spark, str(tmp_path / "cat"), ["t"])
+
+
 def test_ingest_keeps_the_latest_and_can_be_repeated(spark, tmp_path):
     schema = "transcript_id long, sample_name string, coverage long, loaded_at timestamp"
     day = lambda d: F.to_timestamp(F.lit(f"2024-01-{d:02d}"))

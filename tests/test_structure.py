@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from spliceforge.functions import stats
 from spliceforge.operators import bubbles, collapse, segments
-from spliceforge.operators.assign import best_genes, loci, novel_genes, novel_types
+from spliceforge.operators.assign import best_genes, components, loci, novel_genes, novel_types
 from spliceforge.operators.novelty import classify_transcripts
 from tests.test_novelty import CASES, GENE
 
@@ -102,16 +102,51 @@ def test_isoforms_and_weighted_medians(spark):
 def test_best_gene_prefers_shared_sites(spark):
     t = spark.createDataFrame([(1, "c", "+", [(0, 10), (20, 30)]), (2, "c", "+", [(100, 120)]), (3, "c", "+", [(119, 140)]), (4, "c", "-", [(0, 10)])], f"transcript_id long, chr string, strand string, exons {EXONS}")
     g = spark.createDataFrame([("a", "c", "+", [(5, 10), (20, 25)]), ("b", "c", "+", [(0, 40)]), ("d", "c", "+", [(100, 120)])], f"gene_id string, chr string, strand string, exons {EXONS}")
-    got = {r["transcript_id"]: (r["gene_id"], r["n_sites"], r["n_bases"]) for r in best_genes(t, g).collect()}
-    assert got == {1: ("a", 2, 10), 2: ("d", 0, 20)}
+    got = {r["transcript_id"]: (r["gene_id"], r["step"], r["n_sites"], r["n_bases"]) for r in best_genes(t, g).collect()}
+    assert got == {1: ("a", 1, 2, 10), 2: ("d", 3, 0, 20)}
     kinds = {r["transcript_id"]: r["novel_type"] for r in novel_types(t, g).collect()}
     assert kinds == {1: "genic genomic", 2: "genic genomic", 3: "genic genomic", 4: "antisense"}
 
 
-def test_novel_genes_join_islands(spark):
-    t = spark.createDataFrame([(1, "c", "+", [(0, 10)]), (2, "c", "+", [(5, 8), (50, 60)]), (3, "c", "+", [(55, 70)]), (4, "c", "+", [(70, 80)]), (5, "c", "-", [(0, 10)])], f"transcript_id long, chr string, strand string, exons {EXONS}")
-    got = {r["transcript_id"]: r["novel_gene"] for r in novel_genes(t).collect()}
-    assert got[1] == got[2] == got[3] and len({got[1], got[4], got[5]}) == 3
+def test_steps_of_placement(spark):
+    g = [("a", [(0, 100), (200, 300), (400, 500)], True), ("b", [(0, 100), (250, 300)], True), ("n", [(600, 700), (800, 900)], False), ("m", [(1000, 1050)], True), ("l", [(990, 3000), (3100, 3200)], True), ("o", [(5000, 5100)], False)]
+    genes = spark.createDataFrame([(i, "c", "+", x, k) for i, x, k in g], f"gene_id string, chr string, strand string, exons {EXONS}, is_annotated boolean")
+    cases = {
+        1: ([(50, 100), (200, 300)], "a", 1), 2: ([(90, 100), (250, 300)], "b", 1), 3: ([(650, 700), (800, 850)], "n", 2), 4: ([(1000, 1010), (1030, 1050)], "l", 3),
+        5: ([(1010, 1045)], "m", 3), 6: ([(2900, 3050)], "l", 4), 7: ([(5050, 5120)], "o", 5), 8: ([(5090, 5400)], None, None), 9: ([(5000, 5040), (5060, 5090)], "o", 5),
+    }
+    t = spark.createDataFrame([(i, "c", "+", x) for i, (x, *_) in cases.items()], f"transcript_id long, chr string, strand string, exons {EXONS}")
+    got = {r["transcript_id"]: (r["gene_id"], r["step"]) for r in best_genes(t, genes).collect()}
+    assert got == {i: (gene, step) for i, (_, gene, step) in cases.items() if gene}
+    assert best_genes(t.limit(0), genes).count() == 0
+
+
+def test_novel_genes_share_sites_or_most_bases(spark):
+    chains = {
+        1: [(0, 10), (20, 30)], 2: [(5, 10), (40, 60)], 3: [(5, 8), (40, 55)], 4: [(100, 200)], 5: [(130, 220)], 6: [(145, 245)], 7: [(190, 400)], 8: [(100, 200)], 9: [(0, 10), (20, 30)],
+    }
+    strand = {9: "-"}
+    t = spark.createDataFrame([(i, "c", strand.get(i, "+"), x) for i, x in chains.items()], f"transcript_id long, chr string, strand string, exons {EXONS}")
+    by = {}
+    for r in novel_genes(t).collect():
+        by.setdefault(r["novel_gene"], set()).add(r["transcript_id"])
+    # 2 has the site 10 with 1 and most bases with 3; 4, 5 and 6 form a chain of overlaps; 8 is 4 again
+    assert sorted(map(sorted, by.values())) == [[1, 2, 3], [4, 5, 6, 8], [7], [9]]
+    assert sorted(by) == [f"PB_novel_{k:05d}" for k in range(1, 5)] and by["PB_novel_00001"] == {1, 2, 3}
+
+
+def test_components(spark):
+    import random
+
+    r = random.Random(4)
+    links = [(i, i + 1) for i in range(100, 160)] + [(r.randrange(90), r.randrange(90)) for _ in range(50)] + [(7, 7), (5, 6), (6, 5)]
+    up = {}
+    find = lambda x: x if up.setdefault(x, x) == x else find(up[x])
+    for a, b in links:
+        if a != b:
+            up[max(find(a), find(b))] = min(find(a), find(b))
+    got = {x["node"]: x["label"] for x in components(spark.createDataFrame(links, "a long, b long"), "a", "b").collect()}
+    assert got == {n: find(n) for n in list(up)}
 
 
 def test_loci_by_gap(spark):
