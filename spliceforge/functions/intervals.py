@@ -84,3 +84,25 @@ def to_genomic_position(exons: Column, strand: Column, offset: Column) -> Column
     )
     last = F.try_element_at(exons, F.lit(-1))["end"]
     return F.when((offset < 0) | (offset > total), None).otherwise(F.coalesce(walk["at"], F.when(forward == total, last.cast("long"))))
+
+
+def is_exonic(exons: Column, pos: Column) -> Column:
+    """Whether a position lies in an exon or at its end."""
+    return F.exists(exons, lambda x: (x["start"] <= pos) & (pos <= x["end"]))
+
+
+def shared_sites(a: Column, b: Column) -> Column:
+    """Splice sites (ends but the last, starts but the first) that two chains have in common."""
+    return F.size(F.array_intersect(introns(a)["donor"], introns(b)["donor"])) + F.size(F.array_intersect(introns(a)["acceptor"], introns(b)["acceptor"]))
+
+
+def shared_bases(a: Column, b: Column) -> Column:
+    return F.aggregate(a, F.lit(0).cast("long"), lambda n, x: n + region_length(b, x["start"], x["end"]))
+
+
+def is_same_gene(a: Column, b: Column, site_share: float = 0.0, base_share: float = 0.5) -> Column:
+    """Whether of the sites, or of the bases, that either of two chains has, both have more than the given part."""
+    sites, bases = shared_sites(a, b), shared_bases(a, b)
+    all_sites, all_bases = (F.size(a) + F.size(b) - 2) * 2 - sites, exonic_length(a) + exonic_length(b) - bases
+    over = lambda n, total, share: F.coalesce(n > total * F.lit(share), F.lit(False)) & (total > 0)
+    return over(sites, all_sites, site_share) | over(bases, all_bases, base_share)

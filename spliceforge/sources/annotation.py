@@ -68,6 +68,15 @@ def read_gff3(spark: SparkSession, path: str, chromosomes: list[str] | None = No
     return _assemble(genes.select(cols).unionByName(trs.select(cols)).unionByName(parts.select(cols)))
 
 
+def read_reference(spark: SparkSession, path: str, file_format: str = "auto", **options) -> tuple[DataFrame, DataFrame]:
+    """Genes and transcripts of a reference file; ``auto`` goes by the ending before ``.gz``: gtf, gff or gff3."""
+    kind = path.lower().removesuffix(".gz").rsplit(".", 1)[-1] if file_format == "auto" else file_format.lower()
+    readers = {"gtf": read_gtf, "gff": read_gff3, "gff3": read_gff3}
+    if kind not in readers:
+        raise ValueError(f"no reader for {kind!r}; known are {', '.join(readers)}")
+    return readers[kind](spark, path, **options)
+
+
 def _assemble(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = rows.where("type in ('gene', 'transcript', 'exon', 'start_codon', 'stop_codon')")
     of = lambda t, f, *c: f(F.when(F.col("type") == t, F.struct(*c) if len(c) > 1 else F.col(c[0])))
