@@ -106,7 +106,7 @@ def test_mixture(spark, monkeypatch):
 @pytest.mark.parametrize("how", ["targets", "full_size", "by_entropy"])
 def test_exponents_against_a_grid(spark, how):
     """The exponent is the greatest of a fine grid at which the limit of use (or the entropy) holds, and the mixture keeps the plan."""
-    have, limit, want = {"a": 900, "b": 300, "c": 40}, {"a": 1, "b": 1, "c": 3}, {"a": 0.3, "b": 0.5, "c": 0.2}
+    have, limit, want = {"a": 900, "b": 300, "c": 40}, {"a": 1, "b": 2, "c": 3}, {"a": 0.3, "b": 0.5, "c": 0.2}
     data = [(s, 10 * i + k, 3) for k, (s, n) in enumerate(have.items()) for i in range(n)]
     df = spark.createDataFrame(data, "source string, record_id long, n_tokens long")
     goal = spark.createDataFrame([(s, want[s], limit[s]) for s in have], "source string, target_weight double, max_repeats int")
