@@ -82,6 +82,10 @@ def packed_integers(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     texts = df.select(F.col(key).alias("__key"), each).select("__key", "__f.*").where("__t is not null and __t != ''")
     texts = texts.groupBy("__key", "field_name").agg(F.collect_set("__t").alias("__t"))
     numbered = lambda t: F.transform(packed_slots(t), lambda s, i: F.struct((i + 1).alias("slot_no"), integer_of(s).alias("item")))
-    items = F.array_distinct(F.flatten(F.transform("__t", numbered)))
-    out = texts.select(F.col("__key").alias(key), "field_name", F.inline(F.filter(items, lambda x: x["item"].isNotNull())))
+    found = F.filter(F.flatten(F.transform("__t", numbered)), lambda x: x["item"].isNotNull())
+    # the slots of one text differ; of several texts they are made distinct as text, as structs would be compared in pairs
+    coded = F.array_distinct(F.transform("__i", lambda x: F.concat_ws(":", x["slot_no"].cast("string"), x["item"].cast("string"))))
+    apart = F.transform(coded, lambda s: F.struct(F.substring_index(s, ":", 1).cast("int").alias("slot_no"), F.substring_index(s, ":", -1).cast("bigint").alias("item")))
+    rows = texts.select("__key", "field_name", F.size("__t").alias("__n"), found.alias("__i"))
+    out = rows.select(F.col("__key").alias(key), "field_name", F.inline(F.when(F.col("__n") > 1, apart).otherwise(F.col("__i"))))
     return out.withColumn("slot_no", F.col("slot_no").cast("int"))
