@@ -13,13 +13,15 @@ from spliceforge.session import materialize, table
 CATEGORIES = ("FSM", "ISM", "NIC", "NNC", "NOVEL")
 
 
-def transcripts(spark: SparkSession, d: str) -> DataFrame:
+def transcripts(spark: SparkSession, d: str, *needed: str) -> DataFrame:
     """Current transcripts on a known strand, with exons united to ascending, disjoint ones (array<struct<start, end>>).
 
     transcript_id, sample_name, gene_id, chr, strand, exons, coverage, a_content, category, subs, tr_start, tr_end; transcripts
-    without a valid exon are left out, gene_id may be null.
+    without a valid exon are left out, gene_id may be null. With ``needed``, only these of the table's columns pass the shuffle, besides
+    place and exons.
     """
-    cols = ["sample_name", "gene_id", "gene_name", "chr", "strand", "exons", "coverage", "downstream_a_content", F.col("annotation.category").alias("category"), F.col("annotation.subs").alias("subs")]
+    inner = {c: F.col(f"annotation.{c}").alias(c) for c in ("category", "subs")}
+    cols = [inner.get(c, c) for c in ("sample_name", "gene_id", "gene_name", "chr", "strand", "exons", "coverage", "downstream_a_content", *inner) if not needed or c in ("chr", "strand", "exons", *needed)]
     now = current_rows(table(spark, d, "transcript"), *cols).where("chr is not null and strand in ('+', '-')")
     starts, ends = sorted_bounds(F.col("exons"), "exon_start", "exon_end")
     now = now.withColumns({"__s": starts, "__e": ends}).drop("exons")
@@ -27,8 +29,11 @@ def transcripts(spark: SparkSession, d: str) -> DataFrame:
     now = now.withColumns({"__o": opens, "__c": closes}).where(F.size("__o") > 0)
     exons = F.zip_with("__o", "__c", lambda s, e: F.struct(s.alias("start"), e.alias("end")))
     now = now.withColumn("exons", exons).withColumns({"tr_start": F.get("__o", F.lit(0)), "tr_end": F.try_element_at("__c", F.lit(-1))})
+    now = now.drop("__s", "__e", "__o", "__c")
+    if "downstream_a_content" not in now.columns:
+        return now
     content = F.when(~F.isnan("downstream_a_content"), F.col("downstream_a_content"))
-    return now.withColumn("a_content", content).drop("__s", "__e", "__o", "__c", "downstream_a_content")
+    return now.withColumn("a_content", content).drop("downstream_a_content")
 
 
 def in_genes(spark: SparkSession, d: str) -> DataFrame:

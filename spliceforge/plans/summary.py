@@ -222,7 +222,7 @@ def gene_overlaps(spark: SparkSession, d: str) -> DataFrame:
 def best_gene(spark: SparkSession, d: str) -> DataFrame:
     """The gene that each transcript which is no full splice match fits best. Genes with a full splice match are known by those, all others are
     novel and known by what their first sample has."""
-    rows = M.transcripts(spark, d).select("transcript_id", "sample_name", "gene_id", "chr", "strand", "exons", "category")
+    rows = M.transcripts(spark, d, "sample_name", "gene_id", "category").select("transcript_id", "sample_name", "gene_id", "chr", "strand", "exons", "category")
     rows = materialize(rows, "placed")
     known = rows.where(REF).where("gene_id is not null")
     rest = rows.where("gene_id is not null").join(known.select("gene_id").distinct(), "gene_id", "left_anti")

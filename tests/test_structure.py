@@ -1,5 +1,7 @@
 """Graphs and events of the hand-written genes."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,6 +123,53 @@ def test_steps_of_placement(spark):
     assert best_genes(t.limit(0), genes).count() == 0
 
 
+def test_part_of_a_chain_that_a_gene_has_on_two_chromosomes(spark):
+    g = spark.createDataFrame([("a", c, "+", [(0, 50), (1000, 1050)]) for c in ("c", "d")] + [("b", "c", "+", [(5000, 5400)])], f"gene_id string, chr string, strand string, exons {EXONS}")
+    t = spark.createDataFrame([(1, "c", "+", [(10, 45), (2000, 2900)]), (2, "c", "+", [(5380, 6000)]), (3, "c", "+", [(4990, 6990)])], f"transcript_id long, chr string, strand string, exons {EXONS}")
+    got = {tuple(r) for r in best_genes(t, g).collect()}
+    assert got == {(1, "a", 4, 0, 35), (3, "b", 4, 0, 400)}
+
+
+def test_best_genes_equal_all_pairs(spark):
+    """Genes that overlap on few sites, so that all ties and all ways to settle a part occur, against transcripts compared with each chain."""
+    rng = random.Random(7)
+    sites = rng.sample(range(100, 30_000), 30)
+
+    def chain():
+        k = rng.choice([1, 1, 1, 2, 3, 4])
+        at = sorted(rng.sample(sites if rng.random() < 0.6 else range(50, 45_000), 2 * k))
+        return [(at[2 * i], at[2 * i + 1]) for i in range(k)]
+
+    genes = [(rng.choice("abcdefgh"), rng.choice("cd"), "+", chain()) for _ in range(60)]
+    genes = [(*g, g[0] in "abcde") for g in genes]
+    reads = [(i, rng.choice("cd"), "+", chain()) for i in range(250)]
+    length = lambda x: sum(b - a for a, b in x)
+    both = lambda x, y: sum(max(0, min(b, d) - max(a, c)) for a, b in x for c, d in y)
+    marks = lambda x: {("d", x[i][1]) for i in range(len(x) - 1)} | {("a", x[i + 1][0]) for i in range(len(x) - 1)}
+    want = {}
+    for t, c, _, x in reads:
+        ranks = []
+        for name in "abcdefgh":
+            chains = [g[3] for g in genes if g[:2] == (name, c)]
+            bases = len({p for a, b in x for y in chains for e, f in y for p in range(max(a, e), min(b, f))})
+            if not bases:
+                continue
+            n, known, least = len(marks(x) & set().union(*map(marks, chains))), name in "abcde", length(x) * 0.25
+            whole = bases if len(x) > 1 else max([both(x, y) for y in chains if len(y) == 1], default=0)
+            part = max(both(x, y) / min(length(x), length(y)) for y in chains)
+            step = 1 if known and n else 2 if n else 3 if known and whole >= least else 4 if known and part >= 0.25 else 5 if not known and bases >= least else None
+            if step:
+                first = n if step < 3 else whole if step == 3 else part if step == 4 else bases
+                ranks.append((step, -first, -max(len(marks(x) & marks(y)) / len(y) for y in chains) if step < 3 else 0, -bases, name, n))
+        if ranks:
+            step, _, _, bases, name, n = min(ranks)
+            want[t] = (name, step, n, -bases)
+    t = spark.createDataFrame(reads, f"transcript_id long, chr string, strand string, exons {EXONS}")
+    g = spark.createDataFrame(genes, f"gene_id string, chr string, strand string, exons {EXONS}, is_annotated boolean")
+    assert {r[0]: tuple(r)[1:] for r in best_genes(t, g).collect()} == want
+    assert {v[1] for v in want.values()} >= {1, 2, 3, 4}
+
+
 def test_novel_genes_share_sites_or_most_bases(spark):
     chains = {
         1: [(0, 10), (20, 30)], 2: [(5, 10), (40, 60)], 3: [(5, 8), (40, 55)], 4: [(100, 200)], 5: [(130, 220)], 6: [(145, 245)], 7: [(190, 400)], 8: [(100, 200)], 9: [(0, 10), (20, 30)],
