@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spliceforge.session import materialize
+
 
 def exon_rows(iso: DataFrame, ident: str = "isoform") -> DataFrame:
     """gene_id, ``ident``, exon_no (from 1), start, end."""
@@ -66,24 +68,72 @@ def edges(path: DataFrame) -> DataFrame:
     return links.agg(F.max(F.col("node") == F.col("exon_last")).alias("spliced"), F.count(F.lit(1)).alias("n_isoforms"))
 
 
-def fragments(path: DataFrame, strand: DataFrame, ident: str = "isoform") -> DataFrame:
-    """gene_id, ``ident``, container, missing_5, missing_3: isoforms whose path is a piece of another's.
+def _bounds(chains: DataFrame, ident: str, name: str, *more: str) -> DataFrame:
+    """gene_id, ``name``, ``more``, exons, pos: start, end, start, end, ... of the chain's exons."""
+    return chains.select("gene_id", F.col(ident).alias(name), *more, "exons", F.flatten(F.transform("exons", lambda x: F.array(x["start"].cast("long"), x["end"].cast("long")))).alias("pos"))
+
+
+#: Of the bounds ``pos``, the inner ones of the first ``k`` introns as 128 bits of hash.
+def _inner(k: Column) -> list[Column]:
+    part = F.slice("pos", F.lit(2), k * 2)
+    return [F.xxhash64(part, F.lit(i)).alias(f"h{i}") for i in (1, 2)]
+
+
+#: Bounds of tiles in which single exons meet those that hold them.
+TILE = 20_000
 
-    A container that is itself contained isn't given; of equal paths the smaller ident is the container. missing_5 and
-    missing_3 count the container's introns beyond the fragment. Candidates are joined on the fragment's first node and its
-    successor, and compared as texts, so that isoforms that share nothing never meet. ``strand``: gene_id, strand.
+
+def containments(small: DataFrame, big: DataFrame, ident: str = "isoform") -> DataFrame:
+    """gene_id, small, container, exon_no (of the container's exon in which the small one begins, from 1), small_exons, big_exons and, if ``big`` has it, strand: chains of
+    ``small`` that are a piece of one of ``big``; of equal chains the smaller ident holds the other. Both: gene_id, ``ident``, exons (ascending, disjoint).
+
+    A chain of several exons is a piece of another whose introns have its own as a run, and whose exons beside the run reach as far as its
+    outer ones. A container therefore names each run of its introns, by a hash, and chains meet only where the whole run is equal;
+    it travels once for each first intron, and runs are rolled out behind that. Single exons meet within tiles.
+    """
+    a = _bounds(small, ident, "small").where(F.size("pos") > 2)
+    key = ["gene_id", "donor", "acceptor"]
+    a = a.select("gene_id", F.get("pos", F.lit(1)).alias("donor"), F.get("pos", F.lit(2)).alias("acceptor"), "small", F.get("pos", F.lit(0)).alias("s"), F.try_element_at("pos", F.lit(-1)).alias("e"), F.size("exons").alias("small_exons"), *_inner(F.size("exons") - 1))
+    more = [c for c in big.columns if c == "strand"]
+    b = _bounds(big, ident, "container", *more).withColumn("big_exons", F.size("exons"))
+    runs = b.where("big_exons > 1").select("gene_id", "container", *more, "big_exons", F.col("pos").alias("all"), F.explode(F.sequence(F.lit(1), F.col("big_exons") - 1)).alias("exon_no"))
+    runs = runs.withColumn("pos", F.slice("all", F.col("exon_no") * 2 - 1, (F.col("big_exons") - F.col("exon_no") + 1) * 2)).drop("all")
+    runs = runs.withColumns({"donor": F.get("pos", F.lit(1)), "acceptor": F.get("pos", F.lit(2))}).repartition(*key)
+    runs = runs.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("big_exons") - F.col("exon_no"))))
+    runs = runs.select(*key, "container", *more, "exon_no", "big_exons", F.get("pos", F.lit(0)).alias("from"), F.get("pos", F.col("k") * 2 + 1).alias("to"), *_inner(F.col("k")))
+    many = runs.join(a.repartition(*key).hint("shuffle_hash"), [*key, "h1", "h2"]).where("from <= s and e <= to")
+    columns = ["gene_id", "small", "container", "exon_no", "small_exons", "big_exons", *more]
+    equal = (F.col("small_exons") == F.col("big_exons")) & (F.col("from") == F.col("s")) & (F.col("to") == F.col("e"))
+    many = many.where((F.col("small") != F.col("container")) & (~equal | (F.col("container") < F.col("small"))))
+    one = _bounds(small, ident, "small").where(F.size("pos") == 2).select("gene_id", "small", F.get("pos", F.lit(0)).alias("s"), F.get("pos", F.lit(1)).alias("e"), F.lit(1).alias("small_exons")).withColumn("tile", F.floor(F.col("s") / TILE))
+    each = b.select("gene_id", "container", *more, "big_exons", F.posexplode("exons").alias("i", "x")).select("gene_id", "container", *more, "big_exons", (F.col("i") + 1).alias("exon_no"), F.col("x.start").cast("long").alias("from"), F.col("x.end").cast("long").alias("to"))
+    each = each.withColumn("tile", F.explode(F.sequence(F.floor(F.col("from") / TILE), F.floor(F.col("to") / TILE))))
+    single = each.join(one, ["gene_id", "tile"]).where("from <= s and e <= to").where((F.col("small") != F.col("container")) & (~equal | (F.col("container") < F.col("small"))))
+    return many.select(columns).unionByName(single.select(columns))
+
+
+def contained(chains: DataFrame, ident: str = "isoform") -> DataFrame:
+    """gene_id, ``ident`` of the chains that are a piece of another's of their gene."""
+    return containments(chains, chains, ident).select("gene_id", F.col("small").alias(ident)).distinct()
+
+
+def chain_fragments(chains: DataFrame, ident: str = "isoform") -> DataFrame:
+    """gene_id, ``ident``, container, missing_5, missing_3: chains (gene_id, ``ident``, strand, exons; written) that are a piece of another's.
+
+    A container that is itself contained isn't given; of equal chains the smaller ident is the container. missing_5 and
+    missing_3 count the container's introns beyond the fragment. What is contained is found first and written, so that only the other
+    chains name their runs for the list, and the list itself isn't moved.
     """
-    whole = path.groupBy("gene_id", ident).agg(F.sort_array(F.collect_list(F.struct("node", "exon_no"))).alias("p"))
-    nodes = F.concat(F.lit(","), F.array_join(F.transform("p", lambda x: x["node"].cast("string")), ","), F.lit(","))
-    whole = whole.select("gene_id", ident, nodes.alias("nodes"), "p", F.size("p").alias("n"))
-    small = whole.select("gene_id", F.col(ident).alias("small"), F.col("nodes").alias("small_nodes"), F.get("p", F.lit(0))["node"].alias("node"),
-                         F.coalesce(F.get("p", F.lit(1))["node"], F.lit(-1)).alias("next_node"), F.try_element_at("p", F.lit(-1))["node"].alias("last_node"), F.try_element_at("p", F.lit(-1))["exon_no"].alias("small_exons"), F.col("n").alias("small_n"))
-    at = path.select("gene_id", F.col(ident).alias("container"), "node", "exon_no", F.coalesce("suc", F.lit(-1)).alias("suc"))
-    big = whole.select("gene_id", F.col(ident).alias("container"), F.col("nodes").alias("big_nodes"), F.try_element_at("p", F.lit(-1))["exon_no"].alias("big_exons"), F.col("n").alias("big_n"))
-    meet = small.join(at, ["gene_id", "node"]).where("next_node = -1 or next_node = suc").where("small != container")
-    pairs = meet.join(big, ["gene_id", "container"]).where(F.expr("position(small_nodes in big_nodes) > 0 and (small_n < big_n or container < small)"))
-    contained = pairs.select("gene_id", F.col("small").alias("container")).distinct()
-    kept = pairs.join(contained, ["gene_id", "container"], "left_anti").join(strand, "gene_id")
+    key = ["gene_id", ident]
+    chains = chains.select(*key, "strand", "exons")
+    inner = materialize(contained(chains.drop("strand"), ident), "contained-chains")
+    kept = containments(chains.join(inner, key, "left_semi"), chains.join(inner, key, "left_anti"), ident)
     low, high = F.col("exon_no") - 1, F.col("big_exons") - F.col("small_exons") - F.col("exon_no") + 1
     minus = F.col("strand") == "-"
     return kept.select("gene_id", F.col("small").alias(ident), "container", F.when(minus, high).otherwise(low).alias("missing_5"), F.when(minus, low).otherwise(high).alias("missing_3"))
+
+
+def fragments(path: DataFrame, strand: DataFrame, ident: str = "isoform") -> DataFrame:
+    """:func:`chain_fragments` of paths, for which gene_id, strand are given: isoforms whose path is a piece of another's."""
+    whole = last_nodes(path).groupBy("gene_id", ident).agg(F.sort_array(F.collect_list(F.struct(F.col("exon_first").alias("start"), F.col("exon_last").alias("end")))).alias("exons"))
+    return chain_fragments(materialize(whole.join(strand, "gene_id"), "path-chains"), ident)

@@ -36,13 +36,13 @@ def transcripts(spark: SparkSession, d: str, *needed: str) -> DataFrame:
     return now.withColumn("a_content", content).drop("downstream_a_content")
 
 
-def in_genes(spark: SparkSession, d: str) -> DataFrame:
-    return transcripts(spark, d).where("gene_id is not null")
+def in_genes(spark: SparkSession, d: str, *needed: str) -> DataFrame:
+    return transcripts(spark, d, *needed).where("gene_id is not null")
 
 
 def chained(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
     """Transcripts of genes (those for which ``only`` holds) with the chain that tells their isoform; written, as chains are found in several passes."""
-    rows = in_genes(spark, d).where(only).drop("subs", "gene_name", "a_content", "category")
+    rows = in_genes(spark, d, "sample_name", "gene_id", "coverage", "category").where(only).drop("category")
     return collapse.with_chain(materialize(rows, "gene-transcripts"))
 
 
@@ -51,14 +51,19 @@ GENE_KEY = "concat_ws('|', gene_id, chr, strand)"
 
 
 def isoforms(spark: SparkSession, d: str, only: str = "true") -> DataFrame:
-    """Isoforms with gene_id replaced by the gene's key (see GENE_KEY), so that a graph has one strand."""
-    return isoforms_and_reads(spark, d, only)[0]
+    """Isoforms with gene_id replaced by the gene's key (see GENE_KEY), so that a graph has one strand. Written once; their chained transcripts
+    aren't, which are read twice only."""
+    return _keyed(chained(spark, d, only))
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    return materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(GENE_KEY)), "isoforms")
 
 
 def isoforms_and_reads(spark: SparkSession, d: str, only: str = "true") -> tuple[DataFrame, DataFrame]:
     """Isoforms, and gene_id (key), isoform, sample_name, reads, both from chained transcripts that are written once."""
     rows = materialize(chained(spark, d, only), "chained")
-    iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(GENE_KEY)), "isoforms")
+    iso = _keyed(rows)
     key = [F.expr(GENE_KEY).alias("gene_id"), "chain"]
     reads = rows.groupBy(*key, "sample_name").agg(F.sum(F.coalesce("coverage", F.lit(0))).alias("reads"))
     reads = reads.join(iso.select("gene_id", "chain", "isoform"), ["gene_id", "chain"]).select("gene_id", "isoform", "sample_name", "reads")

@@ -69,8 +69,8 @@ def junction_coverage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def isoform_fragments(spark: SparkSession, d: str) -> DataFrame:
-    segs, path, strand = M.graph(M.isoforms(spark, d))
-    return segments.fragments(path, strand)
+    """By the exons themselves: their bounds are those of the segments, so a path is a piece of another where the chains are."""
+    return segments.chain_fragments(M.isoforms(spark, d))
 
 
 def splice_events(spark: SparkSession, d: str) -> DataFrame:

@@ -123,8 +123,7 @@ def fragment_transcripts(spark: SparkSession, d: str) -> DataFrame:
     """transcript_id of the transcripts whose isoform's path is a piece of another's."""
     rows = materialize(M.chained(spark, d), "chained")
     iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(M.GENE_KEY)), "isoforms")
-    _, path, strand = M.graph(iso)
-    pieces = segments.fragments(path, strand).select("isoform").distinct()
+    pieces = segments.contained(iso).select("isoform")
     of = iso.join(pieces, "isoform", "left_semi").select(F.col("gene_id").alias("key"), "chain")
     return rows.withColumn("key", F.expr(M.GENE_KEY)).join(of, ["key", "chain"], "left_semi").select("transcript_id")
 

@@ -88,6 +88,20 @@ def test_fragments(spark):
     assert [(r["missing_5"], r["missing_3"]) for r in segments.fragments(path, strand).collect()] == [(2, 1)]
 
 
+def test_fragments_meet_only_where_they_fit(spark):
+    """Against all pairs, with starts, ends and single exons that reach farther, equal chains, and introns that many share."""
+    rng = random.Random(3)
+    chains = [[(rng.choice([0, 3, 6]), 10), (20, 30), (40, 50), (60, rng.choice([65, 70]))][a:b] for a in range(4) for b in range(a + 1, 5) for _ in range(3)] + [[(22, 28)], [(19, 30)], [(20, 30), (41, 50)]]
+    rows = [(g, i + 100 * n, s, x) for n, (g, s) in enumerate((("g", "+"), ("h", "-"))) for i, x in enumerate(chains)]
+    within = lambda x, y: any(len(y) - i >= len(x) and y[i][0] <= x[0][0] and x[-1][1] <= y[i + len(x) - 1][1] and [p for e in x for p in e][1:-1] == [p for e in y[i : i + len(x)] for p in e][1:-1] for i in range(len(y)))
+    pairs = {(i, j) for g, i, _, x in rows for h, j, _, y in rows if g == h and i != j and within(x, y) and (x != y or j < i)}
+    df = spark.createDataFrame(rows, f"gene_id string, isoform long, strand string, exons {EXONS}")
+    assert {(r["small"], r["container"]) for r in segments.containments(df, df).collect()} == pairs
+    assert {r["isoform"] for r in segments.contained(df).collect()} == {i for i, _ in pairs}
+    got = segments.chain_fragments(df)
+    assert {(r["isoform"], r["container"]) for r in got.collect()} == {(i, j) for i, j in pairs if j not in {k for k, _ in pairs}}
+
+
 def test_isoforms_and_weighted_medians(spark):
     data = [
         ("g", "c", "+", 1, "s", [(0, 10), (20, 30)], 1), ("g", "c", "+", 2, "s", [(4, 10), (20, 40)], 5), ("g", "c", "+", 3, "s", [(2, 10), (20, 35)], 1), ("g", "c", "+", 4, "s", [(0, 10), (21, 30)], None),
@@ -135,13 +149,12 @@ def test_best_genes_equal_all_pairs(spark):
     rng = random.Random(7)
     sites = rng.sample(range(100, 30_000), 30)
 
-    def chain():
-        k = rng.choice([1, 1, 1, 2, 3, 4])
+    def chain(least=1):
+        k = max(least, rng.choice([1, 1, 1, 2, 3, 4]))
         at = sorted(rng.sample(sites if rng.random() < 0.6 else range(50, 45_000), 2 * k))
         return [(at[2 * i], at[2 * i + 1]) for i in range(k)]
 
-    genes = [(rng.choice("abcdefgh"), rng.choice("cd"), "+", chain()) for _ in range(60)]
-    genes = [(*g, g[0] in "abcde") for g in genes]
+    genes = [(g, rng.choice("cd"), "+", chain(2 if g in "abcd" else 1), g in "abcde") for g in rng.choices("abcdefgh", k=40)]
     reads = [(i, rng.choice("cd"), "+", chain()) for i in range(250)]
     length = lambda x: sum(b - a for a, b in x)
     both = lambda x, y: sum(max(0, min(b, d) - max(a, c)) for a, b in x for c, d in y)
