@@ -30,8 +30,15 @@ def distinct_introns(transcripts: DataFrame) -> DataFrame:
 
 def intron_motifs(transcripts: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
     """chr, strand, donor, acceptor, motif (read on the strand) of the distinct introns."""
-    rows = bases_at(distinct_introns(transcripts), tiles, F.col("donor"), F.lit(2), "__d", size)
-    rows = bases_at(rows, tiles, F.col("acceptor") - 2, F.lit(2), "__a", size)
+    return motifs_of(distinct_introns(transcripts), tiles, size)
+
+
+def motifs_of(places: DataFrame, tiles: DataFrame, size: int) -> DataFrame:
+    """The same of introns that are given as distinct places. Tiles are read once, for the distinct places of two bases at either end."""
+    ends = places.select("chr", F.explode(F.array(F.col("donor"), F.col("acceptor") - 2)).alias("__at")).distinct()
+    two = bases_at(ends, tiles, F.col("__at"), F.lit(2), "__two", size)
+    at = lambda side, pos: two.select("chr", F.col("__at").alias(pos), F.col("__two").alias(side))
+    rows = places.withColumn("__behind", F.col("acceptor") - 2).join(at("__d", "donor"), ["chr", "donor"], "left").join(at("__a", "__behind"), ["chr", "__behind"], "left")
     four = F.concat("__d", "__a")
     return rows.select("chr", "strand", "donor", "acceptor", F.when(F.col("strand") == "-", S.reverse_complement(four)).otherwise(four).alias("motif"))
 

@@ -7,25 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spliceforge.functions import intervals as X
+from spliceforge.functions import sequence as S
 from spliceforge.operators import genome as G
 from spliceforge.plans import model as M
 from spliceforge.plans.structure import REF
 from spliceforge.session import materialize, table
 
 SIZE, OVERLAP, SHIFT = 4_096, 64, 13
+#: Tiles for the two bases at splice sites alone.
+SITE_SIZE = 256
 COLUMNS = ("transcript_id", "gene_id", "chr", "strand", "exons", "tr_start", "tr_end", "category")
 
 
 def genome_tiles(spark: SparkSession, d: str, transcripts: DataFrame) -> DataFrame:
     """Tiles of the places of exons and 64 bases around; the driver reads the one sequence."""
-    posts = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
-    seq = posts.agg(F.max_by("seq", F.struct(F.length("seq"), -F.col("doc_id"))).alias("seq")).first()["seq"] or "N"
     x = transcripts.select("chr", F.inline("exons"))
     near = F.sequence(F.floor(F.greatest(F.col("start") - OVERLAP, F.lit(0)) / SIZE), F.floor((F.col("end") + OVERLAP) / SIZE))
-    rows = x.select("chr", F.explode(near).alias("tile_no")).distinct()
-    turned = F.pmod(F.col("tile_no") * SIZE + F.length("chr") * SHIFT, F.lit(len(seq)))
-    bases = F.substring(F.lit(seq * ((SIZE + OVERLAP) // len(seq) + 2)), turned.cast("int") + 1, F.lit(SIZE + OVERLAP))
-    return rows.select(F.col("chr").alias("name"), "tile_no", (F.col("tile_no") * SIZE).alias("tile_start"), bases.alias("seq"))
+    return _cut(spark, d, x.select("chr", F.explode(near).alias("tile_no")).distinct(), SIZE)
+
+
+def _cut(spark: SparkSession, d: str, rows: DataFrame, size: int) -> DataFrame:
+    """The tiles of ``size`` and 64 bases more that ``rows`` (chr, tile_no) name."""
+    posts = table(spark, d, "documents").where("text is not null").select("doc_id", F.regexp_replace(F.upper("text"), "[^ACGT]", "").alias("seq"))
+    seq = posts.agg(F.max_by("seq", F.struct(F.length("seq"), -F.col("doc_id"))).alias("seq")).first()["seq"] or "N"
+    turned = F.pmod(F.col("tile_no") * size + F.length("chr") * SHIFT, F.lit(len(seq)))
+    bases = F.substring(F.lit(seq * ((size + OVERLAP) // len(seq) + 2)), turned.cast("int") + 1, F.lit(size + OVERLAP))
+    return rows.select(F.col("chr").alias("name"), "tile_no", (F.col("tile_no") * size).alias("tile_start"), bases.alias("seq"))
 
 
 def _inputs(spark: SparkSession, d: str, only: str = "true") -> tuple[DataFrame, DataFrame]:
@@ -63,20 +70,24 @@ def direct_repeat_hist(spark: SparkSession, d: str) -> DataFrame:
     return both.groupBy(kind.alias("kind"), "repeat_length").agg(F.count(F.lit(1)).alias("n"))
 
 
-def novel_introns(rows: DataFrame) -> DataFrame:
-    """transcript_id, novel_introns: numbers (from 0) of the introns of which neither site is one of a full splice match of the gene."""
-    each = rows.select("gene_id", "strand", "transcript_id", "category", F.posexplode(X.introns(F.col("exons"))).alias("no", "i")).select("gene_id", "strand", "transcript_id", "category", "no", "i.*")
-    site = lambda side: each.where(REF).select("gene_id", "strand", side).distinct()
-    fresh = each.join(site("donor"), ["gene_id", "strand", "donor"], "left_anti").join(site("acceptor"), ["gene_id", "strand", "acceptor"], "left_anti")
-    return fresh.groupBy("transcript_id").agg(F.sort_array(F.collect_list("no")).alias("novel_introns"))
-
-
-def transcript_tags(spark: SparkSession, d: str) -> DataFrame:
-    """transcript_id, noncanonical, novel_introns (arrays, empty for none) of the transcripts of genes."""
-    rows, tiles = _inputs(spark, d, "gene_id is not null")
-    none = F.array().cast("array<int>")
-    both = G.qc_metrics(rows, tiles, SIZE).drop("a_content").join(novel_introns(rows), "transcript_id", "left")
-    return both.withColumn("novel_introns", F.coalesce("novel_introns", none))
+def transcript_tags(spark: SparkSession, d: str, rows: DataFrame) -> DataFrame:
+    """transcript_id, noncanonical, novel_introns: numbers (from 0) of the introns with another motif than GT..AG, and of those of which neither site is
+    one of a full splice match of the gene. Transcripts with neither give no row.
+
+    ``rows`` (written): transcript_id, gene_id, chr, strand, exons, category. Both are found for the distinct introns of genes, and joined to transcripts once.
+    """
+    place, at = ["gene_id", "chr", "strand", "donor", "acceptor"], ["chr", "strand", "donor", "acceptor"]
+    each = rows.select("transcript_id", "gene_id", "chr", "strand", "category", F.posexplode(X.introns(F.col("exons"))).alias("no", "i")).select("transcript_id", "gene_id", "chr", "strand", "category", "no", "i.*")
+    kinds = materialize(each.groupBy(*place).agg(F.max(F.coalesce(F.expr(REF), F.lit(False))).alias("ref")), "gene-introns")
+    site = lambda side: kinds.where("ref").select("gene_id", "strand", side, F.lit(True).alias(f"{side}_known")).distinct()
+    near = F.explode(F.array(F.floor(F.col("donor") / SITE_SIZE), F.floor((F.col("acceptor") - 2) / SITE_SIZE)))
+    tiles = _cut(spark, d, kinds.select("chr", near.alias("tile_no")).distinct(), SITE_SIZE)
+    motifs = G.motifs_of(kinds.select(*at).distinct(), tiles, SITE_SIZE)
+    marked = kinds.join(site("donor"), ["gene_id", "strand", "donor"], "left").join(site("acceptor"), ["gene_id", "strand", "acceptor"], "left").join(motifs, at, "left")
+    odd = F.coalesce(F.col("motif") != S.CANONICAL, F.lit(False))
+    marked = marked.select(*place, odd.alias("odd"), (F.col("donor_known").isNull() & F.col("acceptor_known").isNull()).alias("novel")).where("odd or novel")
+    pick = lambda flag: F.sort_array(F.collect_list(F.when(F.col(flag), F.col("no"))))
+    return each.drop("category").join(marked, place).groupBy("transcript_id").agg(pick("odd").alias("noncanonical"), pick("novel").alias("novel_introns"))
 
 
 QUERIES = {f.__name__: f for f in (transcript_qc, transcript_sequences, transcript_orfs, direct_repeat_hist)}

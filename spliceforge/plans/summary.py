@@ -119,24 +119,27 @@ def gene_selection(spark: SparkSession, d: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ filters
-def fragment_transcripts(spark: SparkSession, d: str) -> DataFrame:
-    """transcript_id of the transcripts whose isoform's path is a piece of another's."""
-    rows = materialize(M.chained(spark, d), "chained")
-    iso = materialize(collapse.isoforms(rows).withColumn("gene_id", F.expr(M.GENE_KEY)), "isoforms")
-    pieces = segments.contained(iso).select("isoform")
-    of = iso.join(pieces, "isoform", "left_semi").select(F.col("gene_id").alias("key"), "chain")
-    return rows.withColumn("key", F.expr(M.GENE_KEY)).join(of, ["key", "chain"], "left_semi").select("transcript_id")
+def fragment_transcripts(transcripts: DataFrame) -> DataFrame:
+    """transcript_id of the transcripts whose isoform is a piece of another's. ``transcripts``: those of genes, written."""
+    rows = collapse.with_chain(transcripts.select("transcript_id", "gene_id", "chr", "strand", "exons", "coverage"))
+    iso = materialize(collapse.isoforms(rows).withColumn("key", F.expr(M.GENE_KEY)).select("gene_id", "chr", "strand", "chain", "key", "isoform", "exons"), "isoforms")
+    pieces = segments.contained(iso.select(F.col("key").alias("gene_id"), "isoform", "exons")).select("isoform")
+    of = iso.join(pieces, "isoform", "left_semi").select("gene_id", "chr", "strand", "chain")
+    return rows.join(of, ["gene_id", "chr", "strand", "chain"], "left_semi").select("transcript_id")
 
 
 def _taggable(spark: SparkSession, d: str, derived: bool = False) -> DataFrame:
     """Transcripts of genes with the columns that default tags use; ``derived``: those made of the genome, the graph and the reference too."""
-    rows = M.in_genes(spark, d)
+    rows = M.in_genes(spark, d, "sample_name", "gene_id", "coverage", "downstream_a_content", "category", "subs")
+    if derived:
+        rows = materialize(rows, "tagged-transcripts")
     total = rows.groupBy("gene_id").agg(F.sum(F.expr(COV)).alias("gene_coverage"))
-    rows = rows.join(total, "gene_id")
     if not derived:
-        return rows
-    pieces = fragment_transcripts(spark, d).withColumn("fragments", F.array(F.lit(1)))
-    return rows.join(transcript_tags(spark, d), "transcript_id").join(pieces, "transcript_id", "left")
+        return rows.join(total, "gene_id")
+    pieces = fragment_transcripts(rows).withColumn("fragments", F.array(F.lit(1)))
+    none = F.array().cast("array<int>")
+    both = rows.join(total, "gene_id").join(transcript_tags(spark, d, rows), "transcript_id", "left").join(pieces, "transcript_id", "left")
+    return both.withColumns({c: F.coalesce(c, none) for c in ("noncanonical", "novel_introns")})
 
 
 def filter_query(spark: SparkSession, d: str, query: str = "(NIC or NNC) and SUBSTANTIAL and not (INTERNAL_PRIMING or UNSPLICED)") -> DataFrame:

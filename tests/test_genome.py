@@ -103,3 +103,19 @@ def test_annotated_starts(spark):
 def test_kozak_weights_favour_the_consensus():
     assert S.kozak_score("GCCGCCACCATGG", 9) > S.kozak_score("TTTTTTTTTATGT", 9)
     assert all(abs(sum(c) - 100) <= 1 for c in S.KOZAK_COUNTS)
+
+
+def test_motifs_of_given_places(spark, world):
+    contigs, _, df, t = world
+    places = G.distinct_introns(df)
+    got = {tuple(r) for r in G.motifs_of(places, t, SIZE).collect()}
+    want = lambda c, strand, d, a: on_strand(contigs[c][d : d + 2] + contigs[c][a - 2 : a], strand) if c in contigs else None
+    assert got == {(*r, want(*r)) for r in map(tuple, places.collect())}
+
+
+def test_filter_stats_reads_transcripts_once(spark, monkeypatch):
+    from spliceforge.plans import model, summary
+
+    calls, real = [], model.transcripts
+    monkeypatch.setattr(model, "transcripts", lambda *a: calls.append(a) or real(*a))
+    assert summary.filter_stats(spark, "/root/testdata/sf0.001").count() and len(calls) == 1
